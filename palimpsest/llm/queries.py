@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..session import configure
-from .common import table
+from . import class_lm, language_id, line_dedup, lz_fingerprint, packing, piece_bpe, secrets, warc
+from .common import fold_of, table
 from .exact_dedup import exact_duplicates
 from .simhash_dedup import fingerprint_text, near_duplicates
 
@@ -22,11 +24,70 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(configure(spark), sf_dir, "documents"), keep="max")
 
 
+def tokenizer_file(name: str) -> str:
+    """A vocabulary file of the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents").select("doc_id", "text", (fold_of(F.col("doc_id"), 10) == 0).alias("held_out"))
+    model = class_lm.fit(docs.where("not held_out"))
+    found = class_lm.score(docs, model, keep=("held_out",))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    return packing.packed_documents(docs, tokenizer_file("word_bpe_49k.json"), limit=4096, end_id=1).drop("copy")
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(configure(spark), sf_dir, "documents"))
+    counts = [secrets.of_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.kept_lines(table(configure(spark), sf_dir, "documents"))
+
+
+def op7_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    return piece_bpe.encoded(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    learn = fold_of(F.col("doc_id"), 5) != 0
+    model = language_id.fit(docs.where(learn))
+    return language_id.identify(spark, docs.select("doc_id", (~learn).alias("held_out"), "text"), model).drop("text")
+
+
+def op9_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.splice_comparison(table(configure(spark), sf_dir, "documents"))
+
+
+def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch.new_path(configure(spark), "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_archives(spark, folder).drop("url", "payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup,
+        op2_class_lm_scoring,
         op3_exact_dedup,
+        op4_best_fit_packing,
+        op5_secret_scans,
+        op6_fuzzy_line_dedup,
+        op7_sentencepiece_bpe,
+        op8_language_id,
+        op9_lz_fingerprints,
+        op10_warc_writer,
     )
 }
 
