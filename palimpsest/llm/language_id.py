@@ -1,8 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built from labelled text. A text's words, each with the space before it, are
+For each language a suffix automaton is built from labelled text. A text's words (runs of letters, lower-cased, each with a space before it) are
 parsed greedily into the longest phrases that the automaton contains; the language needing the fewest phrases, times the
-bits that name a place in its labelled text, wins. Phrases end at white space, so the parse of a word is the same wherever it
+bits that name a place in its labelled text, wins. Phrases end with their word, so the parse of a word is the same wherever it
 stands, and a worker keeps the phrase counts of words, all languages in one integer, in a bounded memory. Whole texts
 are parsed.
 
@@ -18,6 +18,7 @@ that repeat an id each get a row; an empty table gives an empty result; extra co
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +34,7 @@ UND = "und"
 #: Words whose counts a worker keeps; beyond it the memory is emptied.
 CACHE_SIZE = 700_000
 FIELD = 40
+LETTERS = re.compile(r"[^\W\d_]+")
 READERS: dict[str, "Reader"] = {}
 
 
@@ -106,10 +108,11 @@ class Reader:
         self.counts: dict[str, int] = {}
 
     def of_word(self, word: str) -> int:
-        codes = [32, *map(ord, word)]
         total = 0
-        for k, automaton in enumerate(self.automata):
-            total |= automaton.phrases(codes) << (FIELD * k)
+        for run in LETTERS.findall(word):
+            codes = [32, *map(ord, run)]
+            for k, automaton in enumerate(self.automata):
+                total += automaton.phrases(codes) << (FIELD * k)
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -147,7 +150,7 @@ def fit(labelled: DataFrame, sample_docs: int = 256, sample_chars: int = 4096, s
     sample = rows.where(order < F.element_at(share, F.col("lang"))).select("lang", order.alias("at"), "id", F.substring("text", 1, sample_chars).alias("text"))
     words: dict[str, dict[str, None]] = {lang: {} for lang in sizes}
     for row in sorted(sample.collect(), key=lambda r: (r["at"], r["id"])):
-        words[row["lang"]].update(dict.fromkeys(row["text"].lower().split()))
+        words[row["lang"]].update(dict.fromkeys(LETTERS.findall(row["text"].lower())))
     texts = {}
     for lang, own in words.items():
         kept, room = [], sample_size

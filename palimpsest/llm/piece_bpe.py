@@ -69,7 +69,7 @@ class PieceModel:
         if known is None:
             if len(self.pairs) > CACHE_SIZE:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [left, right]
+            known = self.pairs[left, right] = self.merge(left + right) == [p for p in (left, right) if p]
         return known
 
     def tokens(self, part: str) -> list[str]:
