@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -109,6 +109,21 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def confirmed(n: int, i: np.ndarray, j: np.ndarray, test: Callable[[int, int], bool]) -> tuple[list[int], list[int]]:
+    """Of the pairs (i, j) that pass the test, those of a spanning forest; pairs that are connected already are not tested."""
+    label = np.arange(n)
+    a, b = [], []
+    for at in range(0, len(i), 8192):
+        x, y = i[at : at + 8192], j[at : at + 8192]
+        open_ = label[x] != label[y]
+        for p, q in zip(x[open_].tolist(), y[open_].tolist(), strict=True):
+            if label[p] != label[q] and test(p, q):
+                label[label == label[q]] = label[p]
+                a.append(p)
+                b.append(q)
+    return a, b
+
+
 def runs_of(group: pa.Table, keys: list[str]) -> np.ndarray:
     columns = [group.column(k).to_numpy() for k in keys]
     new = np.zeros(group.num_rows, bool)
@@ -118,11 +133,11 @@ def runs_of(group: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def block_keys(fp: Column, radius: int, blocks: int) -> list[Column]:
-    """Of two fingerprints within radius, at least blocks - radius blocks agree: a key for every such choice."""
+def block_keys(fp: Column, shared: int, blocks: int) -> list[Column]:
+    """A key for every choice of `shared` blocks; two fingerprints within blocks - shared bits agree in one of them."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     keys = []
-    for t, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+    for t, chosen in enumerate(combinations(range(blocks), shared)):
         key = F.lit(t).cast("long")
         for k in chosen:
             size = edges[k + 1] - edges[k]
@@ -145,12 +160,15 @@ def tiled(rows: DataFrame, key: str, spread: Column, tile: int) -> DataFrame:
     return rows.join(sizes, key).withColumn("pair", F.explode(F.when(tiles == 1, F.array(F.lit(0).cast("long"))).otherwise(met))).drop("rows")
 
 
-def links(fps: DataFrame, radius: int, blocks: int, tile: int = TILE) -> DataFrame:
-    """(fp long, node long), one row per fingerprint, to (a, b): links that connect all fingerprints within radius.
+def links(fps: DataFrame, radius: int, blocks: int, shared: int | None = None, tile: int = TILE) -> DataFrame:
+    """(fp long, node long), one row per fingerprint, to (a, b): links that connect the fingerprints within radius.
 
+    Candidates share blocks - radius blocks, so no link is lost. With more `shared` blocks there are fewer candidates, and
+    links beyond blocks - shared bits are found if their differing bits fall into few enough blocks.
     Of the links inside a block only a spanning forest is given, so their number never exceeds the rows.
     """
-    keyed = fps.select("fp", "node", F.explode(F.array(*block_keys(F.col("fp"), radius, blocks))).alias("key"))
+    keys = block_keys(F.col("fp"), shared or blocks - radius, blocks)
+    keyed = fps.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     dealt = tiled(keyed, "key", F.xxhash64("fp"), tile)
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").select("key", "pair", "fp", "node")
 

@@ -39,7 +39,7 @@ READERS: dict[str, "Reader"] = {}
 
 
 class SuffixAutomaton:
-    """Every substring of the labelled text, as paths from state 0. Transitions are in one dictionary, keyed by state and character."""
+    """Every substring of the labelled text, as paths from state 0."""
 
     def __init__(self, text: str) -> None:
         link, length = [-1], [0]
@@ -68,22 +68,25 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.next: dict[int, int] = {(s << 21) | ord(c): t for s, edges in enumerate(out) for c, t in edges.items()}
+        #: Transitions by state.
+        self.next: list[dict[str, int]] = out
 
-    def phrases(self, codes: list[int]) -> int:
+    def phrases(self, text: str) -> int:
         """How many longest matches a greedy parse needs; a character that does not occur is a phrase of its own."""
-        step = self.next.get
-        count, state = 0, 0
-        for c in codes:
-            after = step((state << 21) | c)
-            if after is None:
-                count += state != 0
-                after = step(c)
-                if after is None:
+        out = self.next
+        first = out[0]
+        count, edges = 0, first
+        for c in text:
+            if c in edges:
+                edges = out[edges[c]]
+            else:
+                count += edges is not first
+                if c in first:
+                    edges = out[first[c]]
+                else:
                     count += 1
-                    after = 0
-            state = after
-        return count + (state != 0)
+                    edges = first
+        return count + (edges is not first)
 
 
 @dataclass(frozen=True)
@@ -108,11 +111,16 @@ class Reader:
         self.counts: dict[str, int] = {}
 
     def of_word(self, word: str) -> int:
-        total = 0
-        for run in LETTERS.findall(word):
-            codes = [32, *map(ord, run)]
-            for k, automaton in enumerate(self.automata):
-                total += automaton.phrases(codes) << (FIELD * k)
+        """The phrases of a word's runs of letters, those of each language in a field of their own."""
+        total, runs = 0, [word] if word.isalpha() else LETTERS.findall(word)
+        for run in runs:
+            known = self.counts.get(run) if run is not word else None
+            if known is None:
+                known, spaced = 0, " " + run
+                for k, automaton in enumerate(self.automata):
+                    known += automaton.phrases(spaced) << (FIELD * k)
+                self.counts[run] = known
+            total += known
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -137,7 +145,7 @@ class Reader:
         return self.names[best], 1.0 - float(cost[best]) / second
 
 
-def fit(labelled: DataFrame, sample_docs: int = 256, sample_chars: int = 4096, sample_size: int = 80_000, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+def fit(labelled: DataFrame, sample_docs: int = 256, sample_chars: int = 4096, sample_size: int = 20_000, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Rows without a label or text are left out."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bitslice import links, near, runs_of, tiled
+from .bitslice import confirmed, links, near, runs_of, tiled
 from .common import bytes_of, emit, small_batches, with_last
 from .components import components
 from .simhash_dedup import majority
@@ -124,22 +124,8 @@ def verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
             fp, ids = group.column("fp").to_numpy().view(np.uint64), group.column("id").to_numpy()
             forms = group.column("form").to_pylist()
             i, j = near(fp, runs_of(group, ["family", "pair"]), radius)
-            root = list(range(len(fp)))
-
-            def find(x: int, root: list[int] = root) -> int:
-                while root[x] != x:
-                    root[x] = root[root[x]]
-                    x = root[x]
-                return x
-
-            a, b = [], []
-            for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                p, q = find(x), find(y)
-                if p != q and similar(forms[x], forms[y], similarity):
-                    root[max(p, q)] = min(p, q)
-                    a.append(ids[x])
-                    b.append(ids[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a, b = confirmed(len(fp), i, j, lambda x, y, forms=forms: similar(forms[x], forms[y], similarity))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
 
     return rows.repartition("family", "pair").sortWithinPartitions("family", "pair").mapInArrow(run, "a long, b long")
 

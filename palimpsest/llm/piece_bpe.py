@@ -5,8 +5,8 @@ Aho-Corasick automaton matches at the prefix's end: the one that is pair-compati
 prefix before it, i.e. merging the two pieces' characters gives the two pieces back. The ids are then read
 backwards through the table. Characters without a piece become byte pieces, which never merge.
 
-A text is cut where no piece of the vocabulary reaches across (before a space that follows another character, and around
-line feeds), and a worker keeps the results of such parts in a bounded memory.
+A text is cut where no piece of the vocabulary reaches across, and a worker keeps the ids of such parts, and the text that
+these decode to, in a bounded memory.
 
 Defined cases: null counts as empty and gives the end id alone; a text with U+2581 decodes to one with a space there, as in
 the library; rows that repeat an id each get a row; an empty table gives an empty result; other columns are ignored.
@@ -15,6 +15,7 @@ the library; rows that repeat an id each get a row; an empty table gives an empt
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from .common import emit, small_batches
 
 SPACE = "▁"
 MODELS: dict[str, "PieceModel"] = {}
-CACHE_SIZE = 500_000
+CACHE_SIZE = 700_000
 
 
 class PieceModel:
@@ -45,15 +46,19 @@ class PieceModel:
         self.byte_of = {i: b for b, i in enumerate(self.bytes_)}
         self.end, self.unknown = model.eos_id(), model.unk_id()
         self.control = {i for i in range(len(self.pieces)) if model.is_control(i)}
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.parts: dict[str, tuple[bytes, str]] = {}
+        self.runs: dict[str, tuple[bytes, str]] = {}
         self.automaton = ahocorasick.Automaton()
+        self.halves: dict[str, tuple[str, str]] = {}
         for p in self.ids:
-            self.automaton.add_word(p, p)
+            if self.merge(p) == [p]:  # a piece that merging can make at all
+                self.automaton.add_word(p, p)
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.parts: dict[str, tuple[bytes, int]] = {}
-        inner = [p for p in self.ids if re.search(f"[^{SPACE}]{SPACE}|\n", p)]
-        #: Where texts can be cut; a vocabulary with pieces across words or lines is used on whole texts.
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not inner else r"(?s).+")
+        #: Characters that stand next to each other inside a piece; between all others texts can be cut.
+        self.inner = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        across = any(x[1] == SPACE != x[0] or "\n" in x for x in self.inner)
+        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not across else r"(?s).+")
 
     def merge(self, text: str) -> list[str]:
         """Merges by best score, leftmost first: what defines compatibility (and the tests' brute force)."""
@@ -62,72 +67,103 @@ class PieceModel:
             best = min(((self.rank[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), default=None)
             if best is None:
                 return parts
+            if len(parts) == 2:
+                self.halves[text] = parts[0], parts[1]
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
     def compatible(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both pieces gives the two back."""
         known = self.pairs.get((left, right))
         if known is None:
             if len(self.pairs) > CACHE_SIZE:
                 self.pairs.clear()
-            known = self.pairs[left, right] = self.merge(left + right) == [p for p in (left, right) if p]
+            known = self.pairs[left, right] = self.merge(left + right) == [left, right] if SPACE * 2 in left + right else self.apart(left, right)
         return known
 
-    def tokens(self, part: str) -> list[str]:
-        """The encoding of a part by its prefix table."""
-        last: list[str | None] = [None] * (len(part) + 1)
-        matched: list[list[str]] = [[] for _ in part]
-        for end, piece in self.automaton.iter(part):
-            matched[end].append(piece)
-        for end, found in enumerate(matched, 1):
-            for piece in found:
+    def apart(self, left: str, right: str) -> bool:
+        """The same by undoing merges, the latest first: at no time may a merge across be due before the next one inside.
+
+        It takes a piece to rank after its halves, which runs of spaces do not.
+        """
+        rank, never = self.rank, (math.inf, 0)
+        due = never
+        while True:
+            across = rank.get(left + right)
+            if across is not None and (across, 1) < due:
+                return False
+            a, b = (rank[left] if len(left) > 1 else -1), (rank[right] if len(right) > 1 else -1)
+            if a < 0 and b < 0:
+                return True
+            if a > b:  # of equal ranks the left one is first
+                due, left = (a, 1), self.halves[left][1]
+            else:
+                due, right = (b, 2), self.halves[right][0]
+
+    def tokens(self, run: str) -> list[str]:
+        """The encoding of a run of characters that are all pieces, by its prefix table."""
+        last: list[str | None] = [None] * (len(run) + 1)
+        pairs = self.pairs
+        for end, piece in self.automaton.iter(run):
+            end += 1
+            if last[end] is None:
                 before = end - len(piece)
-                if before == 0:
-                    if len(piece) == 1 or self.alone(piece):
-                        last[end] = piece
-                        break
-                elif (previous := last[before]) is not None and (len(piece) == 1 or self.alone(piece)) and self.compatible(previous, piece):
+                if not before:
                     last[end] = piece
-                    break
-            else:
-                last[end] = part[end - 1]  # no piece: bytes, with which nothing merges
-        out, at = [], len(part)
+                elif (previous := last[before]) is not None:
+                    known = pairs.get((previous, piece))
+                    if known or known is None and self.compatible(previous, piece):
+                        last[end] = piece
+        out, at = [], len(run)
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
-    def alone(self, piece: str) -> bool:
-        """Whether merging a piece's characters gives the piece."""
-        return self.compatible(piece, "")
-
-    def of_part(self, part: str) -> tuple[bytes, int]:
-        """Decimal ids of a part, joined by spaces, and how many there are."""
-        ids: list[int] = []
-        for token in self.tokens(part):
-            if token in self.ids:
-                ids.append(self.ids[token])
-            else:
-                ids.extend(self.bytes_[b] for b in token.encode())
-        return " ".join(map(str, ids)).encode(), len(ids)
-
-    def encode(self, text: str) -> bytes:
-        """Decimal ids joined by spaces, without an end id."""
+    def of_run(self, run: str) -> tuple[bytes, str]:
+        """Decimal ids joined by spaces, and what they decode to, of characters that are all pieces, or of one that is none."""
+        if len(run) == 1 and run not in self.ids:
+            ids = [self.bytes_[b] for b in run.encode()]
+        else:
+            ids = [self.ids[t] for t in self.tokens(run)]
+        return " ".join(map(str, ids)).encode(), self.text_of(ids)
+
+    def of_part(self, part: str) -> tuple[bytes, str]:
+        """The same of a part, which is cut further wherever no piece reaches across."""
+        inner, runs, at, out = self.inner, self.runs, 0, []
+        for k in range(1, len(part) + 1):
+            if k == len(part) or part[k - 1 : k + 1] not in inner:
+                run = part[at:k]
+                at = k
+                if (known := runs.get(run)) is None:
+                    if len(runs) > CACHE_SIZE:
+                        runs.clear()
+                    known = runs[run] = self.of_run(run)
+                out.append(known)
+        return (out[0] if len(out) == 1 else (b" ".join([x[0] for x in out]), "".join([x[1] for x in out])))
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """Decimal ids joined by spaces, without an end id, and the text that they decode to."""
         if not text:
-            return b""
+            return b"", ""
         parts = self.cut.findall(SPACE + text.replace(" ", SPACE))
         known = self.parts
         try:
-            return b" ".join([known[p][0] for p in parts])
+            found = [known[p] for p in parts]
         except KeyError:
             if len(known) > CACHE_SIZE:
                 known.clear()
             for p in parts:
                 if p not in known:
                     known[p] = self.of_part(p)
-            return b" ".join([known[p][0] for p in parts])
+            found = [known[p] for p in parts]
+        return b" ".join([x[0] for x in found]), "".join([x[1] for x in found]).removeprefix(" ")
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids: byte pieces are joined into characters, control pieces are empty, the first space goes."""
+        """The text of ids, without the space that encoding puts first."""
+        return self.text_of(ids).removeprefix(" ")
+
+    def text_of(self, ids: list[int]) -> str:
+        """Byte pieces are joined into characters, control pieces are empty."""
         out, kept = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
@@ -140,7 +176,7 @@ class PieceModel:
                 out.append(self.pieces[i] if i != self.unknown else " ⁇ ")
         if kept:
             out.append(kept.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ").removeprefix(" ")
+        return "".join(out).replace(SPACE, " ")
 
 
 def model_at(path: str) -> PieceModel:
@@ -157,18 +193,12 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_at(model_path)
         end = str(model.end).encode()
-        pieces = {str(i): p for i, p in enumerate(model.pieces)}
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = model.encode(text or "")
+                ids, decoded = model.encode(text or "")
                 ids = ids + b" " + end if ids else end
-                names = ids.decode().split(" ")
-                if "<0x" in (joined := "".join(map(pieces.__getitem__, names[:-1]))):  # byte pieces, or their names in the text
-                    decoded = model.decode([int(i) for i in names])
-                else:
-                    decoded = joined.replace(SPACE, " ").removeprefix(" ")
-                values = doc, len(names), ids.decode() if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+                values = doc, ids.count(b" ") + 1, ids.decode() if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
                 for column, value in zip(columns, values, strict=True):
                     column.append(value)
             yield emit(schema, columns)

@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bitslice import links
-from .common import bytes_of, emit, small_batches
+from .bitslice import TILE, confirmed, links, near, runs_of, tiled
+from .common import bytes_of, emit, small_batches, with_last
 from .components import components
 
 LANES = np.uint64(0x0101010101010101)
@@ -62,22 +62,21 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [hash_(b" ".join(s), 42) for s in zip(*(parts[k:] for k in range(words)), strict=False)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id long, fp long), a row per document."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
+    """(doc_id long, fp long), a row per document; if keyed, also key, a 128-bit hash of the text's words."""
     small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("key", pa.binary())] * keyed)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, hashes = [], []
-            for text in bytes_of(batch, "text"):
-                own = shingle_hashes(text, words)
-                sizes.append(len(own))
-                hashes.append(np.array(own, np.uint64))
-            fp = majority(np.concatenate(hashes), np.array(sizes)) if hashes else np.zeros(0, np.uint64)
-            yield emit(schema, [batch.column("doc_id"), fp.view(np.int64)])
+            texts = bytes_of(batch, "text")
+            hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
+            fp = majority(np.concatenate(hashes), np.array([*map(len, hashes)])) if hashes else np.zeros(0, np.uint64)
+            keys = [[xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]] if keyed else []
+            yield emit(schema, [batch.column("doc_id"), fp.view(np.int64), *keys])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(make, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(make, "doc_id long, fp long" + ", key binary" * keyed)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,5 +88,51 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def confirmed_duplicates(
+    docs: DataFrame, words: int = 2, radius: int = 8, blocks: int = 8, shared: int = 3, check_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, component_id) by links that the texts confirm: fingerprints within radius and, of their shingles of
+    check_words words, a Jaccard similarity of at least `similarity`.
+
+    No pair within blocks - shared bits is lost; up to radius, pairs are found if their bits fall into few blocks. Texts with the same
+    words are one node. Families of linked fingerprints get their texts back and are confirmed in tiles of bounded size.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    prints = scratch.save(fingerprints(rows, words, keyed=True), "simhash")
+    nodes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    distinct = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    joined = components(links(distinct.select("fp", F.col("fp").alias("node")), radius, blocks, shared)).withColumnRenamed("node", "fp")
+    family = distinct.join(joined, "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("family"))
+    family = nodes.join(family, "fp").select("family", "fp", "node")
+    texts = family.join(rows.withColumnRenamed("doc_id", "node"), "node").select("family", "fp", "node", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(t, check_words), np.uint64)).tobytes() for t in bytes_of(batch, "text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("family", "fp", "node")), pa.array(sets, pa.binary())], names=["family", "fp", "node", "shingles"])
+
+    sets = scratch.save(texts.mapInArrow(cut, "family long, fp long, node long, shingles binary").dropDuplicates(["node"]), "families")
+    dealt = tiled(sets, "family", F.xxhash64("node"), TILE).repartition("family", "pair").sortWithinPartitions("family", "pair", "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in with_last(batches, ["family", "pair"]):
+            fp, node = group.column("fp").to_numpy().view(np.uint64), group.column("node").to_numpy()
+            own = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+
+            def alike(x: int, y: int, own: list[np.ndarray] = own) -> bool:
+                a, b = own[x], own[y]
+                if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+                    return False
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                return both >= similarity * (len(a) + len(b) - both)
+
+            a, b = confirmed(len(fp), *near(fp, runs_of(group, ["family", "pair"]), radius), alike)
+            yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+    roots = components(dealt.select("family", "pair", "fp", "node", "shingles").mapInArrow(confirm, "a long, b long"))
+    roots = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(roots, "key").select("doc_id", "component_id")
+
+
 def fingerprint_text(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
