@@ -166,6 +166,17 @@ def records_of(stream) -> Iterator[bytes]:
         raise ValueError("the archive ends within a record")
 
 
+def parts_of(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Head and block of each record in a gzip member; the writer puts one there, other tools may put more."""
+    while data:
+        head, _, rest = data.partition(b"\r\n\r\n")
+        size = int(headers_of(head)["content-length"])
+        if rest[size : size + 4] != b"\r\n\r\n":
+            raise ValueError("a record does not end where its length says")
+        yield head, rest[:size]
+        data = rest[size + 4 :]
+
+
 def headers_of(head: bytes) -> dict[str, str]:
     return {k.lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
 
@@ -177,23 +188,23 @@ def page_in(id_: str) -> int | None:
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload), a row per record. Digests of responses are computed from
-    what was read and must equal the headers'; payload is null unless asked for."""
+    what was read and must equal the headers', and a file must hold as many records as the manifest says; payload is null unless asked for."""
     small_batches(spark, 200)
-    listed = manifest(spark, folder).select("file").orderBy("file")
+    listed = manifest(spark, folder).select("file", "records").orderBy("file")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 rows: list[tuple] = []
+                read = 0
                 with system.open_input_stream(f"{path}/data/{name}", compression=None) as stream:
-                    for data in records_of(stream):
-                        head, _, body = data.partition(b"\r\n\r\n")
+                    for head, body in (part for data in records_of(stream) for part in parts_of(data)):
                         own = headers_of(head)
                         if own["warc-type"] == "warcinfo":
                             continue
-                        body = body[: int(own["content-length"])]
+                        read += 1
                         http, _, payload = body.partition(b"\r\n\r\n")
                         size, digest = int(headers_of(http)["content-length"]), own["warc-payload-digest"].removeprefix("sha1:")
                         response = own["warc-type"] == "response"
@@ -204,6 +215,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
                         if len(rows) >= 1000:
                             yield emit(schema, list(zip(*rows, strict=True)))
                             rows = []
+                if read != records:
+                    raise ValueError(f"{name}: {read} records were read, {records} were written")
                 yield emit(schema, list(zip(*rows, strict=True)) or [[]] * len(schema))
 
     return listed.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
