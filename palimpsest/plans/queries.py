@@ -239,3 +239,6 @@ for _source in NORMALIZERS:
 )
 def message_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_turns(spark, sf_dir).messages.select("source_native_id", "parent_message_id")
+
+
+from . import upkeep  # noqa: E402, F401  (its queries register here)
