@@ -16,7 +16,7 @@ def complete_lines(content: Column) -> Column:
     # ISO-8859-1 has one character per byte, so positions in it are byte positions.
     tail = F.regexp_extract(F.decode(content, "ISO-8859-1"), r"([^\n]*)\z", 1)
     kept = F.substring(content, F.lit(1), F.octet_length(content) - F.length(tail))
-    whole = (F.trim(F.regexp_replace(tail, r"\s", "")) == "") | C.parsed(F.decode(F.encode(tail, "ISO-8859-1"), "UTF-8")).isNotNull()
+    whole = (F.trim(F.regexp_replace(tail, r"\s", "")) == "") | C.parsed(F.try_validate_utf8(F.encode(tail, "ISO-8859-1").cast("string"))).isNotNull()
     return F.when(whole, content).otherwise(kept)
 
 

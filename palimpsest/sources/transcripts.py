@@ -103,8 +103,8 @@ def session_documents_hermes(sessions: DataFrame, messages: DataFrame, profile:
 
 def explode_jsonl(handles: DataFrame) -> DataFrame:
     """One row per JSON object of the content's lines: source_id, locator, path, project_hint, line, raw, v. Blank, malformed and
-    non-object lines are left out, and lines are numbered from 0 after that."""
-    lines = handles.select("source_id", "locator", "path", "project_hint", F.posexplode(F.split(F.decode("content", "UTF-8"), "\n")).alias("at", "raw"))
+    non-object lines are left out, and lines are numbered from 0 after that. Bytes that are no UTF-8 become U+FFFD."""
+    lines = handles.select("source_id", "locator", "path", "project_hint", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("at", "raw"))
     lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", r"^[\s]+|[\s]+$", ""))).where("raw != ''")
     lines = lines.withColumn("v", C.parsed(F.col("raw"))).where(C.kind(F.col("v")) == "OBJECT")
     from pyspark.sql import Window

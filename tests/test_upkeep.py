@@ -1,5 +1,6 @@
 """Search, stems and change detection on small rows that the tables don't hold."""
 
+import hashlib
 from dataclasses import replace
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.archive import HANDLES, SCHEMAS, Archive
 from palimpsest.operators import changes, search
 from palimpsest.operators.stemmer import stem
+from palimpsest.sources.transcripts import explode_jsonl
 
 
 @pytest.mark.parametrize(
@@ -58,7 +60,12 @@ def test_complete_lines(spark, content, want):
 def test_collected_appends_hold_the_new_bytes(spark):
     handles = spark.createDataFrame([("s", "", "x", "/x", None, 2.0, b'{"a":1}\n{"b":2}\n'), ("s", "", "y", "/y", None, 1.0, b""), ("s", "", "z", "/z", None, 1.0, b"[]\n")], HANDLES)
     first = b'{"a":1}\n'
-    states = spark.createDataFrame([("s", "", "x", len(first), __import__("hashlib").sha256(first).hexdigest(), 1.0), ("s", "", "z", 99, "other", 1.0)], "source_id string, scope string, locator string, length long, sha256 string, mtime double")
+    states = spark.createDataFrame([("s", "", "x", len(first), hashlib.sha256(first).hexdigest(), 1.0), ("s", "", "z", 99, "other", 1.0)], "source_id string, scope string, locator string, length long, sha256 string, mtime double")
     got = {r["locator"]: (r["kind"], r["byte_offset"], bytes(r["content"])) for r in changes.collect_changes(handles, states).collect()}
     assert got == {"x": ("append", 8, b'{"b":2}\n'), "z": ("snapshot", 0, b"[]\n")}
     assert [r["locator"] for r in changes.collect_changes(handles, states, incremental=True).collect()] == ["x"]
+
+
+def test_broken_utf8_is_replaced(spark):
+    handles = spark.createDataFrame([("s", "", "x", "/x", None, 1.0, b'{"a":"\xff"}\n\n{"b":1}\n')], HANDLES)
+    assert [(r["line"], r["raw"]) for r in explode_jsonl(handles).orderBy("line").collect()] == [(0, '{"a":"\ufffd"}'), (1, '{"b":1}')]
