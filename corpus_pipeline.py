@@ -3,7 +3,7 @@
 A stage gets the documents that its predecessor kept and returns a DataFrame, which run() writes as Parquet and reads again.
 All but the last return the columns of documents. Rows with one doc_id share their fate.
 
-1. language: texts without a letter, null ones included, go (predicted `und`).
+1. language: texts without a letter, null ones included, go (predicted `und`); no other text does, with labels or without.
 2. exact: of equal texts, the document with the smallest doc_id stays.
 3. near: documents link if their SimHashes are near and their 5-word shingles have a Jaccard similarity of 0.8 or more; of
    the documents that links connect, the one with the smallest doc_id stays.
@@ -37,6 +37,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     configure(spark)
     model = language_id.fit(docs.where(fold_of(F.col("doc_id"), 5) != 0))
+    if not model.names:  # no label to learn from: one language that takes every text with a letter
+        model = language_id.Languages(("any",), ("",))
     found = language_id.identify(spark, docs, model, lang_as="__lang", score_as="__score")
     return found.where(F.col("__lang") != language_id.UND).select(*docs.columns)
 

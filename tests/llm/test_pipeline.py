@@ -3,6 +3,7 @@
 import collections
 import itertools
 import re
+import zlib
 
 import corpus_pipeline
 from palimpsest import scratch
@@ -56,6 +57,14 @@ def test_stages(spark, sf):
             assert n <= least + 1
 
 
+def test_language_without_labels(spark, sf):
+    rows = [(0, "clean text"), (1, "Été"), (2, None), (3, ""), (4, "123 %%"), (None, "no id")]
+    for lang in (None, "en"):  # no label at all, and labels in the held-out fold alone
+        own = [(d, t, lang if d is not None and zlib.crc32(str(d).encode()) % 5 == 0 else None) for d, t in rows]
+        frame = spark.createDataFrame(own, "doc_id long, text string, lang string")
+        assert {x["text"] for x in corpus_pipeline.language(spark, frame, sf).collect()} == {"clean text", "Été", "no id"}
+
+
 def closure(alike, start):
     seen, todo = {start}, [start]
     while todo:
