@@ -142,6 +142,15 @@ def test_secret_spans(spark):
     assert secrets.find(docs(spark, [])).count() == 0
 
 
+def test_secrets_after_an_equals_sign(spark):
+    value = "aB3dE5gH7jK9mN1pQ3sT5vW7xY2zR8uL4cF6"
+    before = ["AUTH=", "AWS_SECRET_ACCESS_KEY=", "export AWS_ACCESS=", "https://host.org/a/b?x=1&sig=", "curl 'https://host.org/?sig=", "SIGNED=="]
+    rows = [(k, f"{name}{value} after") for k, name in enumerate(before)]
+    got = {x["doc_id"]: [tuple(s) for s in x["spans"]] for x in secrets.find(docs(spark, rows)).collect()}
+    assert got == {k: [(len(name), 3, len(name) + len(value))] for k, name in enumerate(before)}
+    assert {x["text"] for x in secrets.redact(docs(spark, rows)).collect()} == {f"{name}[SECRET] after" for name in before}
+
+
 def test_redaction(spark):
     rows, planted = secret_rows()
     frame = docs(spark, rows)
