@@ -1,9 +1,9 @@
 """Secret scans: patterns, and a battery of randomness tests on long tokens. DataFrame functions only.
 
 Patterns give spans of the kinds assign, access and hex. The battery looks at the other tokens of 20 or more characters of the base64
-alphabets. The encoding is inferred from a token's characters as the smallest alphabet that holds them: lower or upper hex, base32, base62 or
-base64 (also the URL form); hex and base32 tokens need a digit, the others a digit and letters of both cases, as a random
-token of this length all but surely has. Under the hypothesis that a token is drawn evenly from its
+alphabets that have a digit, as a random one of this length all but surely has; one may follow an equals sign. The encoding is inferred from
+a token's characters as the smallest alphabet that holds them: hex, base32 or base36 in upper or lower case, base62 or
+base64 (also the URL form). Nothing else is asked of a token before it is tested. Under the hypothesis that a token is drawn evenly from its
 alphabet there are four p-values: a chi-squared test of the characters (by its exact mean and variance), one of the shares of
 digits, upper and lower case, a runs test about the middle of the alphabet, and a lag-one serial correlation. They are
 combined by their mean Cauchy transform, which holds for dependent tests.
@@ -40,9 +40,14 @@ ENCODINGS = {
     "hex": (r"^[0-9a-f]+$", string.digits + "abcdef"),
     "HEX": (r"^[0-9A-F]+$", string.digits + "ABCDEF"),
     "b32": (r"^[A-Z2-7]+$", string.ascii_uppercase + "234567"),
+    "b32l": (r"^[a-z2-7]+$", string.ascii_lowercase + "234567"),
+    "B36": (r"^[A-Z0-9]+$", string.ascii_uppercase + string.digits),
+    "b36": (r"^[a-z0-9]+$", string.ascii_lowercase + string.digits),
     "b62": (r"^[A-Za-z0-9]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits),
     "b64": (r"^[A-Za-z0-9+/]+$", string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"),
 }
+#: Characters of a case: their pattern's negation, and which of an alphabet they are.
+CASES = {"digits": ("[^0-9]", str.isdigit), "upper": ("[^A-Z]", str.isupper), "lower": ("[^a-z]", str.islower)}
 #: p-values are counted on a grid of halves of powers of two.
 STEPS = 80
 SPANS = "array<struct<start: int, ord: int, end: int, token: string>>"
@@ -73,34 +78,37 @@ def tail(z: Column) -> Column:
 
 
 def inferred(token: Column) -> Column:
-    return reduce(lambda out, e: F.when(token.rlike(ENCODINGS[e][0]), F.lit(e)).otherwise(out), ("b64", "b62", "b32", "HEX", "hex"), F.lit("b64"))
+    """The smallest alphabet that holds the token: ENCODINGS are in order of size."""
+    return reduce(lambda out, e: F.when(token.rlike(ENCODINGS[e][0]), F.lit(e)).otherwise(out), reversed(ENCODINGS), F.lit("b64"))
 
 
-def tested(token: Column, encoding: Column) -> Column:
-    """The combined p-value of one token under each encoding's alphabet, for the one inferred."""
-    out = F.lit(0.0)
-    for name, (_, alphabet) in ENCODINGS.items():
-        out = F.when(encoding == name, _battery(token, alphabet)).otherwise(out)
-    return out
+def alphabet_of(encoding: Column) -> Column:
+    """What the battery needs of an encoding's alphabet: its characters, and how many there are of each case."""
+
+    def entry(alphabet: str) -> Column:
+        sizes = {case: sum(map(test, alphabet)) for case, (_, test) in CASES.items()}
+        free = max(1, sum(map(bool, sizes.values())) - 1)
+        values = {"chars": alphabet, "k": float(len(alphabet)), "free": float(free)} | {c: float(n) for c, n in sizes.items()}
+        return F.struct(*(F.lit(v).alias(name) for name, v in values.items()))
+
+    return F.element_at(F.create_map(*(x for e, (_, a) in ENCODINGS.items() for x in (F.lit(e), entry(a)))), encoding)
 
 
-def _battery(token: Column, alphabet: str) -> Column:
-    k = len(alphabet)
+def tested(token: Column, of: Column) -> Column:
+    """The combined p-value of one token under an alphabet, as alphabet_of() gives it."""
+    k = of["k"]
     n = F.length(token).cast("double")
-    x = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c).cast("double") - 1)
-    missing = [F.length(F.replace(token, F.lit(c), F.lit(""))) for c in alphabet]
-    counts = F.array(*((n - m) for m in missing))
+    chars = lambda text: F.filter(F.split(text, ""), lambda c: c != "")
+    x = F.transform(chars(token), lambda c: F.instr(of["chars"], c).cast("double") - 1)
+    counts = F.transform(chars(of["chars"]), lambda c: n - F.length(F.replace(token, c, F.lit(""))))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
     chi = (k / n * squares - n - (k - 1)) / F.sqrt(2.0 * (k - 1) * (n - 1) / n)
-    cases = [[c for c in alphabet if f(c)] for f in (str.isdigit, str.isupper, str.islower)]
     share = F.lit(0.0)
-    for case in cases:
-        if case:
-            found = F.length(F.regexp_replace(token, f"[^{case[0]}-{case[-1]}]", "")).cast("double")
-            expected = n * len(case) / k
-            share = share + F.pow(found - expected, 2) / expected
-    free = max(1, sum(map(bool, cases)) - 1)
-    share = F.sqrt(2 * share) - (2 * free - 1) ** 0.5
+    for case, (others, _) in CASES.items():
+        found = F.length(F.regexp_replace(token, others, "")).cast("double")
+        expected = n * of[case] / k
+        share = share + F.when(of[case] > 0, F.pow(found - expected, 2) / expected).otherwise(0.0)
+    share = F.sqrt(2 * share) - F.sqrt(2 * of["free"] - 1)
     pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     middle, spread = (k - 1) / 2, (k * k - 1) / 12
     state = F.struct(F.lit(0.0).alias("runs"), F.lit(0.0).alias("serial"))
@@ -113,9 +121,9 @@ def _battery(token: Column, alphabet: str) -> Column:
         ),
         lambda s: F.array((s["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4), s["serial"] / spread / F.sqrt(n - 1)),
     )
-    ps = [F.when(chi > 0, tail(chi)).otherwise(1.0), F.when(share > 0, tail(share)).otherwise(1.0), tail(sums[0]), tail(sums[1])]
-    mean = reduce(lambda a, b: a + b, (F.tan((0.5 - F.greatest(F.lit(1e-14), F.least(p, F.lit(0.999)))) * F.pi()) for p in ps)) / len(ps)
-    return 0.5 - F.atan(mean) / F.pi()
+    measured = F.array(F.when(chi > 0, chi).otherwise(0.0), F.when(share > 0, share).otherwise(0.0), F.element_at(sums, 1), F.element_at(sums, 2))
+    clipped = F.transform(measured, lambda z: F.tan((0.5 - F.greatest(F.lit(1e-14), F.least(tail(z), F.lit(0.999)))) * F.pi()))
+    return 0.5 - F.atan(F.aggregate(clipped, F.lit(0.0), lambda a, c: a + c) / 4) / F.pi()
 
 
 def spotted(docs: DataFrame, text: Column, least_bits: float) -> DataFrame:
@@ -132,14 +140,15 @@ def spotted(docs: DataFrame, text: Column, least_bits: float) -> DataFrame:
         token = F.translate(s["token"], "-_", "+/")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), token.alias("token"), inferred(token).alias("encoding"))
 
-    mixed = lambda s: s["encoding"].isin("hex", "HEX", "b32") | (s["token"].rlike("[A-Z]") & s["token"].rlike("[a-z]") & s["token"].rlike("[0-9]"))
     bits = F.create_map(*(F.lit(x) for e, (_, a) in ENCODINGS.items() for x in (e, math.log2(len(a)))))
     enough = lambda s: F.length(s["token"]) * F.element_at(bits, s["encoding"]) >= least_bits
-    out = out.withColumn("__tokens", F.filter(F.transform(free, judged), lambda s: mixed(s) & enough(s)))
+    long_enough = F.filter(F.transform(free, judged), enough)
+    fields = ("start", "end", "token", "encoding")
+    out = out.withColumn("__tokens", F.transform(long_enough, lambda s: F.struct(*(s[f].alias(f) for f in fields), alphabet_of(s["encoding"]).alias("of"))))
 
     def weighed(s: Column) -> Column:
-        p = tested(s["token"], s["encoding"])
-        stratum = F.concat(s["encoding"], F.floor(F.log2(F.length(s["token"]))).cast("string"))
+        p = tested(s["token"], s["of"])
+        stratum = F.concat(s["encoding"], F.lit(":"), F.floor(F.log2(F.length(s["token"]))).cast("string"))
         return F.struct(s["start"].alias("start"), F.lit(KINDS.index("random")).alias("ord"), s["end"].alias("end"), stratum.alias("stratum"), p.alias("p"))
 
     return out.withColumn("__tokens", F.transform("__tokens", weighed)).drop("__assign", "__access", "__hex", "__token", "__found")

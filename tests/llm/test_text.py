@@ -151,6 +151,24 @@ def test_secrets_after_an_equals_sign(spark):
     assert {x["text"] for x in secrets.redact(docs(spark, rows)).collect()} == {f"{name}[SECRET] after" for name in before}
 
 
+def test_random_tokens_of_one_case(spark):
+    r = random.Random(13)
+    rows, where, counts = [], {}, collections.Counter()
+    for name in ("b32l", "b36", "B36"):
+        for k in range(30):
+            token = "7" + random_token(r, secrets.ENCODINGS[name][1], r.choice([31, 39, 63]))
+            where[len(rows)] = name, (10, 3, 10 + len(token))
+            rows.append((len(rows), f"key here: {token} after"))
+    rows += [(500 + k, f"{'abcdefghij' * 3}{k} {'the0house0of0the0people0' * 3} AAAAAAAAAAAAAAAAAAAAAAAAAAAA7") for k in range(10)]
+    for x in secrets.find(docs(spark, rows)).collect():
+        if x["doc_id"] in where:
+            name, span = where[x["doc_id"]]
+            counts[name] += [tuple(s) for s in x["spans"]] == [span]
+        else:
+            assert not x["spans"]
+    assert min(counts[n] for n in ("b32l", "b36", "B36")) >= 26, counts
+
+
 def test_redaction(spark):
     rows, planted = secret_rows()
     frame = docs(spark, rows)
