@@ -168,7 +168,11 @@ def links(fps: DataFrame, radius: int, blocks: int, shared: int | None = None, t
     Of the links inside a block only a spanning forest is given, so their number never exceeds the rows.
     """
     keys = block_keys(F.col("fp"), shared or blocks - radius, blocks)
-    keyed = fps.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
+    return linked(fps.select("fp", "node", F.explode(F.array(*keys)).alias("key")), radius, tile)
+
+
+def linked(keyed: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(fp long, node long, key long) to (a, b): links that connect the fingerprints within radius that share a key."""
     dealt = tiled(keyed, "key", F.xxhash64("fp"), tile)
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").select("key", "pair", "fp", "node")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bitslice import TILE, confirmed, links, near, runs_of, tiled
+from .bitslice import TILE, confirmed, linked, links, near, runs_of, tiled
 from .common import bytes_of, emit, small_batches, with_last
 from .components import components
 
@@ -88,22 +88,55 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: in
     return prints.join(roots, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key for each band of `rows` minima: two sets share a band's key with a probability of their Jaccard similarity to the power of rows."""
+    seeds = np.random.default_rng(5).integers(0, 2**64, (2, bands * rows), np.uint64)
+    minima = np.array([((shingles ^ x) * (m | np.uint64(1))).min() for x, m in seeds.T], np.uint64).reshape(bands, rows)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(minima)], np.uint64).view(np.int64)
+
+
 def confirmed_duplicates(
-    docs: DataFrame, words: int = 2, radius: int = 8, blocks: int = 8, shared: int = 3, check_words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    words: int = 2,
+    radius: int = 8,
+    blocks: int = 8,
+    shared: int = 3,
+    check_words: int = 5,
+    similarity: float = 0.8,
+    bands: int = 16,
+    band_rows: int = 4,
+    wide: int = 22,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, component_id) by links that the texts confirm: fingerprints within radius and, of their shingles of
+    """(doc_id, component_id) by links that the texts confirm: fingerprints within `wide` bits and, of their shingles of
     check_words words, a Jaccard similarity of at least `similarity`.
 
-    No pair within blocks - shared bits is lost; up to radius, pairs are found if their bits fall into few blocks. Texts with the same
-    words are one node. Families of linked fingerprints get their texts back and are confirmed in tiles of bounded size.
+    Fingerprints are compared in two sets of groups. By blocks of the fingerprint, no pair within blocks - shared bits is lost, and
+    up to radius, pairs are found if their bits fall into few blocks. At the least similarity, though, fingerprints differ in some 10 bits, so
+    texts that share a band of minimum hashes of their check_words shingles are compared as well, there within `wide`: of pairs
+    with a Jaccard similarity of 0.8, a share of 1 - (1 - 0.8 ** band_rows) ** bands has such a band.
+    Texts with the same words are one node. Families of linked texts get their texts back and are confirmed in tiles of bounded size.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     prints = scratch.save(fingerprints(rows, words, keyed=True), "simhash")
     nodes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
-    distinct = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    joined = components(links(distinct.select("fp", F.col("fp").alias("node")), radius, blocks, shared)).withColumnRenamed("node", "fp")
-    family = distinct.join(joined, "fp", "left").where("root is not null or n > 1").select("fp", F.coalesce("root", "fp").alias("family"))
-    family = nodes.join(family, "fp").select("family", "fp", "node")
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.array(shingle_hashes(t, check_words), np.uint64) for t in bytes_of(batch, "text")]
+            keys = [band_keys(h, bands, band_rows) if len(h) else [] for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "node", "keys"])
+
+    first = rows.join(nodes.select(F.col("node").alias("doc_id"), "node", "fp"), "doc_id").select("fp", "node", "text")
+    banded_rows = first.mapInArrow(banded, "fp long, node long, keys array<long>").dropDuplicates(["node"])
+    keyed = scratch.save(banded_rows.select("fp", "node", F.explode("keys").alias("key")), "bands")
+    distinct = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    same = nodes.join(distinct, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    edges = links(distinct.select("fp", F.col("least").alias("node")), radius, blocks, shared).unionByName(same).unionByName(linked(keyed, wide))
+    family = components(edges).withColumnRenamed("root", "family")
+    family = nodes.join(family, "node").select("family", "fp", "node")
     texts = family.join(rows.withColumnRenamed("doc_id", "node"), "node").select("family", "fp", "node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +159,7 @@ def confirmed_duplicates(
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 return both >= similarity * (len(a) + len(b) - both)
 
-            a, b = confirmed(len(fp), *near(fp, runs_of(group, ["family", "pair"]), radius), alike)
+            a, b = confirmed(len(fp), *near(fp, runs_of(group, ["family", "pair"]), max(radius, wide)), alike)
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     roots = components(dealt.select("family", "pair", "fp", "node", "shingles").mapInArrow(confirm, "a long, b long"))

@@ -1,5 +1,6 @@
 """SimHash, exact, confirmed and line deduplication against brute force."""
 
+import collections
 import hashlib
 import itertools
 import random
@@ -129,6 +130,41 @@ def test_confirmed_duplicates(spark):
     assert confirmed_duplicates(docs(spark, [])).count() == 0
 
 
+def edited(r, words, vocabulary, kind, share):
+    """words with an edit that leaves about `share` of their 5-word shingles, by Jaccard similarity."""
+    n, own = len(words), list(words)
+    if kind == "appended":
+        return own + r.choices(vocabulary, k=int(n * (1 / share - 1)))
+    lost = int(n * (1 - share) / (1 + share)) - (4 if kind == "replaced" else 0)
+    if kind == "replaced":
+        at = r.randrange(n - lost)
+        own[at : at + lost] = r.choices(vocabulary, k=lost)
+    else:
+        for at in r.sample(range(n // 5), max(1, lost // 5)):
+            own[5 * at + 2] = r.choice(vocabulary)
+    return own
+
+
+def test_confirmed_duplicates_with_larger_edits(spark):
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    rows, pairs = [], collections.defaultdict(list)
+    for kind in ("scattered", "appended", "replaced"):
+        for share in (0.8, 0.85, 0.9):
+            for _ in range(60):
+                text = r.choices(vocabulary, k=r.randrange(100, 600))
+                copy = edited(r, text, vocabulary, kind, share + r.random() * 0.05)
+                a, b = (set(shingle_hashes(" ".join(t).encode(), 5)) for t in (text, copy))
+                if len(a & b) >= 0.8 * len(a | b):
+                    pairs[kind, share].append(len(rows))
+                rows += [(len(rows), " ".join(text)), (len(rows) + 1, " ".join(copy))]
+    got = {x["doc_id"]: x["component_id"] for x in confirmed_duplicates(docs(spark, rows)).collect()}
+    found = {k: (sum(got[n + 1] == n for n in own), len(own)) for k, own in pairs.items()}
+    print(found)
+    assert all(n >= 30 and hit >= 0.97 * n for hit, n in found.values()), found
+    assert all(got[d] in (d, d - d % 2) for d in got)
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact(spark, keep):
     rows = corpus()
