@@ -4,8 +4,8 @@ Patterns give spans of the kinds assign, access and hex. The battery looks at th
 alphabets that have a digit, as a random one of this length all but surely has; one may follow an equals sign. The encoding is inferred from
 a token's characters as the smallest alphabet that holds them: hex, base32 or base36 in upper or lower case, base62 or
 base64 (also the URL form). Nothing else is asked of a token before it is tested. Under the hypothesis that a token is drawn evenly from its
-alphabet there are four p-values: a chi-squared test of the characters (by its exact mean and variance), one of the shares of
-digits, upper and lower case, a runs test about the middle of the alphabet, and a lag-one serial correlation. They are
+alphabet there are five p-values: a chi-squared test of the characters (by its exact mean and variance), one of the shares of
+digits, upper and lower case, a runs test about the middle of the alphabet, a lag-one serial correlation, and the excess of vowels that words have. They are
 combined by their mean Cauchy transform, which holds for dependent tests.
 
 False discoveries of order are controlled for all tokens of the corpus, by length: tokens are in strata of encoding and
@@ -88,7 +88,7 @@ def alphabet_of(encoding: Column) -> Column:
     def entry(alphabet: str) -> Column:
         sizes = {case: sum(map(test, alphabet)) for case, (_, test) in CASES.items()}
         free = max(1, sum(map(bool, sizes.values())) - 1)
-        values = {"chars": alphabet, "k": float(len(alphabet)), "free": float(free)} | {c: float(n) for c, n in sizes.items()}
+        values = {"chars": alphabet, "k": float(len(alphabet)), "free": float(free), "vowels": float(sum(c in "aeiouAEIOU" for c in alphabet))} | {c: float(n) for c, n in sizes.items()}
         return F.struct(*(F.lit(v).alias(name) for name, v in values.items()))
 
     return F.element_at(F.create_map(*(x for e, (_, a) in ENCODINGS.items() for x in (F.lit(e), entry(a)))), encoding)
@@ -121,9 +121,12 @@ def tested(token: Column, of: Column) -> Column:
         ),
         lambda s: F.array((s["runs"] - (n - 1) / 2) / F.sqrt((n - 1) / 4), s["serial"] / spread / F.sqrt(n - 1)),
     )
-    measured = F.array(F.when(chi > 0, chi).otherwise(0.0), F.when(share > 0, share).otherwise(0.0), F.element_at(sums, 1), F.element_at(sums, 2))
+    rate = of["vowels"] / k
+    vowels = F.length(F.regexp_replace(token, "[^aeiouAEIOU]", "")) - n * rate
+    spoken = vowels / F.sqrt(n * rate * (1 - rate))
+    measured = F.array(F.when(spoken > 0, spoken).otherwise(0.0), F.when(chi > 0, chi).otherwise(0.0), F.when(share > 0, share).otherwise(0.0), F.element_at(sums, 1), F.element_at(sums, 2))
     clipped = F.transform(measured, lambda z: F.tan((0.5 - F.greatest(F.lit(1e-14), F.least(tail(z), F.lit(0.999)))) * F.pi()))
-    return 0.5 - F.atan(F.aggregate(clipped, F.lit(0.0), lambda a, c: a + c) / 4) / F.pi()
+    return 0.5 - F.atan(F.aggregate(clipped, F.lit(0.0), lambda a, c: a + c) / 5) / F.pi()
 
 
 def spotted(docs: DataFrame, text: Column, least_bits: float) -> DataFrame:
