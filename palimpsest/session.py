@@ -10,12 +10,13 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 
-#: UTC everywhere, adaptive plans, and JSON objects with repeated keys read as "the last one wins".
+#: UTC everywhere, adaptive plans, JSON objects with repeated keys read as "the last one wins", and Arrow batches bounded by their bytes.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
