@@ -25,8 +25,8 @@ def planes_of(fps: np.ndarray, lanes: np.ndarray, words: int) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(fps: np.ndarray, starts: np.ndarray, radius: int, grid: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of positions within `radius` bits inside each run of fps that begins at one of starts.
+def near(fps: np.ndarray, starts: np.ndarray, radius: int, grid: int = 1 << 20, until: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of positions within `radius` bits inside each run of fps that begins at one of starts; if `until` is given, only j < until[i].
 
     Every run has whole 64-lane words of its own. A query meets a word's 64 fingerprints at once: the planes
     that differ are added to bitwise counters with carry-save steps, and a (query, word) block is abandoned
@@ -46,7 +46,10 @@ def near(fps: np.ndarray, starts: np.ndarray, radius: int, grid: int = 1 << 20)
     at = np.zeros(words * 64, np.int64)
     at[lane] = np.arange(n)
     own = lane // 64
-    span = first_word[run] + words_of[run] - own  # a query meets its own word and those after it
+    last = first_word[run] + words_of[run]
+    if until is not None:
+        last = np.minimum(last, lane[np.maximum(until, np.arange(n) + 1) - 1] // 64 + 1)
+    span = last - own  # a query meets its own word and those after it
     ends = np.cumsum(span)
     found_i, found_j = [], []
     low = 0
@@ -58,6 +61,8 @@ def near(fps: np.ndarray, starts: np.ndarray, radius: int, grid: int = 1 << 20)
         i, j = _meet(fps, planes, used, q, w, radius)
         j = at[j]
         keep = i < j
+        if until is not None:
+            keep &= j < until[i]
         found_i.append(i[keep])
         found_j.append(j[keep])
         low = high
@@ -146,14 +151,16 @@ def block_keys(fp: Column, shared: int, blocks: int) -> list[Column]:
     return keys
 
 
-def tiled(rows: DataFrame, key: str, spread: Column, tile: int) -> DataFrame:
+def tiled(rows: DataFrame, key: str, spread: Column, tile: int, few_keys: bool = False) -> DataFrame:
     """Adds `pair`, and rows so that every two rows with the same key meet under at least one pair.
 
     Keys with a single row are left out, as they have no partner. A key with more than `tile` rows is cut into
     tiles by `spread`; each tile meets each other tile under a pair of its own, so that a hot key becomes
-    many tasks of bounded size and no row is left out.
+    many tasks of bounded size and no row is left out. few_keys says that the key has a bounded number of values, so that
+    their sizes can be sent to all tasks.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    sizes = F.broadcast(sizes) if few_keys else sizes
     tiles = F.ceil(F.col("rows") / tile).cast("long")
     own = F.pmod(spread, tiles)
     met = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.least(t, own) * (1 << 31) + F.greatest(t, own))

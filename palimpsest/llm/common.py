@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows of an Arrow batch, as whole texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while (name := f"_{name}") in taken:
+        pass
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

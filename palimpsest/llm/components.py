@@ -11,13 +11,14 @@ from .. import scratch
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a long, b long) links to (node, root): each node that has a link, with the smallest node reachable.
 
-    Rounds end when the links no longer change; each one is written to the shared folder, so that lost
+    The links are written before the first round. Rounds end when they no longer change; each one is written to the shared folder, so that lost
     executors cost a round at most. The minimum of a node's neighbours is combined before it is shuffled,
     and the joins are plain ones that adaptive execution can split, so a star's hot centre is no one task's.
     """
     spark = edges.sparkSession
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    state, before, path = None, links, None
+    path = scratch.write(links, "links")  # a round reads its links several times; edges are computed once
+    state, before = None, scratch.load(spark, path, links)
     for _ in range(most_rounds):
         both = before.select("u", "v").unionByName(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -28,8 +29,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = scratch.write(after, "links")
         after = scratch.load(spark, new, after)
         now = after.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if path:
-            scratch.drop(spark, path)
+        scratch.drop(spark, path)
         path, before = new, after
         if now == state:
             break

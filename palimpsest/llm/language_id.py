@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+
 
 UND = "und"
 #: Words whose counts a worker keeps; beyond it the memory is emptied.
@@ -173,7 +173,6 @@ def fit(labelled: DataFrame, sample_docs: int = 256, sample_chars: int = 4096, s
 
 def identify(spark: SparkSession, docs: DataFrame, model: Languages, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """docs with two more columns: the predicted language and the score."""
-    small_batches(spark)
     if {lang_as, score_as} & set(docs.columns):
         raise ValueError(f"name the new columns otherwise: {lang_as} or {score_as} is there already")
     shared = spark.sparkContext.broadcast(model)  # bounded by most_languages times sample_size

@@ -1,16 +1,18 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (A-Z lower-cased, digits to 0, ASCII punctuation to spaces, spaces collapsed; a line of punctuation alone stays as
-it is). Equal normal forms are one line from the start. A line of `min_words` or more words gets a SimHash of its words; candidates
-share blocks of it (pigeonhole, so no pair within `radius` is lost), and two lines link if their
-SimHashes differ in `radius` bits or fewer and their edit similarity, 1 - distance / longer length, is `similarity` or more.
-Of each connected group one occurrence stays: the one with the smallest (doc_id, line number). Blank lines are no lines.
-
-Candidates are first grouped by SimHash alone, narrow rows without text; only lines with a near partner get their
-text back for the verification, which runs on tiles of a bounded size however large a group is, and skips pairs that
-are connected already.
-Defined cases: null texts have no lines; rows that repeat a doc_id count as one document, whose equal lines at one place are one
-occurrence; rows without an id are left out; an empty table gives an empty result; other columns are ignored.
+Lines are normalised (A-Z lower-cased, digits to 0, ASCII punctuation to spaces, spaces collapsed; a line of punctuation alone keeps
+it). Equal normal forms are one line from the start. Each form has two SimHashes of 64 bits over its runs of `GRAM` bytes; candidates share one of
+`blocks` blocks of either (pigeonhole: no pair within blocks - 1 bits of one SimHash is missed), are within `radius` bits of that one and `wide` of
+both, and have lengths that allow the similarity. Candidates link if their edit similarity, 1 - distance / longer length in code
+points, is `similarity` or more. Of each connected group one occurrence stays: the first by (doc_id, text's hash, line). Blank lines are no lines.
+
+Blocks hold narrow rows without text. Inside a block, rows are sorted by length and meet only those that are short enough. Rows that are near each other in a block make a
+group; equal groups of different blocks are one. Only lines in groups get their forms, from their texts, and are verified in the group; a group of
+many or long lines is cut into parts that all meet each other, so that a task holds a bounded size. Pairs that are connected already are skipped.
+
+Defined cases: null texts have no lines; rows with the same id and the same text count as one document and share their fate, rows with the same id and
+other texts are documents of their own; rows without an id are left out of the decisions and deduplicate() leaves them as they are; an empty table gives an empty result; other
+columns are ignored. The distance of two long lines takes time with the product of their lengths, after what they begin and end with in common.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bitslice import confirmed, links, near, runs_of, tiled
-from .common import bytes_of, emit, small_batches, with_last
+from .bitslice import block_keys, confirmed, forest, near, runs_of, tiled
+from .common import bytes_of, fresh, with_last
 from .components import components
 from .simhash_dedup import majority
 
@@ -34,30 +36,47 @@ NORMAL = bytes.maketrans(
     (string.ascii_uppercase + string.digits + string.punctuation).encode(),
     (string.ascii_lowercase + "0" * 10 + " " * len(string.punctuation)).encode(),
 )
-WORDS: dict[bytes, int] = {}
-CACHE_SIZE = 700_000
+#: Bytes of a run that is hashed.
+GRAM = 6
+#: Rows of a block that are compared at once, and the bytes of text that a group's part holds.
+TILE, PART = 1 << 15, 8 << 20
+#: Bytes of text whose SimHashes are made at once.
+CHUNK = 1 << 19
+# Odd multipliers that mix a run's bytes into 64 bits.
+MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
 def normal(line: bytes) -> bytes:
     return b" ".join(line.translate(NORMAL).split()) or b" ".join(line.split())
 
 
-def word_hashes(words: list[bytes]) -> list[int]:
-    try:
-        return [WORDS[w] for w in words]
-    except KeyError:
-        if len(WORDS) > CACHE_SIZE:
-            WORDS.clear()
-        for w in words:
-            if w not in WORDS:
-                WORDS[w] = xxhash.xxh64_intdigest(w, 7)
-        return [WORDS[w] for w in words]
+def prints_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Two SimHashes of each form over its runs of GRAM bytes, the form having GRAM - 1 spaces on both sides."""
+    if not forms:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    edge = b" " * (GRAM - 1)
+    text = edge + edge.join(forms) + b" " * 8
+    counts = np.array([*map(len, forms)]) + GRAM - 1
+    # With these spaces between forms, a run that begins in a form or in the spaces before it holds no byte of another form.
+    h = np.ndarray((int(counts.sum()),), "<u8", text, 0, (1,)) & np.uint64((1 << 8 * GRAM) - 1)
+    h *= MIX[0]
+    h ^= h >> np.uint64(32)
+    h *= MIX[1]
+    h ^= h >> np.uint64(29)
+    return majority(h * MIX[2], counts), majority((h ^ MIX[0]) * MIX[1] ^ (h >> np.uint64(31)), counts)
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a whole column of the table at a time in the bits of an integer."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, a whole column of the table at a time in the bits of an integer; ends early once it must exceed `most`."""
     if len(a) < len(b):
         a, b = b, a
+    head = 0
+    while head < len(b) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < len(b) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if not b:
         return len(a)
     places: dict[str, int] = {}
@@ -65,6 +84,7 @@ def edit_distance(a: str, b: str) -> int:
         places[c] = places.get(c, 0) | 1 << k
     full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
     plus, minus, distance = full, 0, len(b)
+    left = len(a)
     for c in a:
         match = places.get(c, 0)
         diagonal = (((match & plus) + plus) ^ plus) | match | minus
@@ -74,6 +94,9 @@ def edit_distance(a: str, b: str) -> int:
             distance += 1
         elif down & top:
             distance -= 1
+        left -= 1
+        if most is not None and distance - left > most:
+            return distance - left
         up = (up << 1) | 1
         down <<= 1
         plus = (down | ~(diagonal | up)) & full
@@ -85,82 +108,189 @@ def similar(a: str, b: str, least: float) -> bool:
     longer = max(len(a), len(b))
     if not longer or a == b:
         return True
-    if abs(len(a) - len(b)) > (1 - least) * longer:
+    if min(len(a), len(b)) < least * longer:
         return False
-    return 1 - edit_distance(a, b) / longer >= least
+    return 1 - edit_distance(a, b, int((1 - least) * longer) + 1) / longer >= least
+
+
+LINE = pa.struct([("line", pa.int32()), ("size", pa.int32()), ("key", pa.binary()), ("fp", pa.int64()), ("fp2", pa.int64())])
+
+
+def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, text): rows with an id; text_key tells texts with one id apart."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return rows.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
+
 
+def text_key(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
-def lines(docs: DataFrame, min_words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line, key, fp): each line's place, the 128-bit hash of its normal form, and its SimHash (null for short lines)."""
-    small_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("key", pa.binary()), ("fp", pa.int64())])
+
+def lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_key, lines): of each line that isn't blank its number, the length of its normal form, that one's 128-bit hash, and its SimHashes."""
+
+    def made(texts: list[bytes]) -> pa.Array:
+        forms, places, ends = [], [], [0]
+        for text in texts:
+            for k, line in enumerate(text.split(b"\n")):
+                if form := normal(line):
+                    forms.append(form)
+                    places.append(k)
+            ends.append(len(forms))
+        fp, fp2 = prints_of(forms)
+        sizes = [len(f) if f.isascii() else len(f.decode()) for f in forms]
+        keys = pa.array([*map(xxhash.xxh3_128_digest, forms)], pa.binary())
+        fields = [pa.array(places, pa.int32()), pa.array(sizes, pa.int32()), keys, pa.array(fp.view(np.int64)), pa.array(fp2.view(np.int64))]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, fields=[*LINE]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc_ids, places, keys, hashes, sizes = [], [], [], [], []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), strict=True):
-                for k, line in enumerate(text.split(b"\n")):
-                    if form := normal(line):
-                        doc_ids.append(doc)
-                        places.append(k)
-                        keys.append(xxhash.xxh3_128_digest(form))
-                        words = form.split(b" ")
-                        sizes.append(len(words) if len(words) >= min_words else 0)
-                        if len(words) >= min_words:
-                            hashes += word_hashes(words)
-            sizes = np.array(sizes, np.int64)
-            fp = majority(np.array(hashes, np.uint64), sizes).view(np.int64)
-            yield emit(schema, [doc_ids, places, keys, pa.array(fp, mask=sizes == 0)])
+            texts, low, size = bytes_of(batch, "text"), 0, 0
+            for k, text in enumerate(texts):
+                size += len(text)
+                if size >= CHUNK or k == len(texts) - 1:
+                    part = batch.slice(low, k + 1 - low)
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), made(texts[low : k + 1])], names=["doc_id", "text_key", "lines"])
+                    low, size = k + 1, 0
+
+    return rows.mapInArrow(run, "doc_id long, text_key string, lines array<struct<line: int, size: int, key: binary, fp: long, fp2: long>>")
+
+
+def groups(forms: DataFrame, blocks: int, radius: int, wide: int, similarity: float) -> DataFrame:
+    """(group long, id long): forms that are near each other in a block; groups with the same members are one."""
+    sides = (F.struct(key.alias("key"), F.col("fp"), F.col("fp2")) for key in block_keys(F.col("fp"), 1, blocks))
+    others = (F.struct((-1 - key).alias("key"), F.col("fp2").alias("fp"), F.col("fp").alias("fp2")) for key in block_keys(F.col("fp2"), 1, blocks))
+    keyed = forms.select("id", "size", F.explode(F.array(*sides, *others)).alias("k")).select("k.*", "id", "size")
+    dealt = tiled(keyed, "key", F.xxhash64("id"), TILE, few_keys=True)  # keys have 64 / blocks bits
+    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "size", "id")
+    most = PART
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in with_last(batches, ["key", "pair"]):
+            fp, fp2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+            ids, sizes = group.column("id").to_numpy(), group.column("size").to_numpy()
+            starts = runs_of(group, ["key", "pair"])
+            i, j = near(fp, starts, radius, until=reach(sizes, starts, similarity))
+            both = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= wide
+            label = forest(len(fp), i[both], j[both])
+            members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+            members = members[np.lexsort((ids[members], label[members]))]
+            names, own = [], []
+            for part in np.split(members, np.flatnonzero(np.diff(label[members])) + 1) if len(members) else []:
+                for some in parts(part, sizes, most):
+                    names.append(np.full(len(some), xxhash.xxh3_64_intdigest(ids[some].tobytes()), np.uint64).view(np.int64))
+                    own.append(ids[some])
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, own)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["group", "id"])
+
+    return dealt.select("key", "pair", "fp", "fp2", "id", "size").mapInArrow(search, "group long, id long").distinct()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    return rows.mapInArrow(run, "doc_id long, line int, key binary, fp long")
 
+def reach(sizes: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
+    """For each row of runs sorted by size, the position after the last row of its run whose length allows the similarity."""
+    ends = np.append(starts[1:], len(sizes))
+    out = np.empty(len(sizes), np.int64)
+    for low, high in zip(starts, ends, strict=True):
+        out[low:high] = low + np.searchsorted(sizes[low:high], sizes[low:high] / similarity + 1e-6, "right")
+    return out
 
-def verified(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """(family, pair, fp, id, form) to links (a, b) between lines near in SimHash and in their edits; a spanning forest of each tile."""
+
+def parts(members: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The members at once, or where their lines are too much text, every two parts of a bounded size together."""
+    chunk = np.cumsum(sizes[members].astype(np.int64)) // most
+    cut = np.split(members, np.flatnonzero(np.diff(chunk)) + 1)
+    if len(cut) == 1:
+        yield members
+    for a in range(len(cut)):
+        for b in range(a + 1, len(cut)):
+            yield np.concatenate((cut[a], cut[b]))
+
+
+def candidates(differ: np.ndarray, differ2: np.ndarray, blocks: int, radius: int, wide: int) -> np.ndarray:
+    """Whether two lines are candidates, by the bits in which their SimHashes differ."""
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [np.uint64(((1 << high) - 1) ^ ((1 << low) - 1)) for low, high in zip(edges, edges[1:], strict=False)]
+    counts = [np.bitwise_count(x) for x in (differ, differ2)]
+    shared = [np.any([x & m == 0 for m in masks], axis=0) for x in (differ, differ2)]
+    return (counts[0] + counts[1] <= wide) & ((shared[0] & (counts[0] <= radius)) | (shared[1] & (counts[1] <= radius)))
+
+
+def verified(members: DataFrame, blocks: int, radius: int, wide: int, similarity: float) -> DataFrame:
+    """(group, id, fp, fp2, form) to links (a, b) between lines near in SimHash and in their edits; a spanning forest of each group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in with_last(batches, ["group"]):
+            fp, fp2 = (some.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+            ids, forms = some.column("id").to_numpy(), some.column("form").to_pylist()
+            starts = runs_of(some, ["group"])
+            pairs = [near(x, starts, radius) for x in (fp, fp2)]
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            meet = candidates(fp[i] ^ fp[j], fp2[i] ^ fp2[j], blocks, radius, wide)
+            i, j = i[meet], j[meet]
+            order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]), kind="stable")
+            tried: dict[tuple[int, int], bool] = {}
+
+            def test(x: int, y: int, forms: list[str] = forms, tried: dict = tried) -> bool:
+                if (x, y) not in tried:
+                    tried[x, y] = similar(forms[x], forms[y], similarity)
+                return tried[x, y]
+
+            a, b = confirmed(len(fp), i[order], j[order], test)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
+
+    return members.repartition("group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
+
+
+def with_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, fp, fp2, form) of wanted lines (id, doc_id, text_key, line, fp, fp2), read again from the texts of rows."""
+    line = F.struct("line", "id", "fp", "fp2")
+    places = wanted.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(line).alias("places"))  # a text's lines at most
+    texts = rows.join(places, (F.col("doc_id") == F.col("d")) & (F.col("text_key") == F.col("k"))).select("text", "places")
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("fp2", pa.int64()), ("form", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in with_last(batches, ["family", "pair"]):
-            fp, ids = group.column("fp").to_numpy().view(np.uint64), group.column("id").to_numpy()
-            forms = group.column("form").to_pylist()
-            i, j = near(fp, runs_of(group, ["family", "pair"]), radius)
-            a, b = confirmed(len(fp), i, j, lambda x, y, forms=forms: similar(forms[x], forms[y], similarity))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
-
-    return rows.repartition("family", "pair").sortWithinPartitions("family", "pair").mapInArrow(run, "a long, b long")
-
-
-def kept_lines(docs: DataFrame, min_words: int = 5, radius: int = 3, blocks: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_kept, kept_lines): per document its lines (blank ones aside), those that stay, and their numbers from 0."""
-    found = scratch.save(lines(docs, min_words, id_col, text_col), "lines")
-    place = F.struct("doc_id", "line")
-    forms = found.groupBy("key").agg(F.min(place).alias("first"), F.first("fp").alias("fp"))
-    forms = scratch.save(forms.withColumn("id", F.monotonically_increasing_id()), "forms")
-    prints = forms.where("fp is not null").groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    near_prints = components(links(prints.select("fp", F.col("fp").alias("node")), radius, blocks))
-    family = prints.join(near_prints.withColumnRenamed("node", "fp"), "fp", "left").where("root is not null or n > 1")
-    family = forms.join(family.select("fp", F.coalesce("root", "fp").alias("family")), "fp").select("family", "fp", "id", "first.doc_id", "first.line")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    letters = string.ascii_uppercase + string.digits + string.punctuation
-    form = F.translate(F.get(F.split("text", "\n"), F.col("line")), letters, string.ascii_lowercase + "0" * 10 + " " * len(string.punctuation))
-    form = F.trim(F.regexp_replace(form, r"[\x20\x09-\x0D]+", " "))
-    family = family.join(texts, "doc_id").select("family", "fp", "id", form.alias("form"))
-    family = scratch.save(family.dropDuplicates(["id"]), "families")
-    edges = verified(tiled(family, "family", F.xxhash64("id"), 512), radius, similarity)
-    groups = components(edges).select(F.col("node").alias("id"), "root")
-    firsts = forms.join(groups, "id", "left").groupBy(F.coalesce("root", "id").alias("group")).agg(F.min("first").alias("first"))
-    stay = firsts.groupBy("first.doc_id").agg(F.count(F.lit(1)).alias("n_kept"), F.array_join(F.array_sort(F.collect_list("first.line")), ",").alias("kept_lines"))
-    counts = found.groupBy("doc_id").agg(F.count_distinct("line", "key").alias("n_lines"))
-    out = docs.select(F.col(id_col).cast("long").alias("doc_id")).join(counts, "doc_id", "left").join(stay, "doc_id", "left")
-    zero = F.lit(0).cast("long")
-    return out.select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_kept", zero).alias("n_kept"), F.coalesce("kept_lines", F.lit("")).alias("kept_lines"))
+        for batch in batches:
+            out = []
+            for text, own in zip(bytes_of(batch, "text"), batch.column("places").to_pylist(), strict=True):
+                parts_ = text.split(b"\n")
+                out += [{"id": x["id"], "fp": x["fp"], "fp2": x["fp2"], "form": normal(parts_[x["line"]]).decode()} for x in own]
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
+
+    made = texts.mapInArrow(run, "id long, fp long, fp2 long, form string")
+    return made.dropDuplicates(["id"])
+
+
+def kept_lines(
+    docs: DataFrame, blocks: int = 5, radius: int = 10, wide: int = 24, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, text_key, n_lines, n_kept, kept_lines), a row per row with an id: its lines (blank ones aside), those that stay, and their numbers from 0."""
+    spark = docs.sparkSession
+    rows = documents_of(docs, id_col, text_col)
+    found = scratch.save(lines(rows), "lines")
+    single = found.select("doc_id", "text_key", F.explode("lines").alias("x")).select("doc_id", "text_key", "x.*")
+    forms = single.groupBy("key").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), *(F.first(c).alias(c) for c in ("fp", "fp2", "size")))
+    forms = scratch.save(forms.drop("key").withColumn("id", F.monotonically_increasing_id()), "forms")
+    near_by = groups(forms, blocks, radius, wide, similarity)
+    path = scratch.write(near_by, "groups")
+    near_by = scratch.load(spark, path, near_by)
+    wanted = forms.join(near_by.select("id").distinct(), "id").select("id", "fp", "fp2", "first.*")
+    edges = verified(near_by.join(with_forms(rows, wanted), "id").select("group", "id", "fp", "fp2", "form"), blocks, radius, wide, similarity)
+    roots = components(edges)
+    scratch.drop(spark, path)
+    of_root = forms.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "first")
+    firsts = of_root.groupBy("root").agg(F.min("first").alias("first"))
+    stay = firsts.groupBy("first.doc_id", "first.text_key").agg(F.array_sort(F.collect_list("first.line")).alias("stay"))  # a text's lines at most
+    out = found.select("doc_id", "text_key", F.size("lines").cast("long").alias("n_lines")).join(stay, ["doc_id", "text_key"], "left")
+    n_kept = F.when(F.col("stay").isNull(), 0).otherwise(F.size("stay")).cast("long")
+    return out.select("doc_id", "text_key", "n_lines", n_kept.alias("n_kept"), F.coalesce(F.array_join("stay", ","), F.lit("")).alias("kept_lines"))
 
 
 def deduplicate(docs: DataFrame, decisions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the lines that stay (and blank lines) only, by the decisions of kept_lines()."""
-    own = decisions.select(F.col("doc_id").alias("__id"), F.split("kept_lines", ",").alias("__kept")).dropDuplicates(["__id"])
-    joined = docs.join(own, F.col(id_col) == F.col("__id"), "left")
-    parts = F.split(text_col, "\n")
-    stays = F.filter(parts, lambda line, k: (F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")) == "") | F.array_contains("__kept", k.cast("string")))
-    text = F.when(F.col("__kept").isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col))
+    own_id, own_key, kept = (fresh(docs, c) for c in ("id", "key", "kept"))
+    own = decisions.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key), F.split("kept_lines", ",").alias(kept)).dropDuplicates([own_id, own_key])
+    joined = docs.join(own, (F.col(id_col).cast("long") == F.col(own_id)) & (text_key(F.col(text_col)) == F.col(own_key)), "left")
+    cut = F.split(text_col, "\n")
+    stays = F.filter(cut, lambda line, k: (F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")) == "") | F.array_contains(kept, k.cast("string")))
+    text = F.when(F.col(kept).isNotNull(), F.array_join(stays, "\n")).otherwise(F.col(text_col))
     return joined.withColumn(text_col, text).select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, emit, small_batches
+from .common import bytes_of, emit
 from .key_ranges import KeyRanges
 
 SLOTS = 64
@@ -70,7 +70,6 @@ def text_of(signature_: np.ndarray) -> str:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint), a row per document."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fingerprint", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +92,6 @@ def splice_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows without an id are left out; rows that repeat an id follow each other, in the order of their texts.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
     count = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .common import bytes_of, emit, small_batches
+from .common import bytes_of, emit
 
 CACHE: dict[str, dict[bytes, bytes]] = {}
 TOKENIZER: dict = {}
@@ -75,7 +75,6 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, copy (tells repeated rows apart), piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("copy", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = int(end_id).to_bytes(4, "little")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import emit, small_batches
+from .common import emit
 
 SPACE = "▁"
 MODELS: dict[str, "PieceModel"] = {}
@@ -187,7 +187,6 @@ def model_at(path: str) -> PieceModel:
 
 def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256); the ids end with the model's end id. ids is null unless asked for."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.string()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

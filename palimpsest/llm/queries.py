@@ -50,7 +50,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.kept_lines(table(configure(spark), sf_dir, "documents"))
+    return line_dedup.kept_lines(table(configure(spark), sf_dir, "documents")).drop("text_key")
 
 
 def op7_sentencepiece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,35 +22,59 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from .bitslice import TILE, confirmed, linked, links, near, runs_of, tiled
-from .common import bytes_of, emit, small_batches, with_last
+from .common import bytes_of, emit, with_last
 from .components import components
 
-LANES = np.uint64(0x0101010101010101)
+#: Hashes that are counted together: six bit planes hold counts up to 63.
+PIECE = 63
+
+
+def _added(rows: np.ndarray) -> list[np.ndarray]:
+    """Bit planes of the counts of set bits over the PIECE rows of a column, by carry-save adders."""
+    planes = []
+    while len(rows):
+        carries = []
+        while len(rows) > 1:
+            third = max(1, len(rows) // 3)
+            a, b = rows[:third], rows[third : 2 * third]
+            both = a ^ b
+            if len(rows) == 2:
+                carries.append(a & b)
+                rows = both
+                break
+            c = rows[2 * third : 3 * third]
+            carries.append((a & b) | (both & c))
+            rows = np.concatenate((both ^ c, rows[3 * third :]))
+        planes.append(rows[0])
+        rows = np.concatenate(carries) if carries else rows[:0]
+    return planes
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """A fingerprint for each run of `sizes` hashes: the bits set in over half of the run.
 
-    Eight bits of eight bytes are summed at once in byte lanes, for up to 255 hashes, then widened.
+    Runs are cut into pieces, whose bits are counted 64 at a time in bit planes; then the counts of a run's pieces are added.
     """
     out = np.zeros(len(sizes), np.uint64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
     sizes = sizes[full]
-    starts = np.cumsum(sizes) - sizes
-    pieces = (sizes + 254) // 255
-    piece_run = np.repeat(np.arange(len(sizes)), pieces)
-    nth = np.arange(len(piece_run)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    cuts = starts[piece_run] + 255 * nth
+    pieces = (sizes + PIECE - 1) // PIECE
     first = np.cumsum(pieces) - pieces
-    fingerprint = np.zeros(len(sizes), np.uint64)
-    for shift in range(8):
-        lanes = np.add.reduceat((hashes >> np.uint64(shift)) & LANES, cuts)
-        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
-        for byte in range(8):
-            fingerprint |= (2 * counts[:, byte] > sizes).astype(np.uint64) << np.uint64(8 * byte + shift)
-    out[full] = fingerprint
+    total = int(pieces.sum())
+    grid = np.zeros(total * PIECE, np.uint64)
+    grid[np.arange(len(hashes)) + np.repeat(first * PIECE - (np.cumsum(sizes) - sizes), sizes)] = hashes
+    grid = grid.reshape(total, PIECE)
+    counts = np.empty((total, 64), np.uint8)
+    for low in range(0, total, 512):
+        planes = _added(np.ascontiguousarray(grid[low : low + 512].T))
+        part = np.zeros((len(planes[0]), 64), np.uint8)
+        for k, plane in enumerate(planes):
+            part |= np.unpackbits(plane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") << k
+        counts[low : low + 512] = part
+    counts = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -64,7 +88,6 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
     """(doc_id long, fp long), a row per document; if keyed, also key, a 128-bit hash of the text's words."""
-    small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("key", pa.binary())] * keyed)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +141,6 @@ def confirmed_duplicates(
     with a Jaccard similarity of 0.8, a share of 1 - (1 - 0.8 ** band_rows) ** bands has such a band.
     Texts with the same words are one node. Families of linked texts get their texts back and are confirmed in tiles of bounded size.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     prints = scratch.save(fingerprints(rows, words, keyed=True), "simhash")
     nodes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")

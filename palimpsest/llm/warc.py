@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bytes_of, emit, small_batches
+from .common import bytes_of, emit
 from .key_ranges import KeyRanges
 
 DATE = "2024-01-01T00:00:00Z"
@@ -106,7 +106,6 @@ class Shard:
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 16_000_000, range_rows: int = 2000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes archives and their manifest under folder; returns the manifest."""
     spark = pages.sparkSession
-    small_batches(spark, 200)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
     sums = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
     firsts = sums.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -189,7 +188,6 @@ def page_in(id_: str) -> int | None:
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload), a row per record. Digests of responses are computed from
     what was read and must equal the headers', and a file must hold as many records as the manifest says; payload is null unless asked for."""
-    small_batches(spark, 200)
     listed = manifest(spark, folder).select("file", "records").orderBy("file")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 

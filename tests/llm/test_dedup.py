@@ -213,29 +213,53 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == distance(a, b)
 
 
-def brute_lines(rows, min_words=5, radius=3, similarity=0.8):
+def print_of(form, second):
+    """A SimHash of runs of six bytes, bit by bit."""
+    padded, hs = b" " * 5 + form + b" " * 5, []
+    m1, m2, m3 = map(int, line_dedup.MIX)
+    for k in range(len(form) + 5):
+        h = int.from_bytes(padded[k : k + 6], "little") * m1 % 2**64
+        h = (h ^ h >> 32) * m2 % 2**64
+        h ^= h >> 29
+        hs.append((h ^ m1) * m2 % 2**64 ^ h >> 31 if second else h * m3 % 2**64)
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_lines(rows, similarity=0.8, blocks=5, radius=10, wide=24):
     found = {}
     for d, t in rows:
-        for k, line in enumerate((t or "").split("\n")):
-            if form := line_dedup.normal(line.encode()):
-                found[(d, k)] = form
+        if d is not None:
+            for k, line in enumerate((t or "").split("\n")):
+                if form := line_dedup.normal(line.encode()):
+                    found[d, hashlib.md5((t or "").encode()).hexdigest(), k] = form
     forms = sorted(set(found.values()))
-    fps = {}
-    for f in forms:
-        w = f.split(b" ")
-        if len(w) >= min_words:
-            hs = [xxhash.xxh64_intdigest(x, 7) for x in w]
-            fps[f] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
-    edges = [(a, b) for a, b in itertools.combinations(fps, 2) if bin(fps[a] ^ fps[b]).count("1") <= radius and 1 - distance(a.decode(), b.decode()) / max(len(a.decode()), len(b.decode())) >= similarity]
-    root = closure(forms, edges)
+    fps = {f: (print_of(f, False), print_of(f, True)) for f in forms}
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+
+    def meet(a, b):
+        counts = [bin(x ^ y).count("1") for x, y in zip(fps[a], fps[b])]
+        shared = [any((x ^ y) >> low & ((1 << (high - low)) - 1) == 0 for low, high in zip(edges, edges[1:])) for x, y in zip(fps[a], fps[b])]
+        return sum(counts) <= wide and any(c <= radius and s for c, s in zip(counts, shared))
+
+    alike = lambda a, b: 1 - distance(a.decode(), b.decode()) / max(len(a.decode()), len(b.decode())) >= similarity
+    root = closure(forms, [(a, b) for a, b in itertools.combinations(forms, 2) if meet(a, b) and alike(a, b)])
     kept = {}
     for place, form in sorted(found.items()):
         kept.setdefault(root[form], place)
     stay = set(kept.values())
-    return {d: (sum(p[0] == d for p in found), sorted(p[1] for p in stay if p[0] == d)) for d, _ in rows}
+    out = []
+    for d, t in rows:
+        if d is not None:
+            key = hashlib.md5((t or "").encode()).hexdigest()
+            out.append((d, key, sum(p[:2] == (d, key) for p in found), sorted(p[2] for p in stay if p[:2] == (d, key))))
+    return sorted(out)
+
+
+def decided(frame):
+    return sorted((x["doc_id"], x["text_key"], x["n_lines"], [*map(int, filter(None, x["kept_lines"].split(",")))]) for x in frame.collect())
 
 
-def test_lines(spark):
+def line_rows():
     r = random.Random(2)
     pool = [" ".join(r.choices([f"word{i}" for i in range(300)], k=r.choice([2, 6, 30, 60]))) for _ in range(25)]
     rows = []
@@ -246,22 +270,45 @@ def test_lines(spark):
         parts[-1] = parts[-1] + "x"
         lines[1] = " ".join(parts)
         rows.append((d, "\n".join([*lines, "", "***", f"number {d} of the lines counted here"])))
-    rows += [(100, None), (101, ""), (102, "\n \n"), (103, "a\r\nb\ta")]
+    rows += [(100, None), (101, ""), (102, "\n \n"), (103, "a\r\nb\ta"), (104, "-----\n" + "-" * 60), (None, "no id"), (105, "é " * 3000 + "x"), (106, "é " * 2999 + "y")]
+    return rows + [(1, "short"), (1, "a\nb\n" + pool[3]), (2, pool[3] + " x"), (1, "short"), (107, rows[5][1]), (7, rows[5][1])]
+
+
+@pytest.mark.parametrize("part, tile", [(8 << 20, 1 << 15), (300, 4)])
+def test_lines(spark, monkeypatch, part, tile):
+    monkeypatch.setattr(line_dedup, "PART", part)
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rows = line_rows()
     want = brute_lines(rows)
     decisions = line_dedup.kept_lines(docs(spark, rows))
-    got = {x["doc_id"]: (x["n_lines"], sorted(map(int, filter(None, x["kept_lines"].split(","))))) for x in decisions.collect()}
-    assert got == want
-    texts = {x["doc_id"]: x["text"] for x in line_dedup.deduplicate(docs(spark, rows), decisions).collect()}
+    assert decided(decisions) == want
+    by_text = {(d, k): set(keep) for d, k, _, keep in want}
+    texts = sorted(((x["doc_id"], x["text"]) for x in line_dedup.deduplicate(docs(spark, rows), decisions).collect()), key=str)
+    left = []
     for d, t in rows:
-        keep = set(want[d][1])
-        if t is None:
-            assert texts[d] is None
-        else:
-            assert texts[d] == "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" \t\n\r\x0b\x0c") or k in keep)
+        keep = by_text.get((d, hashlib.md5((t or "").encode()).hexdigest()))
+        left.append((d, t if t is None or d is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" \t\n\r\x0b\x0c") or k in keep)))
+    assert texts == sorted(left, key=str)
     assert line_dedup.kept_lines(docs(spark, [])).count() == 0
 
 
+def test_links_are_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    edges = spark.range(1000).selectExpr("id a", "id + 1 b").mapInArrow(count, "a long, b long")
+    assert {x["root"] for x in components(edges).collect()} == {0}
+    assert seen.value == 1000
+
+
 def test_lines_query(spark, sf):
+    """All lines of the smallest table against brute force."""
     got = op6_fuzzy_line_dedup(spark, sf)
     assert got.columns == ["doc_id", "n_lines", "n_kept", "kept_lines"]
-    assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    rows = [tuple(x) for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute_lines(rows)
+    assert sorted((x["doc_id"], x["n_lines"], x["n_kept"], x["kept_lines"]) for x in got.collect()) == sorted((d, n, len(keep), ",".join(map(str, keep))) for d, _, n, keep in want)
