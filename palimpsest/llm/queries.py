@@ -46,7 +46,9 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(configure(spark), sf_dir, "documents"))
     counts = [secrets.of_kind(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+    tests = F.array_join(F.transform("tests", lambda t: F.concat_ws(":", t["start"].cast("string"), t["end"].cast("string"), t["stratum"], F.format_number(t["p"], 4))), ",")
+    joined = secrets.joined(F.col("base")).cast("binary")
+    return found.select("doc_id", *counts, F.sha2(joined, 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"), tests.alias("tests"))
 
 
 def op6_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -169,6 +170,34 @@ def test_random_tokens_of_one_case(spark):
     assert min(counts[n] for n in ("b32l", "b36", "B36")) >= 26, counts
 
 
+def test_secrets_in_a_very_long_text(spark):
+    r = random.Random(17)
+    pieces = [f"é{k} {random_token(r, '0123456789abcdef', 24)} word " for k in range(20_000)]
+    text = "".join(pieces)
+    started = time.monotonic()
+    frame = docs(spark, [(1, text), (2, "plain")])
+    got = {x["doc_id"]: x for x in secrets.find(frame).collect()}
+    assert [tuple(x) for x in got[1]["base"]] == [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+    assert {x["doc_id"]: x["text"] for x in secrets.redact(frame).collect()} == {1: re.sub("[0-9a-f]{24,}", "[SECRET]", text), 2: "plain"}
+    assert time.monotonic() - started < 120
+
+
+def test_tests_are_given_for_known_secrets_too(spark):
+    token = "aB3dE5gH7jK9mN1pQ3sT5vW7xY2zR8uL4cF6"
+    got = secrets.find(docs(spark, [(1, f"password={token} and {token}9")])).collect()[0]
+    assert [(x["start"], x["end"]) for x in got["tests"]] == [(9, 45), (50, 87)]
+    assert [tuple(x) for x in got["spans"]] == [(0, 0, 45), (50, 3, 87)]
+
+
+def test_lumps_of_middling_tokens_are_no_secrets(spark):
+    """Tokens of which none is above one half are not evenly drawn; evenly spread ones are, but for the least."""
+    rows = [("lump", k, 0.02 + 0.4 * k / 200) for k in range(200)] + [("even", k, (k + 0.5) / 200) for k in range(200)] + [("one", 0, 0.3)] * 50
+    got = secrets.thresholds(spark.createDataFrame(rows, "stratum string, hash long, p double"), 0.05, 0.01)
+    assert got["lump"] > 0.4
+    assert got["even"] == 0.01
+    assert got["one"] == 0.01
+
+
 def test_redaction(spark):
     rows, planted = secret_rows()
     frame = docs(spark, rows)
