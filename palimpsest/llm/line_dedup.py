@@ -7,7 +7,7 @@ both, and have lengths that allow the similarity. Candidates link if their edit
 points, is `similarity` or more. Of each connected group one occurrence stays: the first by (doc_id, text's hash, line). Blank lines are no lines.
 
 Blocks hold narrow rows without text. Inside a block, rows are sorted by length and meet only those that are short enough. Rows that are near each other in a block make a
-group; equal groups of different blocks are one. Only lines in groups get their forms, from their texts, and are verified in the group; a group of
+group; a pair counts in the first block that it shares. Only lines in groups get their forms, from their texts, and are verified in the group; a group of
 many or long lines is cut into parts that all meet each other, so that a task holds a bounded size. Pairs that are connected already are skipped.
 
 Defined cases: null texts have no lines; rows with the same id and the same text count as one document and share their fate, rows with the same id and
@@ -105,11 +105,15 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 
 def similar(a: str, b: str, least: float) -> bool:
+    """Whether the edit similarity is `least` or more; where replacing words by those in their places is cheap enough, no distance is needed."""
     longer = max(len(a), len(b))
     if not longer or a == b:
         return True
     if min(len(a), len(b)) < least * longer:
         return False
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and 1 - sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q]) / longer >= least:
+        return True
     return 1 - edit_distance(a, b, int((1 - least) * longer) + 1) / longer >= least
 
 
@@ -157,33 +161,35 @@ def lines(rows: DataFrame) -> DataFrame:
 
 
 def groups(forms: DataFrame, blocks: int, radius: int, wide: int, similarity: float) -> DataFrame:
-    """(group long, id long): forms that are near each other in a block; groups with the same members are one."""
+    """(group long, block int, id long): forms that are near each other in a block, connected by the pairs that no block before it has."""
     sides = (F.struct(key.alias("key"), F.col("fp"), F.col("fp2")) for key in block_keys(F.col("fp"), 1, blocks))
     others = (F.struct((-1 - key).alias("key"), F.col("fp2").alias("fp"), F.col("fp").alias("fp2")) for key in block_keys(F.col("fp2"), 1, blocks))
     keyed = forms.select("id", "size", F.explode(F.array(*sides, *others)).alias("k")).select("k.*", "id", "size")
     dealt = tiled(keyed, "key", F.xxhash64("id"), TILE, few_keys=True)  # keys have 64 / blocks bits
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "size", "id")
-    most = PART
+    most, bits = PART, -(-64 // blocks)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in with_last(batches, ["key", "pair"]):
             fp, fp2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-            ids, sizes = group.column("id").to_numpy(), group.column("size").to_numpy()
+            ids, sizes, key = (group.column(c).to_numpy() for c in ("id", "size", "key"))
             starts = runs_of(group, ["key", "pair"])
+            block = np.where(key < 0, (-1 - key >> bits) + blocks, key >> bits)
             i, j = near(fp, starts, radius, until=reach(sizes, starts, similarity))
-            both = np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]) <= wide
-            label = forest(len(fp), i[both], j[both])
+            own, other, second = fp[i] ^ fp[j], fp2[i] ^ fp2[j], key[i] < 0
+            first = first_block(np.where(second, other, own), np.where(second, own, other), blocks, radius, wide) == block[i]
+            label = forest(len(fp), i[first], j[first])
             members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
             members = members[np.lexsort((ids[members], label[members]))]
-            names, own = [], []
+            names, places = [], []
             for part in np.split(members, np.flatnonzero(np.diff(label[members])) + 1) if len(members) else []:
                 for some in parts(part, sizes, most):
-                    names.append(np.full(len(some), xxhash.xxh3_64_intdigest(ids[some].tobytes()), np.uint64).view(np.int64))
-                    own.append(ids[some])
-            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, own)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns)], names=["group", "id"])
+                    names.append(np.full(len(some), xxhash.xxh3_64_intdigest(ids[some].tobytes(), int(block[some[0]])), np.uint64).view(np.int64))
+                    places.append(some)
+            names, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, places))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(block[places], pa.int32()), pa.array(ids[places])], names=["group", "block", "id"])
 
-    return dealt.select("key", "pair", "fp", "fp2", "id", "size").mapInArrow(search, "group long, id long").distinct()
+    return dealt.select("key", "pair", "fp", "fp2", "id", "size").mapInArrow(search, "group long, block int, id long").distinct()
 
 
 def reach(sizes: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
@@ -206,36 +212,34 @@ def parts(members: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndar
             yield np.concatenate((cut[a], cut[b]))
 
 
-def candidates(differ: np.ndarray, differ2: np.ndarray, blocks: int, radius: int, wide: int) -> np.ndarray:
-    """Whether two lines are candidates, by the bits in which their SimHashes differ."""
+def first_block(differ: np.ndarray, differ2: np.ndarray, blocks: int, radius: int, wide: int) -> np.ndarray:
+    """The first block that two lines share, by the bits in which their SimHashes differ; those of the second SimHash follow those of the first. -1 for no candidates."""
     edges = [64 * k // blocks for k in range(blocks + 1)]
     masks = [np.uint64(((1 << high) - 1) ^ ((1 << low) - 1)) for low, high in zip(edges, edges[1:], strict=False)]
     counts = [np.bitwise_count(x) for x in (differ, differ2)]
-    shared = [np.any([x & m == 0 for m in masks], axis=0) for x in (differ, differ2)]
-    return (counts[0] + counts[1] <= wide) & ((shared[0] & (counts[0] <= radius)) | (shared[1] & (counts[1] <= radius)))
+    out = np.full(len(differ), -1)
+    for k in reversed(range(2 * blocks)):
+        side = k // blocks
+        out[((differ, differ2)[side] & masks[k % blocks] == 0) & (counts[side] <= radius)] = k
+    out[counts[0] + counts[1] > wide] = -1
+    return out
 
 
 def verified(members: DataFrame, blocks: int, radius: int, wide: int, similarity: float) -> DataFrame:
-    """(group, id, fp, fp2, form) to links (a, b) between lines near in SimHash and in their edits; a spanning forest of each group."""
+    """(group, block, id, fp, fp2, form) to links (a, b) between lines near in SimHash and in their edits; a spanning forest of each group.
+
+    A pair is tested in the first block that it shares, and so once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in with_last(batches, ["group"]):
             fp, fp2 = (some.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-            ids, forms = some.column("id").to_numpy(), some.column("form").to_pylist()
-            starts = runs_of(some, ["group"])
-            pairs = [near(x, starts, radius) for x in (fp, fp2)]
-            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            meet = candidates(fp[i] ^ fp[j], fp2[i] ^ fp2[j], blocks, radius, wide)
-            i, j = i[meet], j[meet]
+            ids, block, forms = some.column("id").to_numpy(), some.column("block").to_numpy(), some.column("form").to_pylist()
+            i, j = near(np.where(block < blocks, fp, fp2), runs_of(some, ["group"]), radius)
+            first = first_block(fp[i] ^ fp[j], fp2[i] ^ fp2[j], blocks, radius, wide) == block[i]
+            i, j = i[first], j[first]
             order = np.argsort(np.bitwise_count(fp[i] ^ fp[j]) + np.bitwise_count(fp2[i] ^ fp2[j]), kind="stable")
-            tried: dict[tuple[int, int], bool] = {}
-
-            def test(x: int, y: int, forms: list[str] = forms, tried: dict = tried) -> bool:
-                if (x, y) not in tried:
-                    tried[x, y] = similar(forms[x], forms[y], similarity)
-                return tried[x, y]
-
-            a, b = confirmed(len(fp), i[order], j[order], test)
+            a, b = confirmed(len(fp), i[order], j[order], lambda x, y, forms=forms: similar(forms[x], forms[y], similarity))
             yield pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], names=["a", "b"])
 
     return members.repartition("group").sortWithinPartitions("group", "id").mapInArrow(run, "a long, b long")
@@ -261,7 +265,7 @@ def with_forms(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def kept_lines(
-    docs: DataFrame, blocks: int = 5, radius: int = 10, wide: int = 24, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, blocks: int = 5, radius: int = 10, wide: int = 18, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, text_key, n_lines, n_kept, kept_lines), a row per row with an id: its lines (blank ones aside), those that stay, and their numbers from 0."""
     spark = docs.sparkSession
@@ -274,7 +278,7 @@ def kept_lines(
     path = scratch.write(near_by, "groups")
     near_by = scratch.load(spark, path, near_by)
     wanted = forms.join(near_by.select("id").distinct(), "id").select("id", "fp", "fp2", "first.*")
-    edges = verified(near_by.join(with_forms(rows, wanted), "id").select("group", "id", "fp", "fp2", "form"), blocks, radius, wide, similarity)
+    edges = verified(near_by.join(with_forms(rows, wanted), "id").select("group", "block", "id", "fp", "fp2", "form"), blocks, radius, wide, similarity)
     roots = components(edges)
     scratch.drop(spark, path)
     of_root = forms.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "first")

@@ -213,6 +213,17 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == distance(a, b)
 
 
+def test_quick_bound_agrees_with_the_distance():
+    r = random.Random(6)
+    for _ in range(300):
+        a = " ".join("".join(r.choices("abé", k=r.randint(1, 6))) for _ in range(r.randint(1, 12)))
+        words = a.split(" ")
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = "".join(r.choices("abé", k=r.randint(1, 6)))
+        b = " ".join(words[: len(words) - r.randint(0, 1)] or ["x"])
+        assert line_dedup.similar(a, b, 0.8) == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8)
+
+
 def print_of(form, second):
     """A SimHash of runs of six bytes, bit by bit."""
     padded, hs = b" " * 5 + form + b" " * 5, []
@@ -225,7 +236,7 @@ def print_of(form, second):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
-def brute_lines(rows, similarity=0.8, blocks=5, radius=10, wide=24):
+def brute_lines(rows, similarity=0.8, blocks=5, radius=10, wide=18):
     found = {}
     for d, t in rows:
         if d is not None:
