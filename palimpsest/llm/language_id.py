@@ -1,18 +1,16 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built from labelled text. A text's words (runs of letters, lower-cased, each with a space before it) are
-parsed greedily into the longest phrases that the automaton contains; the language needing the fewest phrases, times the
-bits that name a place in its labelled text, wins. Phrases end with their word, so the parse of a word is the same wherever it
-stands, and a worker keeps the phrase counts of words, all languages in one integer, in a bounded memory. Whole texts
-are parsed.
+For each language a suffix automaton is built from labelled running text. A text's letters (lower-cased, each run of anything else being one space) are
+parsed greedily into the longest phrases that the automaton contains, across words; the language needing the fewest phrases, times the
+bits that name a place in its labelled text, wins. Whole texts are parsed, and nothing of a text is kept.
 
-The automata are fitted on a bounded sample of the labelled rows: about `sample_docs` texts per language, chosen by a
-hash of their ids, the first `sample_chars` characters of each, and of these at most `sample_size` characters of distinct words
-per language. Languages are values of the label column; more than `most_languages` is an error.
+The automata are fitted on a bounded sample of the labelled rows: whole texts, taken in the order of a hash of their ids, `sample_docs` of a language at most,
+and of these as many as fit into a share of `sample_size` characters for all languages together; a text that doesn't fit is passed over, unless none of its language does. Languages are
+values of the label column; more than `most_languages` is an error.
 
 The score is 1 - cost(best) / cost(second), in [0, 1]; with one language only it is 1. Ties go to the language first by name.
-Defined cases: null texts and texts without a letter are `und`, score 0, as is everything if no row has a label; rows
-that repeat an id each get a row; an empty table gives an empty result; extra columns are kept as they are.
+Defined cases: null texts and texts without a letter are `und`, score 0, as is everything if no row has a label; a null id takes no part in the order of the sample (it
+hashes like the text "null"); rows that repeat an id each get a row; an empty table gives an empty result; extra columns are kept as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +20,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +28,22 @@ from pyspark.sql import types as T
 
 
 UND = "und"
-#: Words whose counts a worker keeps; beyond it the memory is emptied.
-CACHE_SIZE = 700_000
-FIELD = 40
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Anything that is no letter.
+GAP = re.compile(r"[\W\d_]+")
 READERS: dict[str, "Reader"] = {}
 
 
+def running(text: str) -> str:
+    """Lower-case letters, with one space for whatever stands between them."""
+    return f" {GAP.sub(' ', text.lower()).strip()} "
+
+
 class SuffixAutomaton:
-    """Every substring of the labelled text, as paths from state 0."""
+    """Every substring of the labelled text, as paths from the root; a state is the dictionary of its transitions."""
 
     def __init__(self, text: str) -> None:
-        link, length = [-1], [0]
-        out: list[dict[str, int]] = [{}]
+        root: dict = {}
+        out, link, length = [root], [-1], [0]
         last = 0
         for c in text:
             cur = len(length)
@@ -68,30 +68,29 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        #: Transitions by state.
-        self.next: list[dict[str, int]] = out
+        for state in out:
+            for c, k in state.items():
+                state[c] = out[k]
+        self.root = root
 
     def phrases(self, text: str) -> int:
         """How many longest matches a greedy parse needs; a character that does not occur is a phrase of its own."""
-        out = self.next
-        first = out[0]
-        count, edges = 0, first
+        root = edges = self.root
+        count = 0
         for c in text:
-            if c in edges:
-                edges = out[edges[c]]
-            else:
-                count += edges is not first
-                if c in first:
-                    edges = out[first[c]]
-                else:
+            after = edges.get(c)
+            if after is None:
+                count += 1
+                after = root.get(c, root)
+                if after is root and edges is not root:
                     count += 1
-                    edges = first
-        return count + (edges is not first)
+            edges = after
+        return count + (edges is not root)
 
 
 @dataclass(frozen=True)
 class Languages:
-    """The fitted model: labels and their sampled text (words joined by spaces)."""
+    """The fitted model: labels and their sampled text."""
 
     names: tuple[str, ...]
     texts: tuple[str, ...]
@@ -107,68 +106,48 @@ class Reader:
     def __init__(self, model: Languages) -> None:
         self.names = model.names
         self.automata = [SuffixAutomaton(t) for t in model.texts]
-        self.bits = np.array([math.log2(len(t) + 2) for t in model.texts])
-        self.counts: dict[str, int] = {}
-
-    def of_word(self, word: str) -> int:
-        """The phrases of a word's runs of letters, those of each language in a field of their own."""
-        total, runs = 0, [word] if word.isalpha() else LETTERS.findall(word)
-        for run in runs:
-            known = self.counts.get(run) if run is not word else None
-            if known is None:
-                known, spaced = 0, " " + run
-                for k, automaton in enumerate(self.automata):
-                    known += automaton.phrases(spaced) << (FIELD * k)
-                self.counts[run] = known
-            total += known
-        return total
+        self.bits = [math.log2(len(t) + 2) for t in model.texts]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.names or not any(map(str.isalpha, text)):
             return UND, 0.0
-        words = text.lower().split()
-        known = self.counts
-        try:
-            total = sum([known[w] for w in words])
-        except KeyError:
-            if len(known) > CACHE_SIZE:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = self.of_word(w)
-            total = sum([known[w] for w in words])
-        cost = np.array([(total >> (FIELD * k)) & ((1 << FIELD) - 1) for k in range(len(self.names))]) * self.bits
-        best = int(cost.argmin())
+        own = running(text)
+        cost = [a.phrases(own) * b for a, b in zip(self.automata, self.bits, strict=True)]
+        best = min(range(len(cost)), key=cost.__getitem__)
         if len(cost) == 1:
             return self.names[0], 1.0
-        second = float(np.delete(cost, best).min())
-        return self.names[best], 1.0 - float(cost[best]) / second
+        second = min(c for k, c in enumerate(cost) if k != best)
+        return self.names[best], 1.0 - cost[best] / second
 
 
-def fit(labelled: DataFrame, sample_docs: int = 256, sample_chars: int = 4096, sample_size: int = 20_000, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
-    """Rows without a label or text are left out."""
+def fit(labelled: DataFrame, sample_docs: int = 256, sample_size: int = 240_000, most_languages: int = 500, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+    """Rows without a label or text are left out. What comes to the driver is about sample_size characters, however long single texts are."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
     if len(sizes) > most_languages:
         raise ValueError(f"more than {most_languages} languages")
     if not sizes:
         return Languages((), ())
+    room = sample_size // len(sizes)
     order = F.pmod(F.xxhash64("id"), F.lit(1 << 40))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, int((1 << 40) * min(1.0, sample_docs / n)) + 1)))
-    sample = rows.where(order < F.element_at(share, F.col("lang"))).select("lang", order.alias("at"), "id", F.substring("text", 1, sample_chars).alias("text"))
-    words: dict[str, dict[str, None]] = {lang: {} for lang in sizes}
-    for row in sorted(sample.collect(), key=lambda r: (r["at"], r["id"])):
-        words[row["lang"]].update(dict.fromkeys(LETTERS.findall(row["text"].lower())))
-    texts = {}
-    for lang, own in words.items():
-        kept, room = [], sample_size
-        for word in own:
-            if (room := room - len(word) - 1) < 0:
-                break
-            kept.append(word)
-        texts[lang] = " " + " ".join(kept)
+    drawn = rows.where(order < F.element_at(share, F.col("lang"))).select("lang", order.alias("at"), "id", F.length("text").alias("size"), "text")
+    # Lengths come first, some sample_docs numbers a language; then only the texts that were chosen.
+    kept, left = set(), dict.fromkeys(sizes, room)
+    heads = sorted(drawn.select("lang", "at", "id", "size").collect(), key=lambda r: (r["at"], r["id"] or ""))
+    for r in heads:
+        if r["size"] <= left[r["lang"]]:
+            left[r["lang"]] -= r["size"]
+            kept.add((r["lang"], r["at"]))
+    for r in sorted(heads, key=lambda r: (r["size"], r["at"])):  # a language of long texts alone has its shortest one
+        if left[r["lang"]] == room and not any(lang == r["lang"] for lang, _ in kept):
+            kept.add((r["lang"], r["at"]))
+    chosen = labelled.sparkSession.createDataFrame(sorted(kept), "lang string, at long")  # sample_docs rows a language
+    texts = dict.fromkeys(sizes, "")
+    for r in sorted(drawn.join(F.broadcast(chosen), ["lang", "at"]).dropDuplicates(["lang", "at"]).collect(), key=lambda r: r["at"]):
+        texts[r["lang"]] += running(r["text"])[:-1]
     names = tuple(sorted(texts))
-    return Languages(names, tuple(texts[n] for n in names))
+    return Languages(names, tuple(texts[n] + " " for n in names))
 
 
 def identify(spark: SparkSession, docs: DataFrame, model: Languages, text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
