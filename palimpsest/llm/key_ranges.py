@@ -1,71 +1,39 @@
-"""Ranges of an integer key with about equal weights, known before the rows are dealt out.
+"""Ranges of an integer key that hold about as many rows each, the same however the rows were partitioned.
 
-Unlike the sampled ranges of repartitionByRange, these depend on the rows alone, and the first and last key of each are known.
+Keys are counted, dealt to sorted partitions and numbered there after the counts of the partitions before; no task sees more than its share. What comes to
+the driver, and goes to the tasks, is the first key of each range: eight bytes for `range_rows` rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Equal cells that an interval is cut into, and so the rows of a histogram that come to the driver at once.
-CELLS = 4096
-#: No more ranges than these, give or take those of heavy keys: beyond that, ranges grow instead.
-RANGES = 2000
-
-
-@dataclass(frozen=True)
-class Cells:
-    """Cells of one width from `low`; each is in a range, or is cut further."""
+from .. import scratch
 
-    low: int
-    width: int
-    ranges: list[int]
-    inner: dict[int, "Cells"]
 
+def first_keys(rows: DataFrame, key: str, range_rows: int) -> np.ndarray:
+    """The first key of each range, ascending; a key's rows are never in two ranges. Null keys are left out."""
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    sorted_ = counts.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    path = scratch.write(sorted_, "keys")
+    sorted_ = scratch.load(rows.sparkSession, path, sorted_)
+    sizes = sorted_.groupBy("part").agg(F.sum("n").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row per partition
+    start = F.sum("n").over(Window.partitionBy("part").orderBy("key")) - F.col("n") + F.col("before")
+    ranges = sorted_.join(F.broadcast(before), "part").select("key", F.floor(start / range_rows).alias("range"))
+    found = ranges.groupBy("range").agg(F.min("key").alias("key")).select("key").toPandas()["key"].to_numpy(np.int64)
+    scratch.drop(rows.sparkSession, path)
+    return np.sort(found)
 
-class KeyRanges:
-    def __init__(self, rows: DataFrame, key: str, weight: Column, target: int) -> None:
-        """Each range weighs about `target` or is a single key; no more than CELLS cells are counted at once."""
-        self.count = 0
-        self._filled = 0
-        low, high, total = rows.agg(F.min(key), F.max(key), F.sum(weight)).first()
-        self.rows, self.key, self.weight, self.target = rows, key, weight, max(1, target, (total or 0) // RANGES)
-        self.root = self._cut(low, high) if low is not None else None
-        if self.root:
-            self.count += 1
 
-    def _cut(self, low: int, high: int) -> Cells:
-        width = (high - low) // CELLS + 1
-        cell = F.floor((F.col(self.key) - low) / width).cast("int") if width > 1 else (F.col(self.key) - low).cast("int")
-        found = self.rows.where(F.col(self.key).between(low, high)).groupBy(cell.alias("cell")).agg(F.sum(self.weight).alias("w")).collect()
-        ranges, inner = [0] * ((high - low) // width + 1), {}
-        weights = {r["cell"]: r["w"] for r in found}
-        for k in range(len(ranges)):
-            w = weights.get(k, 0)
-            if w > 2 * self.target and width > 1:
-                start = low + k * width
-                inner[k] = self._cut(start, min(high, start + width - 1))
-                ranges[k] = self.count
-                continue
-            if self._filled and self._filled + w > self.target:
-                self.count += 1
-                self._filled = 0
-            ranges[k] = self.count
-            self._filled += w
-        return Cells(low, width, ranges, inner)
+def range_of(key: Column, firsts: np.ndarray) -> Column:
+    """The number of the range that a key is in; 0 for a null key."""
 
-    def column(self, key: Column) -> Column:
-        """The range that a key is in; null for a null key."""
-        if not self.root:
-            return F.lit(None).cast("int")
-        return self._column(self.root, key)
+    @F.pandas_udf("int")
+    def number(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.maximum(np.searchsorted(firsts, keys.to_numpy(np.int64), "right") - 1, 0).astype(np.int32))
 
-    def _column(self, cells: Cells, key: Column) -> Column:
-        cell = F.floor((key - cells.low) / cells.width).cast("int") if cells.width > 1 else (key - cells.low).cast("int")
-        out = F.get(F.array(*map(F.lit, cells.ranges)), cell)
-        for k, inner in cells.inner.items():
-            out = F.when(cell == k, self._column(inner, key)).otherwise(out)
-        return out
+    return number(F.coalesce(key, F.lit(int(firsts[0]) if len(firsts) else 0)))  # no long with nulls, which pandas would make a double

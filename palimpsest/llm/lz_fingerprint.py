@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from .common import bytes_of, emit
-from .key_ranges import KeyRanges
 
 SLOTS = 64
 PRIME, MASK = 0x9E3779B97F4A7C15, (1 << 61) - 1
@@ -84,51 +85,69 @@ def first_chars(text: bytes, n: int) -> bytes:
     return text[:n] if text.isascii() else text.decode()[:n].encode()
 
 
-def splice_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = 2000) -> DataFrame:
+OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+class Parse:
+    """A document, the phrases of its first half and the fingerprint of the whole."""
+
+    def __init__(self, doc: int, text: bytes) -> None:
+        self.doc, self.chars = doc, len(text) if text.isascii() else len(text.decode())
+        self.head = first_chars(text, self.chars - self.chars // 2)
+        seen: set[int] = set()
+        h = parse(self.head, seen)
+        self.half = seen.copy(), h
+        self.print = signature(seen, parse(text[len(self.head) :], seen, h))
+
+    def beside(self, text: bytes, print_: np.ndarray) -> tuple:
+        """The row of OUT for this document and the text and fingerprint of the next one."""
+        edited = self.head + first_chars(text, self.chars // 2)
+        seen, h = self.half
+        other = signature(seen, parse(edited[len(self.head) :], seen, h))
+        return self.doc, self.chars, hashlib.sha256(edited).hexdigest(), text_of(self.print), text_of(other), likeness(self.print, other), likeness(self.print, print_)
+
+
+def splice_comparison(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document beside the next one in descending id order (after the last comes the first).
 
-    The edited text is the document's with its last half's code points replaced by the first of the next one's. Rows are dealt
-    once, to ranges of ids that are known beforehand; the first document of each range goes to the range before it too.
+    The edited text is the document's with its last half's code points replaced by the first of the next one's. Rows are dealt once, to sorted
+    partitions; what a partition's last document needs of the next partition, its first document, is joined afterwards, two rows a partition.
     Rows without an id are left out; rows that repeat an id follow each other, in the order of their texts.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    count = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    ranges = KeyRanges(rows, "doc_id", F.lit(1), range_rows)
-    if not ranges.count:
-        return docs.sparkSession.createDataFrame([], count)
-    rows = rows.withColumn("part", ranges.column(F.col("doc_id")))
-    heads = {r["part"]: r["head"] for r in rows.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # a row per range
-    order = sorted(heads)
-    before = {heads[p]: order[(k + 1) % len(order)] for k, p in enumerate(order)}  # a range's first document follows the range above it
-    also = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("doc_id"))
-    own = F.struct(F.col("part"), F.lit(0).alias("guest"))
-    guest = F.struct(also.alias("part"), F.lit(1).alias("guest"))
-    dealt = rows.select("doc_id", "text", F.explode(F.when(also.isNull(), F.array(own)).otherwise(F.array(own, guest))).alias("to"))
-    dealt = dealt.select("doc_id", "text", "to.part", "to.guest").repartitionById(len(order), "part").sortWithinPartitions("part", "guest", F.desc("doc_id"), "text")
+    dealt = rows.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), "text")
+    names = [c.split()[0] for c in OUT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64()]
+    schema = pa.schema([*zip(names, kinds, strict=True), ("part", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
         held = None  # a document that waits for the next one
+        edge = lambda doc, name, text: (doc, *[None] * 6, part, name, text.decode())
         for batch in batches:
-            columns: list[list] = [[] for _ in schema]
-            for doc, text, part, guest in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), batch.column("part").to_pylist(), batch.column("guest").to_pylist(), strict=True):
-                if held and held[4] != part:
-                    held = None
-                chars = len(text) if text.isascii() else len(text.decode())
-                head = first_chars(text, chars - chars // 2)
-                seen: set[int] = set()
-                h = parse(head, seen)
-                mid = seen.copy(), h
-                own_print = signature(seen, parse(text[len(head) :], seen, h))
-                if held:
-                    edited = held[1] + first_chars(text, held[2] // 2)
-                    seen, h = held[3]
-                    other = signature(seen, parse(edited[len(held[1]) :], seen, h))
-                    values = held[0], held[2], hashlib.sha256(edited).hexdigest(), text_of(held[5]), text_of(other), likeness(held[5], other), likeness(held[5], own_print)
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                held = None if guest else (doc, head, chars, mid, part, own_print)
-            yield emit(schema, columns)
-
-    return dealt.mapInArrow(run, count)
+            found = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), strict=True):
+                own = Parse(doc, text)
+                found.append((*held[0].beside(text, own.print), part, None, None) if held else edge(doc, "first", text))
+                held = own, text
+            yield emit(schema, list(zip(*found, strict=True)) or [[]] * len(schema))
+        if held:
+            yield emit(schema, list(zip(edge(held[0].doc, "last", held[1]), strict=True)))
+
+    made = scratch.save(dealt.mapInArrow(run, f"{OUT}, part int, edge string, text string"), "spliced")
+    edges = made.where("edge is not null")
+    firsts = edges.where("edge = 'first'").select("part", F.col("text").alias("next_text"))
+    order = Window.orderBy("part")  # a narrow row per partition
+    follows = firsts.select("part").select("part", F.lead("part").over(order).alias("after"), F.first("part").over(order).alias("least"))
+    follows = follows.select("part", F.coalesce("after", "least").alias("next"))
+    lasts = edges.where("edge = 'last'").join(follows, "part").join(firsts.withColumnRenamed("part", "next"), "next").select("doc_id", "text", "next_text")
+    out = pa.schema([*zip(names, kinds, strict=True)])
+
+    def join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = zip(batch.column("doc_id").to_pylist(), bytes_of(batch, "text"), bytes_of(batch, "next_text"), strict=True)
+            found = [Parse(doc, text).beside(after, fingerprint(after)) for doc, text, after in pairs]
+            yield emit(out, list(zip(*found, strict=True)) or [[]] * len(out))
+
+    return made.where("edge is null").select(*names).unionByName(lasts.mapInArrow(join_edges, OUT))

@@ -9,6 +9,7 @@ A task writes under a temporary name and renames the whole file; the list of fil
 files from that list alone. A task that runs again writes the same bytes to the same names.
 
 Files are written through pyarrow's file systems, so the folder can be any that Spark's tasks share.
+Payloads are equal if their SHA-256 and sizes are; the digests in records are SHA-1, as readers of WARC files expect.
 Defined cases: a null payload counts as empty; a null URL has no target header; rows that repeat a page id each get a record (all
 responses, if that id is the smallest of its payload); rows without a page id are sorted first; an empty table gives no file;
 other columns are ignored.
@@ -30,9 +31,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bytes_of, emit
-from .key_ranges import KeyRanges
+from .key_ranges import first_keys, range_of
 
 DATE = "2024-01-01T00:00:00Z"
+#: Tasks that read archives; each takes its files one after the other.
+READERS = 20_000
 MANIFEST = "file string, part int, records long, bytes long, sha256 string"
 
 
@@ -103,21 +106,21 @@ class Shard:
         return self.name, self.part, self.records, self.size, self.sha.hexdigest()
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 16_000_000, range_rows: int = 2000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes: int = 16_000_000, range_rows: int = 4000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Writes archives and their manifest under folder; returns the manifest."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("html"))
-    sums = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
+    sums = rows.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha"), F.octet_length("html").alias("size")).where(F.col("size") >= min_bytes)
     firsts = sums.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     again = sums.join(firsts, ["sha", "size"]).where("page_id is null or page_id != first").where("first is not null")
-    ranges = KeyRanges(rows, "page_id", F.lit(1), range_rows)
-    part = F.coalesce(ranges.column(F.col("page_id")), F.lit(0))
+    ranges = first_keys(rows, "page_id", range_rows)
+    part = range_of(F.col("page_id"), ranges)
     none = F.lit(None).cast("string")
     # What a revisit refers to travels as a small row of its own, just before the page's; pages cross the shuffle once.
     dealt = rows.select(part.alias("part"), "page_id", F.lit(1).alias("kind"), "url", "html", none.alias("sha"), F.lit(None).cast("long").alias("first")).unionByName(
         again.distinct().select(part.alias("part"), "page_id", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "sha", "first")
     )
-    dealt = dealt.repartitionById(max(1, ranges.count), "part").sortWithinPartitions("part", "page_id", "kind", "url", "html")
+    dealt = dealt.repartitionById(max(1, len(ranges)), "part").sortWithinPartitions("part", "page_id", "kind", "url", "html")
     system, path = fs.FileSystem.from_uri(folder)
     for name in ("data", "tmp"):
         system.create_dir(f"{path}/{name}", recursive=True)
@@ -137,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll_bytes
                 if kind == 0:
                     refers[sha] = first
                     continue
-                first = refers.get(hashlib.sha1(html).hexdigest()) if refers else None
+                first = refers.get(hashlib.sha256(html).hexdigest()) if refers else None
                 done.append(shard.add(record(page, url, html, first)))
         done.append(shard and shard.close())
         yield emit(schema, list(zip(*filter(None, done), strict=True)) or [[]] * len(schema))
@@ -188,7 +191,9 @@ def page_in(id_: str) -> int | None:
 def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload), a row per record. Digests of responses are computed from
     what was read and must equal the headers', and a file must hold as many records as the manifest says; payload is null unless asked for."""
-    listed = manifest(spark, folder).select("file", "records").orderBy("file")
+    listed = manifest(spark, folder).select("file", "records")
+    files = listed.count()
+    listed = listed.repartition(max(1, min(files, READERS)), "file")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
