@@ -7,9 +7,9 @@ batches.
 
 Pieces are dealt to shards of a bounded size by a hash of their ids. In a shard, best-fit decreasing fills sequences and
 local search improves them: it moves a document to another underfull sequence, or exchanges one for one or two for one,
-whenever that makes the sum of squared fills grow, until sequences run empty. Underfull sequences are then dealt
-to other shards and packed again, a few rounds; a shard keeps what it had unless the new sequences are fewer or their squared fill is larger.
-Last, the least full sequences of 64 shards, a bounded number of each, are packed again together, and so on until one group is left.
+whenever that makes the sum of squared fills grow, until sequences run empty, no step helps, or the shard's tokens could not be held by fewer sequences.
+Sequences with room are then dealt to new shards of the same bounded size and packed again; a shard keeps what it had unless the new sequences are fewer or their
+squared fill is larger. That is done until one shard is left, or until it leaves (nearly) as many open sequences as before.
 
 Defined cases: null and empty texts are the end id alone; rows that repeat a doc_id are packed as often as they appear;
 an empty table gives an empty result; other columns are ignored.
@@ -17,10 +17,10 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import bisect
 import os
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,8 +33,8 @@ from .common import bytes_of, emit
 
 CACHE: dict[str, dict[bytes, bytes]] = {}
 TOKENIZER: dict = {}
-#: Parts of texts whose ids a worker keeps; beyond it the memory is emptied.
-CACHE_SIZE = 1_000_000
+#: Parts of texts whose ids a worker keeps, and the bytes of the longest one; beyond it the memory is emptied.
+CACHE_SIZE, LONG = 600_000, 64
 
 PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, shard long, sequence_id long, offset long, open boolean"
@@ -70,7 +70,10 @@ def encode(texts: list[bytes], path: str) -> list[bytes]:
     for word, (a, b) in parts.items():
         cache[word] = cache[a] + cache[b]
     get = cache.__getitem__
-    return [b"".join(map(get, words)) for words in split]
+    found = [b"".join(map(get, words)) for words in split]
+    for word in [w for w in {*new, *parts} if len(w) > LONG]:  # so that what is kept has a bound in bytes
+        cache.pop(word, None)
+    return found
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, limit: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,56 +125,65 @@ class Bins:
                 at[left].append(bin_)
                 mask |= 1 << left
 
-    def improve(self, sizes: list[int], widest: int = 64, steps: int = 2000) -> None:
-        """Local search among the `widest` least full sequences.
+    def improve(self, sizes: list[int]) -> None:
+        """Local search over all underfull sequences, until no step helps or no fewer sequences could hold the items.
 
-        The receiving sequence is at least as full as the giving one, and what it gains is positive, so the sum of
-        squared fills grows with every step and the search ends; `steps` bounds it besides.
+        A step moves an item, or exchanges one for one, two for one or one for two; the receiving sequence is at least as full as the giving one, and what it
+        gains is positive, so the sum of squared fills grows with every step and the search ends.
         """
-        under = sorted((b for b in range(len(self.items)) if self.room[b]), key=lambda b: (-self.room[b], b))[:widest]
-        for _ in range(steps):
-            under = [b for b in under if self.items[b] and self.room[b]]
-            under.sort(key=lambda b: (self.room[b], b))
-            if len(under) < 2 or not any(self._step(giver, taker, sizes) for giver in reversed(under) for taker in under if self.room[taker] <= self.room[giver] and taker != giver):
-                break
-
-    def _step(self, giver: int, taker: int, sizes: list[int]) -> bool:
-        room = self.room[taker]
-        giving, taking = self.items[giver], self.items[taker]
-        by_size = sorted(giving, key=sizes.__getitem__)
-        keys = [sizes[i] for i in by_size]
-        if (k := bisect.bisect_right(keys, room)) > 0:  # move the largest that fits
-            return self._exchange(giver, taker, [by_size[k - 1]], [], sizes)
-        for out in sorted(taking, key=sizes.__getitem__, reverse=True):  # one for one
-            k = bisect.bisect_right(keys, sizes[out] + room)
-            if k and keys[k - 1] > sizes[out]:
-                return self._exchange(giver, taker, [by_size[k - 1]], [out], sizes)
-        for out in taking:  # two for one: two documents of the giver for one of the taker, and the reverse
-            low, high = 0, len(keys) - 1
-            best = None
-            while low < high:
-                both = keys[low] + keys[high]
-                if both > sizes[out] + room:
-                    high -= 1
-                else:
-                    if both > sizes[out] and (best is None or both > best[0]):
-                        best = (both, low, high)
-                    low += 1
-            if best:
-                return self._exchange(giver, taker, [by_size[best[1]], by_size[best[2]]], [out], sizes)
-        own = sorted(taking, key=sizes.__getitem__)
-        small = [sizes[i] for i in own]
-        for k, size in enumerate(keys):
-            low, high = 0, len(small) - 1
-            while low < high:
-                both = small[low] + small[high]
-                if both >= size:
-                    high -= 1
-                elif size - both <= room:
-                    return self._exchange(giver, taker, [by_size[k]], [own[low], own[high]], sizes)
-                else:
-                    low += 1
-        return False
+        least = -(-sum(sizes) // self.limit)
+        moved = True
+        while moved:
+            moved = False
+            for giver in sorted((b for b in range(len(self.items)) if self.room[b] and self.items[b]), key=lambda b: (-self.room[b], b)):
+                while self.items[giver] and self.room[giver] and sum(map(bool, self.items)) > least and self._step(giver, sizes):
+                    moved = True
+
+    def _step(self, giver: int, sizes: list[int]) -> bool:
+        """The best step that the giver can make: the one that leaves the least room in the receiving sequence."""
+        rooms = np.array(self.room)
+        takers = [b for b in np.flatnonzero((rooms > 0) & (rooms <= rooms[giver])).tolist() if b != giver and self.items[b]]
+        if not takers:
+            return False
+        giving = sorted(self.items[giver], key=sizes.__getitem__)
+        own = np.array([sizes[i] for i in giving])
+        at = np.repeat(takers, [len(self.items[b]) for b in takers])
+        out = np.array([i for b in takers for i in self.items[b]])
+        size, reach = np.array([sizes[i] for i in out]), np.array([sizes[i] for i in out]) + rooms[at]
+        best: tuple[int, int, list[int], list[int]] | None = None
+
+        def offer(given: list[int], total: int, small: np.ndarray, most: np.ndarray, bins: np.ndarray, taken: Callable[[int], list[int]]) -> None:
+            nonlocal best
+            left = np.where((small < total) & (most >= total), most - total, self.limit + 1)
+            k = int(left.argmin()) if len(left) else 0
+            if len(left) and left[k] <= self.limit and (best is None or left[k] < best[0]):
+                best = int(left[k]), int(bins[k]), given, taken(k)
+
+        empty, bins = np.zeros(len(takers), np.int64), np.array(takers)
+        for i, total in zip(giving, own.tolist(), strict=True):
+            offer([i], total, empty, rooms[bins], bins, lambda k: [])  # a move
+            offer([i], total, size, reach, at, lambda k: [int(out[k])])  # one for one
+        first, second = np.triu_indices(len(own), 1)
+        sums, where = np.unique(own[first] + own[second], return_index=True)
+        for total, k in zip(sums.tolist(), where.tolist(), strict=True):  # two for one
+            offer([giving[first[k]], giving[second[k]]], total, size, reach, at, lambda k: [int(out[k])])
+        if best is None:  # one for two
+            pairs = [(b, i, j, sizes[i] + sizes[j]) for b in takers for i, j in self._pairs(b, sizes)]
+            if pairs:
+                pair_bin, _, _, total_ = (np.array(x) for x in zip(*pairs, strict=True))
+                for i, total in zip(giving, own.tolist(), strict=True):
+                    offer([i], total, total_, total_ + rooms[pair_bin], pair_bin, lambda k: [pairs[k][1], pairs[k][2]])
+        if best is None:
+            return False
+        return self._exchange(giver, best[1], best[2], best[3], sizes)
+
+    def _pairs(self, b: int, sizes: list[int]) -> Iterator[tuple[int, int]]:
+        """Two items of a sequence for each sum that two of its items have."""
+        seen = set()
+        for i, j in combinations(self.items[b], 2):
+            if (total := sizes[i] + sizes[j]) not in seen:
+                seen.add(total)
+                yield i, j
 
     def _exchange(self, giver: int, taker: int, given: list[int], taken: list[int], sizes: list[int]) -> bool:
         more = sum(sizes[i] for i in given) - sum(sizes[i] for i in taken)
@@ -190,8 +202,8 @@ def pack_sizes(sizes: list[int], limit: int) -> list[list[int]]:
     return [b for b in bins.items if b]
 
 
-def filler(limit: int, level: int, open_bins: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Packs one shard; open_bins of its least full sequences stay open for the next level, or all underfull ones if None."""
+def filler(limit: int, level: int, open_room: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs one shard; sequences with room for open_room tokens stay open for the next level."""
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "copy", "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
@@ -205,8 +217,7 @@ def filler(limit: int, level: int, open_bins: int | None) -> Callable[[pd.DataFr
             before = [list(x) for x in pdf.groupby("sequence_id").indices.values()]
             found = min(before, found, key=lambda f: (len(f), -sum(x * x for x in fills(f))))
         fill_of = fills(found)
-        under = sorted((b for b in range(len(found)) if fill_of[b] < limit), key=lambda b: (fill_of[b], b))
-        again = set(under if open_bins is None else under[:open_bins])
+        again = {b for b in range(len(found)) if limit - fill_of[b] >= open_room}
         shard = int(pdf["shard"].iloc[0])
         sequence, offset, open_ = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
         for b, items in enumerate(found):
@@ -219,34 +230,29 @@ def filler(limit: int, level: int, open_bins: int | None) -> Callable[[pd.DataFr
     return fill
 
 
-def pack(rows: DataFrame, limit: int, shard_size: int = 4096, open_bins: int = 16, fan_in: int = 64, rounds: int = 2) -> DataFrame:
-    """Adds sequence_id and offset to rows of pieces()."""
-    spark = rows.sparkSession
+def pack(rows: DataFrame, limit: int, shard_size: int = 4096, open_share: int = 64) -> DataFrame:
+    """Adds sequence_id and offset to rows of pieces(). Sequences with less room than 1 / open_share of the limit are closed after a level."""
     rows = scratch.save(rows, "pieces")
-    shards = max(1, -(-rows.count() // shard_size))
-    new = rows.select("*", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)).alias("shard"), F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    full = new.where(F.col("length") == limit)
-    open_rows = new.where(F.col("length") < limit)
-    closed, level = [], 0
-    while True:
-        opened = 0 if shards == 1 else None if level < rounds else open_bins
-        packed = scratch.save(open_rows.groupBy("shard").applyInPandas(filler(limit, level, opened), PACKED), "packed")
-        closed.append(packed.where("not open").drop("open"))
-        if shards == 1:
+    new = rows.select("*", F.lit(-1).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full, open_rows = new.where(F.col("length") == limit), new.where(F.col("length") < limit)
+    key, closed, level, before = F.xxhash64("doc_id", "copy", "piece"), [], 0, None
+    size = open_rows.count()
+    while size:
+        shards = -(-size // shard_size)
+        room = max(1, limit // open_share) if shards > 1 else limit + 1
+        shard = F.pmod(key, F.lit(shards)).alias("shard")
+        packed = scratch.save(open_rows.select(*rows.columns, shard, "sequence_id", "offset").groupBy("shard").applyInPandas(filler(limit, level, room), PACKED), "packed")
+        open_rows = packed.where("open")
+        size, sequences = open_rows.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()
+        if before is not None and sequences > 0.95 * before:  # dealing them anew helps no more
+            closed.append(packed)
             break
-        open_rows = packed.where("open").drop("open")
-        level += 1
-        if opened is None:
-            shards = max(1, -(-open_rows.count() // shard_size))
-            shard = F.pmod(F.xxhash64("sequence_id"), F.lit(shards))
-        else:
-            shards = -(-shards // fan_in)
-            shard = F.floor(F.col("shard") / fan_in).cast("long")
-        open_rows = open_rows.withColumn("shard", shard)
+        closed.append(packed.where("not open"))
+        key, before, level = F.xxhash64("sequence_id"), sequences, level + 1
     out = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id())  # a full piece is a sequence of its own
     for part in closed:
-        out = out.unionByName(part)
-    return out.drop("shard")
+        out = out.unionByName(part.drop("open", "shard"))
+    return out
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, limit: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

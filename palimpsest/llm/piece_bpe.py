@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from .common import emit
 
 SPACE = "▁"
+#: Full-width, ligature, combined and control characters and spaces, which a model without normalisation leaves as they are.
+PROBE = "\uff21 \ufb01  A\u0301 \u2460\u200b\t\u3000 x "
 MODELS: dict[str, "PieceModel"] = {}
-CACHE_SIZE = 700_000
+#: Parts and runs that a worker keeps, and the characters of the longest one, so that what is kept has a bound in bytes.
+CACHE_SIZE, LONG = 600_000, 64
 
 
 class PieceModel:
@@ -38,6 +41,8 @@ class PieceModel:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
+        if model.normalize(PROBE) != SPACE + PROBE.replace(" ", SPACE):
+            raise ValueError("the model file changes text before it is encoded; only models without normalisation are read")
         self.pieces: list[str] = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i) for i in range(len(self.pieces))]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
@@ -137,7 +142,9 @@ class PieceModel:
                 if (known := runs.get(run)) is None:
                     if len(runs) > CACHE_SIZE:
                         runs.clear()
-                    known = runs[run] = self.of_run(run)
+                    known = self.of_run(run)
+                    if len(run) <= LONG:
+                        runs[run] = known
                 out.append(known)
         return (out[0] if len(out) == 1 else (b" ".join([x[0] for x in out]), "".join([x[1] for x in out])))
 
@@ -152,10 +159,11 @@ class PieceModel:
         except KeyError:
             if len(known) > CACHE_SIZE:
                 known.clear()
+            lone = {}
             for p in parts:
                 if p not in known:
-                    known[p] = self.of_part(p)
-            found = [known[p] for p in parts]
+                    (known if len(p) <= LONG else lone)[p] = self.of_part(p)
+            found = [known.get(p) or lone[p] for p in parts]
         return b" ".join([x[0] for x in found]), "".join([x[1] for x in found]).removeprefix(" ")
 
     def decode(self, ids: list[int]) -> str:
