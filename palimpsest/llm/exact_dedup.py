@@ -12,12 +12,17 @@ doc_id stays only if its whole group has none; an empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lower_ascii, whole_text
 
 
+def text_hash(text: Column) -> Column:
+    """SHA-256 of the normalised text; null counts as empty."""
+    return F.sha2(lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256)
+
+
 def exact_duplicates(docs: DataFrame, keep: str = "min", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), a row for each input row."""
     pick = {"min": F.min, "max": F.max}[keep]

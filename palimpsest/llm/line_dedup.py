@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import scratch
-from .bitslice import block_keys, confirmed, forest, near, runs_of, tiled
+from .bitslice import confirmed, forest, near, runs_of, tiled
 from .common import bytes_of, fresh, with_last
 from .components import components
-from .simhash_dedup import majority
+from .simhash_dedup import majorities
 
 NORMAL = bytes.maketrans(
     (string.ascii_uppercase + string.digits + string.punctuation).encode(),
@@ -40,12 +41,18 @@ NORMAL = bytes.maketrans(
 GRAM = 6
 #: Rows of a block that are compared at once, and the bytes of text that a group's part holds.
 TILE, PART = 1 << 15, 8 << 20
+#: Bits that number a block's tiles, and those of a line's length; longer lines count as of this length where rows are sorted.
+TILE_BITS, SIZE_BITS = 12, 20
 #: Bytes of text whose SimHashes are made at once.
 CHUNK = 1 << 19
 # Odd multipliers that mix a run's bytes into 64 bits.
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
+#: Pairs of words beyond which words are not aligned before the distance is taken.
+MOST_WORDS = 250_000
+
+
 def normal(line: bytes) -> bytes:
     return b" ".join(line.translate(NORMAL).split()) or b" ".join(line.split())
 
@@ -63,7 +70,8 @@ def prints_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     h ^= h >> np.uint64(32)
     h *= MIX[1]
     h ^= h >> np.uint64(29)
-    return majority(h * MIX[2], counts), majority((h ^ MIX[0]) * MIX[1] ^ (h >> np.uint64(31)), counts)
+    first, second = majorities([h * MIX[2], (h ^ MIX[0]) * MIX[1] ^ (h >> np.uint64(31))], counts)
+    return first, second
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -105,14 +113,21 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
 
 
 def similar(a: str, b: str, least: float) -> bool:
-    """Whether the edit similarity is `least` or more; where replacing words by those in their places is cheap enough, no distance is needed."""
+    """Whether the edit similarity is `least` or more. Where replacing the words that differ is cheap enough, no distance is needed: it is no more than that."""
     longer = max(len(a), len(b))
     if not longer or a == b:
         return True
     if min(len(a), len(b)) < least * longer:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y) and 1 - sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q]) / longer >= least:
+    if len(x) == len(y):
+        bound = sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q])
+    elif len(x) * len(y) < MOST_WORDS:
+        steps = SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
+        bound = sum([max(sum(map(len, x[i:j])) + j - i, sum(map(len, y[k:m])) + m - k) for step, i, j, k, m in steps if step != "equal"])
+    else:
+        bound = longer
+    if 1 - bound / longer >= least:
         return True
     return 1 - edit_distance(a, b, int((1 - least) * longer) + 1) / longer >= least
 
@@ -121,13 +136,13 @@ LINE = pa.struct([("line", pa.int32()), ("size", pa.int32()), ("key", pa.binary(
 
 
 def documents_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, text): rows with an id; text_key tells texts with one id apart."""
+    """(doc_id, text_key, text): rows with an id; text_key, a 64-bit hash, tells texts with one id apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     return rows.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
 
 
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def lines(rows: DataFrame) -> DataFrame:
@@ -157,26 +172,37 @@ def lines(rows: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), made(texts[low : k + 1])], names=["doc_id", "text_key", "lines"])
                     low, size = k + 1, 0
 
-    return rows.mapInArrow(run, "doc_id long, text_key string, lines array<struct<line: int, size: int, key: binary, fp: long, fp2: long>>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, lines array<struct<line: int, size: int, key: binary, fp: long, fp2: long>>")
 
 
 def groups(forms: DataFrame, blocks: int, radius: int, wide: int, similarity: float) -> DataFrame:
     """(group long, block int, id long): forms that are near each other in a block, connected by the pairs that no block before it has."""
-    sides = (F.struct(key.alias("key"), F.col("fp"), F.col("fp2")) for key in block_keys(F.col("fp"), 1, blocks))
-    others = (F.struct((-1 - key).alias("key"), F.col("fp2").alias("fp"), F.col("fp").alias("fp2")) for key in block_keys(F.col("fp2"), 1, blocks))
-    keyed = forms.select("id", "size", F.explode(F.array(*sides, *others)).alias("k")).select("k.*", "id", "size")
-    dealt = tiled(keyed, "key", F.xxhash64("id"), TILE, few_keys=True)  # keys have 64 / blocks bits
-    dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "size", "id")
     most, bits = PART, -(-64 // blocks)
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    shared = []
+    for side, (fp, other) in enumerate((("fp", "fp2"), ("fp2", "fp"))):
+        for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
+            value = F.shiftrightunsigned(F.col(fp), low).bitwiseAND(F.lit((1 << (high - low)) - 1))
+            shared.append(F.struct((value + ((side * blocks + k) << bits)).alias("key"), F.col(fp).alias("fp"), F.col(other).alias("fp2")))
+    keyed = forms.select("id", "size", F.explode(F.array(*shared)).alias("k")).select("k.*", "id", "size")
+    dealt = tiled(keyed, "key", F.xxhash64("id"), TILE, few_keys=True)  # keys have 64 / blocks bits
+    # Block, tiles and length in one number: what rows are dealt by, and then sorted by, is as narrow as can be. Tiles of a pair are two halves of 31 bits.
+    pair = F.shiftright("pair", 31) * (1 << TILE_BITS) + F.col("pair").bitwiseAND((1 << 31) - 1)
+    pair = F.when(F.col("pair").bitwiseAND((1 << 31) - 1) >= 1 << TILE_BITS, F.raise_error(F.lit("a block has too many tiles")).cast("long")).otherwise(pair)
+    run = (F.col("key") * (1 << 2 * TILE_BITS) + pair).alias("run")
+    order = F.col("run") * (1 << SIZE_BITS) + F.least(F.col("size"), F.lit((1 << SIZE_BITS) - 1))
+    dealt = dealt.select(run, "size", "fp", "fp2", "id").select(order.alias("order"), "fp", "fp2", "id")
+    dealt = dealt.repartition(F.shiftright("order", SIZE_BITS)).sortWithinPartitions("order")
+    dealt = dealt.select(F.shiftright("order", SIZE_BITS).alias("run"), "order", "fp", "fp2", "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in with_last(batches, ["key", "pair"]):
+        for group in with_last(batches, ["run"]):
             fp, fp2 = (group.column(c).to_numpy().view(np.uint64) for c in ("fp", "fp2"))
-            ids, sizes, key = (group.column(c).to_numpy() for c in ("id", "size", "key"))
-            starts = runs_of(group, ["key", "pair"])
-            block = np.where(key < 0, (-1 - key >> bits) + blocks, key >> bits)
+            ids, sizes = group.column("id").to_numpy(), group.column("order").to_numpy() & ((1 << SIZE_BITS) - 1)
+            starts = runs_of(group, ["run"])
+            block = group.column("run").to_numpy() >> 2 * TILE_BITS + bits
             i, j = near(fp, starts, radius, until=reach(sizes, starts, similarity))
-            own, other, second = fp[i] ^ fp[j], fp2[i] ^ fp2[j], key[i] < 0
+            own, other, second = fp[i] ^ fp[j], fp2[i] ^ fp2[j], block[i] >= blocks
             first = first_block(np.where(second, other, own), np.where(second, own, other), blocks, radius, wide) == block[i]
             label = forest(len(fp), i[first], j[first])
             members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
@@ -189,7 +215,7 @@ def groups(forms: DataFrame, blocks: int, radius: int, wide: int, similarity: fl
             names, places = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (names, places))
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(block[places], pa.int32()), pa.array(ids[places])], names=["group", "block", "id"])
 
-    return dealt.select("key", "pair", "fp", "fp2", "id", "size").mapInArrow(search, "group long, block int, id long").distinct()
+    return dealt.mapInArrow(search, "group long, block int, id long").distinct()
 
 
 def reach(sizes: np.ndarray, starts: np.ndarray, similarity: float) -> np.ndarray:
@@ -281,9 +307,13 @@ def kept_lines(
     edges = verified(near_by.join(with_forms(rows, wanted), "id").select("group", "block", "id", "fp", "fp2", "form"), blocks, radius, wide, similarity)
     roots = components(edges)
     scratch.drop(spark, path)
-    of_root = forms.join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.coalesce("root", "id").alias("root"), "first")
-    firsts = of_root.groupBy("root").agg(F.min("first").alias("first"))
-    stay = firsts.groupBy("first.doc_id", "first.text_key").agg(F.array_sort(F.collect_list("first.line")).alias("stay"))  # a text's lines at most
+    own = forms.join(roots.withColumnRenamed("node", "id"), "id").select("root", "first")
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    later = own.join(least, "root").where("first != least")
+    of_text = lambda df, name: df.groupBy("first.doc_id", "first.text_key").agg(F.array_sort(F.collect_list("first.line")).alias(name))  # noqa: E731  a text's lines at most
+    none = F.array().cast("array<int>")
+    stay = of_text(forms, "stay").join(of_text(later, "gone"), ["doc_id", "text_key"], "left")
+    stay = stay.select("doc_id", "text_key", F.array_except("stay", F.coalesce("gone", none)).alias("stay"))
     out = found.select("doc_id", "text_key", F.size("lines").cast("long").alias("n_lines")).join(stay, ["doc_id", "text_key"], "left")
     n_kept = F.when(F.col("stay").isNull(), 0).otherwise(F.size("stay")).cast("long")
     return out.select("doc_id", "text_key", "n_lines", n_kept.alias("n_kept"), F.coalesce(F.array_join("stay", ","), F.lit("")).alias("kept_lines"))

@@ -25,8 +25,8 @@ from .bitslice import TILE, confirmed, linked, links, near, runs_of, tiled
 from .common import bytes_of, emit, with_last
 from .components import components
 
-#: Hashes that are counted together: six bit planes hold counts up to 63.
-PIECE = 63
+#: Hashes that are counted together: seven bit planes hold counts up to 127.
+PIECE = 127
 
 
 def _added(rows: np.ndarray) -> list[np.ndarray]:
@@ -51,11 +51,16 @@ def _added(rows: np.ndarray) -> list[np.ndarray]:
 
 
 def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A fingerprint for each run of `sizes` hashes: the bits set in over half of the run.
+    """A fingerprint for each run of `sizes` hashes: the bits set in over half of the run."""
+    return majorities([hashes], sizes)[0]
+
+
+def majorities(several: list[np.ndarray], sizes: np.ndarray) -> list[np.ndarray]:
+    """majority() of several arrays of hashes over the same runs.
 
     Runs are cut into pieces, whose bits are counted 64 at a time in bit planes; then the counts of a run's pieces are added.
     """
-    out = np.zeros(len(sizes), np.uint64)
+    out = [np.zeros(len(sizes), np.uint64) for _ in several]
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
@@ -63,18 +68,19 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     pieces = (sizes + PIECE - 1) // PIECE
     first = np.cumsum(pieces) - pieces
     total = int(pieces.sum())
-    grid = np.zeros(total * PIECE, np.uint64)
-    grid[np.arange(len(hashes)) + np.repeat(first * PIECE - (np.cumsum(sizes) - sizes), sizes)] = hashes
-    grid = grid.reshape(total, PIECE)
+    places = np.arange(len(several[0])) + np.repeat(first * PIECE - (np.cumsum(sizes) - sizes), sizes)
     counts = np.empty((total, 64), np.uint8)
-    for low in range(0, total, 512):
-        planes = _added(np.ascontiguousarray(grid[low : low + 512].T))
-        part = np.zeros((len(planes[0]), 64), np.uint8)
-        for k, plane in enumerate(planes):
-            part |= np.unpackbits(plane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") << k
-        counts[low : low + 512] = part
-    counts = np.add.reduceat(counts, first, axis=0, dtype=np.int64)
-    out[full] = np.packbits(2 * counts > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    grid = np.zeros((total, PIECE), np.uint64)
+    for hashes, found in zip(several, out, strict=True):
+        grid.ravel()[places] = hashes
+        for low in range(0, total, 256):
+            planes = _added(np.ascontiguousarray(grid[low : low + 256].T))
+            part = np.zeros((len(planes[0]), 64), np.uint8)
+            for k, plane in enumerate(planes):
+                part |= np.unpackbits(plane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") << k
+            counts[low : low + 256] = part
+        summed = np.add.reduceat(counts, first, axis=0, dtype=np.int32)
+        found[full] = np.packbits(2 * summed > sizes[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
 
@@ -86,20 +92,26 @@ def shingle_hashes(text: bytes, words: int) -> list[int]:
     return [hash_(b" ".join(s), 42) for s in zip(*(parts[k:] for k in range(words)), strict=False)]
 
 
+def text_key(text: F.Column) -> F.Column:
+    """Tells rows with one id and other texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", keyed: bool = False) -> DataFrame:
-    """(doc_id long, fp long), a row per document; if keyed, also key, a 128-bit hash of the text's words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())] + [("key", pa.binary())] * keyed)
+    """(doc_id long, fp long), a row per document; if keyed, also key, a 128-bit hash of the text's words, and text_key."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[("key", pa.binary()), ("text_key", pa.int64())] * keyed])
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = bytes_of(batch, "text")
             hashes = [np.array(shingle_hashes(t, words), np.uint64) for t in texts]
             fp = majority(np.concatenate(hashes), np.array([*map(len, hashes)])) if hashes else np.zeros(0, np.uint64)
-            keys = [[xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts]] if keyed else []
+            keys = [[xxhash.xxh3_128_digest(b" ".join(t.lower().split())) for t in texts], batch.column("text_key")] if keyed else []
             yield emit(schema, [batch.column("doc_id"), fp.view(np.int64), *keys])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(make, "doc_id long, fp long" + ", key binary" * keyed)
+    own = [text_key(F.col(text_col)).alias("text_key")] * keyed
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *own)
+    return rows.mapInArrow(make, "doc_id long, fp long" + ", key binary, text_key long" * keyed)
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -132,18 +144,20 @@ def confirmed_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, component_id) by links that the texts confirm: fingerprints within `wide` bits and, of their shingles of
+    """(doc_id, text_key, component_id, kept), a row per row with an id, by links that the texts confirm: fingerprints within `wide` bits and, of their shingles of
     check_words words, a Jaccard similarity of at least `similarity`.
 
     Fingerprints are compared in two sets of groups. By blocks of the fingerprint, no pair within blocks - shared bits is lost, and
     up to radius, pairs are found if their bits fall into few blocks. At the least similarity, though, fingerprints differ in some 10 bits, so
     texts that share a band of minimum hashes of their check_words shingles are compared as well, there within `wide`: of pairs
     with a Jaccard similarity of 0.8, a share of 1 - (1 - 0.8 ** band_rows) ** bands has such a band.
-    Texts with the same words are one node. Families of linked texts get their texts back and are confirmed in tiles of bounded size.
+    Texts with the same words are one node. component_id is the smallest doc_id that links reach; kept is true for that document, of several with that id
+    for the one with the smallest text_key, so that rows with one id and other texts have their own fate. Families of linked texts get their texts back and are confirmed in tiles of bounded size.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key")).where("doc_id is not null")
     prints = scratch.save(fingerprints(rows, words, keyed=True), "simhash")
-    nodes = scratch.save(prints.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp")), "nodes")
+    nodes = prints.groupBy("key").agg(F.min(F.struct("doc_id", "text_key")).alias("first"), F.first("fp").alias("fp"))
+    nodes = scratch.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,15 +165,15 @@ def confirmed_duplicates(
             keys = [band_keys(h, bands, band_rows) if len(h) else [] for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "node", "keys"])
 
-    first = rows.join(nodes.select(F.col("node").alias("doc_id"), "node", "fp"), "doc_id").select("fp", "node", "text")
+    first = rows.join(nodes.select("first.*", "node", "fp"), ["doc_id", "text_key"]).select("fp", "node", "text")
     banded_rows = first.mapInArrow(banded, "fp long, node long, keys array<long>").dropDuplicates(["node"])
     keyed = scratch.save(banded_rows.select("fp", "node", F.explode("keys").alias("key")), "bands")
     distinct = nodes.groupBy("fp").agg(F.min("node").alias("least"))
     same = nodes.join(distinct, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     edges = links(distinct.select("fp", F.col("least").alias("node")), radius, blocks, shared).unionByName(same).unionByName(linked(keyed, wide))
     family = components(edges).withColumnRenamed("root", "family")
-    family = nodes.join(family, "node").select("family", "fp", "node")
-    texts = family.join(rows.withColumnRenamed("doc_id", "node"), "node").select("family", "fp", "node", "text")
+    family = nodes.join(family, "node").select("family", "fp", "node", "first.*")
+    texts = family.join(rows, ["doc_id", "text_key"]).select("family", "fp", "node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +199,11 @@ def confirmed_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     roots = components(dealt.select("family", "pair", "fp", "node", "shingles").mapInArrow(confirm, "a long, b long"))
-    roots = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(roots, "key").select("doc_id", "component_id")
+    own = nodes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
+    least = own.groupBy("root").agg(F.min("first").alias("least"))
+    found = own.join(least, "root").select("key", "least")
+    kept = F.struct("doc_id", "text_key") == F.col("least")
+    return prints.join(found, "key").select("doc_id", "text_key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def fingerprint_text(fp: F.Column) -> F.Column:

@@ -125,8 +125,12 @@ def test_confirmed_duplicates(spark):
     rows += [(n + k, " ".join(r.choices(words, k=150))) for k in range(30)] + [(500, None), (501, ""), (502, rows[0][1] + " ")]
     sets = {d: set(shingle_hashes((t or "").encode(), 5)) for d, t in rows}
     alike = [(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    got = {x["doc_id"]: x["component_id"] for x in confirmed_duplicates(docs(spark, rows)).collect()}
+    found = confirmed_duplicates(docs(spark, rows)).collect()
+    got = {x["doc_id"]: x["component_id"] for x in found}
     assert got == closure(sets, alike)
+    assert {x["doc_id"] for x in found if x["kept"]} == set(got.values())
+    twice = [(1, rows[0][1]), (1, "a text of its own that has one id with another one"), (2, rows[0][1] + " x"), (2, "lone")]
+    assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in confirmed_duplicates(docs(spark, twice)).collect()) == [(1, 1, True), (1, 1, True), (2, 1, False), (2, 2, True)]
     assert confirmed_duplicates(docs(spark, [])).count() == 0
 
 
@@ -215,9 +219,11 @@ def test_edit_distance():
 
 def test_quick_bound_agrees_with_the_distance():
     r = random.Random(6)
-    for _ in range(300):
+    for _ in range(600):
         a = " ".join("".join(r.choices("abé", k=r.randint(1, 6))) for _ in range(r.randint(1, 12)))
         words = a.split(" ")
+        if r.random() < 0.5:
+            words.insert(r.randrange(len(words)), "ab")
         for _ in range(r.randint(0, 3)):
             words[r.randrange(len(words))] = "".join(r.choices("abé", k=r.randint(1, 6)))
         b = " ".join(words[: len(words) - r.randint(0, 1)] or ["x"])
@@ -236,13 +242,17 @@ def print_of(form, second):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def key_of(text):
+    return (xxhash.xxh64_intdigest((text or "").encode(), 42) + 2**63) % 2**64 - 2**63
+
+
 def brute_lines(rows, similarity=0.8, blocks=5, radius=10, wide=18):
     found = {}
     for d, t in rows:
         if d is not None:
             for k, line in enumerate((t or "").split("\n")):
                 if form := line_dedup.normal(line.encode()):
-                    found[d, hashlib.md5((t or "").encode()).hexdigest(), k] = form
+                    found[d, key_of(t), k] = form
     forms = sorted(set(found.values()))
     fps = {f: (print_of(f, False), print_of(f, True)) for f in forms}
     edges = [64 * k // blocks for k in range(blocks + 1)]
@@ -261,7 +271,7 @@ def brute_lines(rows, similarity=0.8, blocks=5, radius=10, wide=18):
     out = []
     for d, t in rows:
         if d is not None:
-            key = hashlib.md5((t or "").encode()).hexdigest()
+            key = key_of(t)
             out.append((d, key, sum(p[:2] == (d, key) for p in found), sorted(p[2] for p in stay if p[:2] == (d, key))))
     return sorted(out)
 
@@ -297,7 +307,7 @@ def test_lines(spark, monkeypatch, part, tile):
     texts = sorted(((x["doc_id"], x["text"]) for x in line_dedup.deduplicate(docs(spark, rows), decisions).collect()), key=str)
     left = []
     for d, t in rows:
-        keep = by_text.get((d, hashlib.md5((t or "").encode()).hexdigest()))
+        keep = by_text.get((d, key_of(t)))
         left.append((d, t if t is None or d is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not x.strip(" \t\n\r\x0b\x0c") or k in keep)))
     assert texts == sorted(left, key=str)
     assert line_dedup.kept_lines(docs(spark, [])).count() == 0

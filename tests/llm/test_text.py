@@ -10,10 +10,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import class_lm, language_id, lz_fingerprint, packing, piece_bpe, secrets
 from palimpsest.llm import queries as Q
-from palimpsest.llm.key_ranges import KeyRanges
+from palimpsest.llm.key_ranges import first_keys, range_of
 
 SCHEMA = "doc_id long, text string, lang string, spans string, score string, ids string"
 
@@ -64,7 +65,7 @@ def test_packing(spark):
 def test_packing_over_several_levels(spark):
     rows = [(i, "word thing " * (i % 29)) for i in range(600)]
     made = packing.pieces(docs(spark, rows), Q.tokenizer_file("word_bpe_49k.json"), 64, 1)
-    n, least = check_packing(rows, packing.pack(made, 64, shard_size=20, open_bins=2, fan_in=4).collect(), 64)
+    n, least = check_packing(rows, packing.pack(made, 64, shard_size=20, open_share=64).collect(), 64)
     sizes = [x["length"] for x in made.select("length").collect()]
     assert n <= 1.04 * len(packing.pack_sizes(sizes, 64)) + 1
 
@@ -425,11 +426,10 @@ def test_phrases_are_those_of_lz78():
         assert lz_fingerprint.parse(data[cut:], parts, lz_fingerprint.parse(data[:cut], parts)) == rest and parts == seen
 
 
-@pytest.mark.parametrize("range_rows", [3, 2000])
-def test_splices(spark, range_rows):
+def test_splices(spark):
     r = random.Random(6)
     rows = [(d, "".join(r.choices("abé 🙂\n", k=r.choice([0, 1, 2, 50, 400])))) for d in r.sample(range(-1000, 10**9), 40)] + [(10**12, None), (3, "same"), (2, "same")]
-    got = {x["doc_id"]: x for x in lz_fingerprint.splice_comparison(docs(spark, rows), range_rows=range_rows).collect()}
+    got = {x["doc_id"]: x for x in lz_fingerprint.splice_comparison(docs(spark, rows)).collect()}
     order = sorted(((d, t or "") for d, t in rows), reverse=True)
     assert set(got) == {d for d, _ in order}
     fp = lambda t: lz_fingerprint.fingerprint(t.encode())
@@ -445,6 +445,32 @@ def test_splices(spark, range_rows):
     assert lz_fingerprint.fingerprints(docs(spark, rows)).count() == len(rows)
 
 
+def check_splices(rows, got):
+    order = sorted(((d, t or "") for d, t in rows), key=lambda x: (-x[0], x[1].encode()))
+    fp = [lz_fingerprint.fingerprint(t.encode()) for _, t in order]
+    want = collections.Counter()
+    for k, (d, t) in enumerate(order):
+        n = (k + 1) % len(order)
+        edited = t[: len(t) - len(t) // 2] + order[n][1][: len(t) // 2]
+        other = lz_fingerprint.fingerprint(edited.encode())
+        want[d, len(t), hashlib.sha256(edited.encode()).hexdigest(), lz_fingerprint.text_of(fp[k]), lz_fingerprint.text_of(other), lz_fingerprint.likeness(fp[k], other), lz_fingerprint.likeness(fp[k], fp[n])] += 1
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_splices_over_several_partitions(spark):
+    r = random.Random(12)
+    rows = [(r.randrange(100), "".join(r.choices("abé ", k=r.choice([0, 1, 5, 80])))) for _ in range(60)]
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        check_splices(rows, lz_fingerprint.splice_comparison(docs(spark, rows)).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_likeness_follows_shared_text():
     r = random.Random(8)
     words = [f"{random_token(r, 'aeioulnrst', 5)}" for _ in range(500)]
@@ -455,19 +481,22 @@ def test_likeness_follows_shared_text():
 
 
 def test_splice_query(spark, sf):
-    rows = Q.op9_lz_fingerprints(spark, sf).collect()
-    assert len(rows) == len(texts_of(spark, sf))
-    assert all(0 <= x["near_edited"] <= 1 and 0 <= x["near_next"] <= 1 for x in rows)
-
+    got = Q.op9_lz_fingerprints(spark, sf)
+    assert got.columns == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    check_splices(list(texts_of(spark, sf).items()), got.collect())
 
-def test_key_ranges(spark):
-    from pyspark.sql import functions as F
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_ranges_of_clustered_keys(spark, parts):
     r = random.Random(2)
-    keys = [r.randrange(10**6) for _ in range(300)] + [10**15 + k for k in range(300)] + [-(2**40)]
-    rows = spark.createDataFrame([(k,) for k in keys], "k long")
-    ranges = KeyRanges(rows, "k", F.lit(1), 20)
-    got = rows.withColumn("r", ranges.column(F.col("k"))).groupBy("r").agg(F.min("k").alias("low"), F.max("k").alias("high"), F.count("k").alias("n")).orderBy("r").collect()
-    assert sum(x["n"] for x in got) == len(keys) and got[-1]["r"] < ranges.count
-    assert all(a["high"] < b["low"] for a, b in zip(got, got[1:]))
-    assert max(x["n"] for x in got) <= 60
+    keys = [r.randrange(10**6) for _ in range(300)] + [10**15 + k for k in range(300)] + [-(2**40)] + [7] * 50
+    rows = spark.createDataFrame([(k,) for k in [*keys, None]], "k long").repartition(parts)
+    firsts = first_keys(rows, "k", 20)
+    ordered, want = sorted(keys), []
+    for at, k in enumerate(ordered):
+        if at == 0 or k != ordered[at - 1]:
+            want.append((at // 20, k))
+    assert firsts.tolist() == [k for n, (q, k) in enumerate(want) if n == 0 or want[n - 1][0] != q]
+    got = {x["k"]: x["r"] for x in rows.select("k", range_of(F.col("k"), firsts).alias("r")).collect()}
+    assert got == {k: 0 if k is None else sum(f <= k for f in firsts) - 1 for k in [*keys, None]}
+    assert len(first_keys(rows.where("false"), "k", 20)) == 0
