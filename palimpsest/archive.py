@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = {
     "sources": "id string, name string, adapter_version string, first_seen timestamp, last_ingested timestamp, config string",
@@ -38,6 +39,24 @@ class Archive:
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def write(self, folder: str, buckets: int = 64) -> Archive:
+        """Writes the tables as Parquet; those that belong to conversations are partitioned by a hash of the conversation's id, so that an
+        upsert rewrites the partitions of changed conversations only. Returns a reader of what was written."""
+        for name, df in self.keyed(buckets).items():
+            df.write.mode("overwrite").partitionBy(*(["bucket"] if "bucket" in df.columns else [])).parquet(f"{folder}/{name}")
+        return read_archive(self.conversations.sparkSession, folder)
+
+    def keyed(self, buckets: int) -> dict[str, DataFrame]:
+        """The tables, with the bucket of the conversation that a row belongs to; rows of a bucket stand together."""
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
+        conversations = self.conversations.select("*", of("id"))
+        messages = self.messages.select("*", of("conversation_id"))
+        blocks = self.content_blocks.join(self.messages.select(F.col("id").alias("message_id"), of("conversation_id")), "message_id").select(*self.content_blocks.columns, "bucket")
+        natives = self.conversations.select("source_id", F.col("source_native_id").alias("source_native_conversation_id"), of("id"))
+        raw = self.raw_events.join(natives, ["source_id", "source_native_conversation_id"]).select(*self.raw_events.columns, "bucket")
+        found = {"conversations": conversations, "messages": messages, "content_blocks": blocks, "raw_events": raw}
+        return {"sources": self.sources} | {k: v.repartition("bucket") for k, v in found.items()}
+
     def register(self, spark: SparkSession) -> None:
         """Temporary views by the tables' names."""
         for name, df in self.tables().items():
@@ -45,6 +64,18 @@ class Archive:
         self.tool_calls.createOrReplaceTempView("tool_calls")
 
 
+def read_archive(spark: SparkSession, folder: str) -> Archive:
+    """The tables that Archive.write() wrote; a table that isn't there is empty."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = lambda name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
+    tables = {}
+    for name, schema in SCHEMAS.items():
+        empty = spark.createDataFrame([], schema)
+        tables[name] = spark.read.schema(f"{schema}, bucket int" if name != "sources" else schema).parquet(f"{folder}/{name}").select(*empty.columns) if there(name) else empty
+    return Archive(**tables)
+
+
 def union(parts: list[Archive]) -> Archive:
     """The archives of several sources as one."""
     first, *rest = parts

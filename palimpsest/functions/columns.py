@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,15 @@ def with_parents(messages: DataFrame) -> DataFrame:
     return messages.join(firsts, ["conversation_id", "parent_source_native_id"], "left")
 
 
+def with_event_count(metadata: Column, n: Column) -> Column:
+    """A JSON object's text with event_count set; keys sorted."""
+    members = F.coalesce(F.try_variant_get(parsed(metadata), "$", "map<string, variant>"), F.expr("map()").cast("map<string, variant>"))
+    others = F.map_filter(members, lambda k, v: k != "event_count")
+    texts = F.transform(F.map_entries(others), lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")))
+    every = F.array_sort(F.concat(texts, F.array(F.struct(F.lit("event_count").alias("k"), n.cast("string").alias("v")))))
+    return F.concat(F.lit("{"), F.array_join(F.transform(every, lambda e: F.concat(json_string(e["k"]), F.lit(":"), e["v"])), ","), F.lit("}"))
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{STRIP}]+|[{STRIP}]+$", "")
 
@@ -92,7 +103,12 @@ def parsed(text: Column) -> Column:
     """A JSON text as a variant; null for text that is not exactly one JSON value."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
     items = F.try_variant_get(wrapped, "$", "array<variant>")
-    return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
+    return let(items, lambda own: F.when(F.size(own) == 1, F.get(own, F.lit(0))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is written out, and computed, once: inside lambdas nothing else finds what expressions have in common."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def kind(v: Column) -> Column:
@@ -140,6 +156,27 @@ def object_text(**members: Column) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def optional_object(**members: Column) -> Column:
+    """The same with null members left out."""
+    parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v)) for k, v in sorted(members.items())]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def string_of(v: Column) -> Column:
+    """The text of a variant that is a JSON string."""
+    return F.when(kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def number_of(v: Column) -> Column:
+    """The double of a variant that is a JSON number."""
+    return F.when(kind(v).isin("TINYINT", "SMALLINT", "INT", "BIGINT", "DECIMAL", "FLOAT", "DOUBLE"), F.try_variant_get(v, "$", "double"))
+
+
+def or_other(v: Column, other: Column) -> Column:
+    """v if it is true in Python's sense, else other."""
+    return F.when(truthy(v), v).otherwise(other)
+
+
 def json_string(text: Column) -> Column:
     """A string as JSON text."""
     return F.when(text.isNotNull(), F.regexp_extract(F.to_json(F.array(text)), r"(?s)^\[(.*)\]$", 1))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..archive import Archive
+from .. import scratch
+from ..archive import Archive, read_archive
 from ..functions import columns as C
 
 KEY = ["source_id", "scope", "locator"]
@@ -42,7 +45,9 @@ def collect_changes(handles: DataFrame, states: DataFrame, tombstones: DataFrame
     size, old = F.octet_length("content").cast("long"), F.col("__length")
     known = known.withColumn("__size", size).where("__size > 0").withColumn("__new_sha", F.sha2("content", 256))
     known = known.where(~F.coalesce((old == F.col("__size")) & (F.col("__sha") == F.col("__new_sha")), F.lit(False)))
-    grown = F.coalesce((old < F.col("__size")) & (F.sha2(F.substring("content", F.lit(1), old.cast("int")), 256) == F.col("__sha")), F.lit(False))
+    # Only a content longer than what was logged can have grown; no other is hashed a second time. A content is one value and so under 2 GB.
+    prefix = F.when(old < F.col("__size"), F.sha2(F.substring("content", F.lit(1), old.cast("int")), 256))
+    grown = F.coalesce(prefix == F.col("__sha"), F.lit(False))
     offset = F.when(grown, old).otherwise(F.lit(0).cast("long")) if append_only else F.lit(0).cast("long")
     kind = F.when(grown | old.isNull(), "append").otherwise("snapshot") if append_only else F.lit("snapshot")
     logged = known.select(*KEY, kind.alias("kind"), offset.alias("byte_offset"), "path", "project_hint", "content", "__size")
@@ -50,6 +55,26 @@ def collect_changes(handles: DataFrame, states: DataFrame, tombstones: DataFrame
     return logged.select(*KEY, "kind", "byte_offset", F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("content_sha256"), "path", "project_hint", "content")
 
 
+def pending_collection(handles: DataFrame, states: DataFrame, tombstones: DataFrame | None = None, append_only: bool = True) -> DataFrame:
+    """(source_id, discovered, pending): how many handles there are, and how many of them hold something to log. Nothing is written."""
+    pending = collect_changes(handles, states, tombstones, append_only).groupBy("source_id").agg(F.count(F.lit(1)).alias("pending"))
+    found = handles.groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered")).join(pending, "source_id", "left")
+    return found.select("source_id", "discovered", F.coalesce("pending", F.lit(0)).alias("pending"))
+
+
+def with_content_hashes(a: Archive) -> Archive:
+    """The archive with content_hash: over a conversation's row, its messages and blocks in order, and its raw events as they are.
+
+    Times of ingest, paths and file times are no content. Hashes of messages and events are made first, so that a conversation gathers only these.
+    """
+    seen = _message_hashes(a).groupBy(F.col("conversation_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("sequence_index", "h"))).alias("messages"))
+    raw = a.raw_events.select("source_id", F.col("source_native_conversation_id").alias("source_native_id"), "line_number", F.sha2(F.coalesce("payload", F.lit("")), 256).alias("h"))
+    raw = raw.groupBy("source_id", "source_native_id").agg(F.array_sort(F.collect_list(F.struct("line_number", "h"))).alias("events"))
+    own = F.struct(F.lit("v1"), "source_id", "source_native_id", "title", "project", "started_at", "ended_at", "message_count", "metadata", "messages", "events")
+    found = a.conversations.join(seen, "id", "left").join(raw, ["source_id", "source_native_id"], "left")
+    return replace(a, conversations=found.withColumn("content_hash", F.sha2(F.to_json(own), 256)).select(*a.conversations.columns))
+
+
 def classify_changes(new: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, action) per new conversation: inserted, unchanged (same hash), replaced (other project or start) or appended."""
     old = stored.select("id", F.col("content_hash").alias("__hash"), F.col("project").alias("__project"), F.col("started_at").alias("__started"), F.lit(True).alias("__stored"))
@@ -75,6 +100,29 @@ def kept_message_prefix(new: Archive, stored: Archive) -> DataFrame:
     return out.where("stored > 0").select("conversation_id", F.coalesce(F.col("__first").cast("long"), F.col("stored")).alias("kept"), "stored")
 
 
+def kept_event_prefix(new: Archive, stored: Archive) -> DataFrame:
+    """(conversation_id, kept, stored) of stored conversations: how many leading raw events, by id, path and payload, need no rewrite; a gap ends them."""
+    key = ["source_id", "source_native_conversation_id", "line_number"]
+    fields = lambda a, name: a.raw_events.select(*key, F.struct("id", "raw_path", "payload").alias(name))
+    names = new.conversations.select("source_id", F.col("source_native_id").alias("source_native_conversation_id"), F.col("id").alias("conversation_id"))
+    both = fields(stored, "_old").join(fields(new, "_new"), key, "full").join(names, key[:2])
+    found = both.groupBy("conversation_id").agg(F.min(F.when(~F.col("_new").eqNullSafe(F.col("_old")), F.col("line_number"))).alias("_first"), F.count("_old").alias("stored"))
+    return found.where("stored > 0").select("conversation_id", F.coalesce(F.col("_first").cast("long"), F.col("stored")).alias("kept"), "stored")
+
+
+def register_sources(stored: DataFrame, seen: DataFrame, now: Column | None = None) -> DataFrame:
+    """sources with those that were seen: the first time stays, name, version and last_ingested are the new ones."""
+    now = F.current_timestamp() if now is None else now
+    names = [c for c in stored.columns if c != "id"]
+    new = seen.select("id", F.struct(*names).alias("_new"))
+    both = stored.select("id", F.struct(*names).alias("_old")).join(new, "id", "full")
+    pick = {c: F.when(F.col("_new").isNotNull(), F.coalesce(F.col(f"_new.{c}"), F.col(f"_old.{c}"))).otherwise(F.col(f"_old.{c}")) for c in names}
+    pick["first_seen"] = F.coalesce("_old.first_seen", "_new.first_seen", now)
+    pick["config"] = F.coalesce("_old.config", "_new.config")
+    pick["last_ingested"] = F.when(F.col("_new").isNotNull(), now).otherwise(F.col("_old.last_ingested"))
+    return both.select("id", *(pick[c].alias(c) for c in names))
+
+
 def delete_conversations(a: Archive, gone: DataFrame) -> Archive:
     """The archive without the conversations of gone(id), from blocks to raw events."""
     gone = gone.select(F.col("id").alias("__gone")).distinct()
@@ -85,14 +133,42 @@ def delete_conversations(a: Archive, gone: DataFrame) -> Archive:
     return Archive(a.sources, a.conversations.join(gone, F.col("id") == F.col("__gone"), "left_anti"), messages, blocks, raw)
 
 
-def upsert_archive(stored: Archive, new: Archive) -> Archive:
-    """stored with the conversations of new. Unchanged ones keep their rows and take the new path and mtime."""
+def upsert_archive(stored: Archive, new: Archive, now: Column | None = None) -> Archive:
+    """stored with the conversations of new, whose content hashes are made here. Unchanged ones keep their rows and take the new path and mtime;
+    of changed ones, rows that are equal as a prefix keep their values, ingest times included."""
+    now = F.current_timestamp() if now is None else now
+    new = with_content_hashes(new)
     actions = classify_changes(new.conversations, stored.conversations)
     changed = actions.where("action != 'unchanged'").select("id")
     rest, fresh = delete_conversations(stored, changed), delete_conversations(new, actions.where("action = 'unchanged'"))
     seen = new.conversations.select("id", F.col("raw_path").alias("__path"), F.col("source_file_mtime").alias("__mtime"), F.lit(True).alias("__seen"))
     kept = rest.conversations.join(seen, "id", "left").withColumn("raw_path", F.when(F.col("__seen"), F.col("__path")).otherwise(F.col("raw_path"))).withColumn("source_file_mtime", F.when(F.col("__seen"), F.col("__mtime")).otherwise(F.col("source_file_mtime")))
     kept = kept.select(rest.conversations.columns)
-    sources = stored.sources.unionByName(new.sources.join(stored.sources.select("id"), "id", "left_anti").select(stored.sources.columns))
-    parts = {k: v.unionByName(fresh.tables()[k]) for k, v in rest.tables().items() if k not in ("sources", "conversations")}
-    return Archive(sources=sources, conversations=kept.unionByName(fresh.conversations), **parts)
+    old_events = stored.raw_events.select("id", F.col("raw_path").alias("__path"), F.col("payload").alias("__payload"), F.col("ingested_at").alias("__at"))
+    same = F.col("raw_path").eqNullSafe(F.col("__path")) & F.col("payload").eqNullSafe(F.col("__payload"))
+    events = fresh.raw_events.join(old_events, "id", "left").withColumn("ingested_at", F.when(same & F.col("__at").isNotNull(), F.col("__at")).otherwise(now)).select(fresh.raw_events.columns)
+    return Archive(
+        sources=register_sources(stored.sources, new.sources, now),
+        conversations=kept.unionByName(fresh.conversations.withColumn("ingested_at", now)),
+        messages=rest.messages.unionByName(fresh.messages),
+        content_blocks=rest.content_blocks.unionByName(fresh.content_blocks),
+        raw_events=rest.raw_events.unionByName(events),
+    )
+
+
+def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int = 64, now: Column | None = None) -> DataFrame:
+    """upsert_archive on a written archive: only the partitions that hold changed conversations are rewritten. Returns (id, action).
+
+    What is read is what is overwritten, so the new partitions are written aside first and then put in place.
+    """
+    stored, new = read_archive(spark, folder), with_content_hashes(new)
+    actions = scratch.save(classify_changes(new.conversations, stored.conversations), "actions")
+    touched = actions.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+    merged = upsert_archive(stored, new, now).keyed(buckets)
+    for name, df in merged.items():
+        part = df.join(F.broadcast(touched), "bucket", "left_semi").select(*df.columns) if name != "sources" else df
+        merged[name] = scratch.save(part, name)
+    for name, df in merged.items():
+        writer = df.repartition("bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic") if name != "sources" else df.write
+        writer.mode("overwrite").parquet(f"{folder}/{name}")
+    return actions

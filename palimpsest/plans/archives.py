@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def of_turns(spark: SparkSession, sf_dir: str, source: str = "claude_code") -> Archive:
     """The conversations table, rendered in a source's layout and normalised again."""
-    return NORMALIZERS[source](RENDERERS[source](table(spark, sf_dir, "conversations")))
+    return NORMALIZERS[source.removesuffix("_v2")](RENDERERS[source](table(spark, sf_dir, "conversations")))
 
 
 def of_events(spark: SparkSession, sf_dir: str) -> Archive:

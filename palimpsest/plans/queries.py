@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
-from ..sources.normalize import NORMALIZERS
+from ..sources.render import RENDERERS
 from .archives import of_events, of_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -212,7 +212,7 @@ def _ingest(source: str) -> None:
     role, project, title = _LAYOUT[source]
     kept = f"{TURNS}, k AS (SELECT * REPLACE ({role} AS role), row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n FROM t WHERE ({role}) IS NOT NULL AND text != '')"
     every = "t" if source in ("codex_cli",) else "k"
-    conversation = sid("conversation", f"'{source}'", "conv")
+    conversation = sid("conversation", f"'{source.removesuffix('_v2')}'", "conv")
     message = sid("message", conversation, "native")
     register(
         f"ingest_{source}_conversations",
@@ -229,7 +229,7 @@ def _ingest(source: str) -> None:
     )(lambda spark, sf_dir: of_turns(spark, sf_dir, source).content_blocks.select("id", "message_id", "block_index", "type", "text"))
 
 
-for _source in NORMALIZERS:
+for _source in RENDERERS:
     _ingest(_source)
 
 
@@ -241,4 +241,4 @@ def message_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_turns(spark, sf_dir).messages.select("source_native_id", "parent_message_id")
 
 
-from . import upkeep  # noqa: E402, F401  (its queries register here)
+from . import merging, upkeep  # noqa: E402, F401  (their queries register here)

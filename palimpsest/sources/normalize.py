@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..archive import Archive
 from ..functions import columns as C
-from .assemble import assemble, block, no_blocks, span
+from .assemble import Parsed, block, joined, no_blocks, or_default, parsed, span
+from .sessions import parse_hermes, parse_sessions
 from .transcripts import explode_jsonl
 
 
@@ -17,21 +19,6 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("locator").agg(F.any_value("path").alias("raw_path"), F.any_value("project_hint").alias("project_hint"), F.count(F.lit(1)).alias("n"))
 
 
-def or_default(v: Column, key: str, default: str) -> Column:
-    """JSON text of a key's value; the default if the key is absent."""
-    return F.coalesce(F.to_json(C.get(v, key)), F.lit(default))
-
-
-def joined(v: Column, typed: bool, skip_empty: bool) -> Column:
-    """The text items of a JSON array, by newlines; null if there is none. typed: only items whose type is text."""
-    items = C.items_of(v)
-    if typed:
-        items = F.filter(items, lambda x: C.get_string(x, "type") == "text")
-    texts = F.transform(items, lambda x: C.get_string(x, "text"))
-    texts = F.filter(texts, lambda t: t != "") if skip_empty else F.transform(texts, lambda t: F.coalesce(t, F.lit("")))
-    return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
-
-
 def content_block(x: Column) -> Column:
     """A typed block of message content: text, thinking, tool_use, tool_result, image; others are kept whole."""
     type_ = C.get_string(x, "type")
@@ -47,7 +34,7 @@ def content_block(x: Column) -> Column:
     )
 
 
-def normalize_claude_code(handles: DataFrame) -> Archive:
+def parse_claude_code(handles: DataFrame) -> Parsed:
     """JSONL events of type user, assistant, system or summary."""
     v = F.col("v")
     events = explode_jsonl(handles)
@@ -72,10 +59,10 @@ def normalize_claude_code(handles: DataFrame) -> Archive:
     conversations = event_counts(events).join(found, "locator").join(span(messages), "locator", "left").select(
         "locator", "title", F.coalesce("cwd", "project_hint").alias("project"), "started_at", "ended_at", C.object_text(event_count=F.col("n").cast("string")).alias("metadata"), "raw_path"
     )
-    return assemble("claude_code", "1", conversations, messages, events)
+    return parsed("claude_code", "1", handles, conversations, messages, events)
 
 
-def normalize_codex_cli(handles: DataFrame) -> Archive:
+def parse_codex_cli(handles: DataFrame) -> Parsed:
     """JSONL events {timestamp, type, payload}; the model is the first that a turn_context names, from there on."""
     v = F.col("v")
     events = explode_jsonl(handles)
@@ -123,10 +110,10 @@ def normalize_codex_cli(handles: DataFrame) -> Archive:
     cwd = F.when(F.col("type").isin("session_meta", "turn_context"), C.non_empty(p, "cwd"))
     found = events.withColumn("cwd", cwd).groupBy("locator").agg(F.min("time").alias("started_at"), F.max("time").alias("ended_at"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line"))).alias("project"))
     conversations = event_counts(events).join(found, "locator").select("locator", F.lit(None).cast("string").alias("title"), "project", "started_at", "ended_at", C.object_text(event_count=F.col("n").cast("string")).alias("metadata"), "raw_path")
-    return assemble("codex_cli", "1", conversations, messages, events)
+    return parsed("codex_cli", "1", handles, conversations, messages, events)
 
 
-def normalize_claude_export(handles: DataFrame) -> Archive:
+def parse_claude_export(handles: DataFrame) -> Parsed:
     """One JSON object per conversation; its messages are an array."""
     v = F.col("v")
     docs = handles.select("locator", "path", F.trim(F.decode("content", "UTF-8")).alias("raw")).withColumn("v", C.parsed(F.col("raw")))
@@ -165,10 +152,10 @@ def normalize_claude_export(handles: DataFrame) -> Archive:
         F.col("path").alias("raw_path"),
     )
     events = docs.select("locator", "path", F.lit(0).alias("line"), "raw")
-    return assemble("claude_export", "1", conversations, messages, events)
+    return parsed("claude_export", "1", handles, conversations, messages, events)
 
 
-def normalize_omp(handles: DataFrame) -> Archive:
+def parse_omp(handles: DataFrame) -> Parsed:
     """JSONL with a title slot, a session header, messages and custom messages."""
     v = F.col("v")
     events = explode_jsonl(handles).withColumn("type", C.get_string(v, "type")).withColumn("time", C.iso_time(C.get_string(v, "timestamp")))
@@ -240,12 +227,23 @@ def normalize_omp(handles: DataFrame) -> Archive:
         C.object_text(event_count=F.col("n").cast("string")).alias("metadata"),
         "raw_path",
     )
-    return assemble("omp", "1", conversations, messages, events)
+    return parsed("omp", "1", handles, conversations, messages, events)
 
 
-NORMALIZERS: dict[str, Callable[[DataFrame], Archive]] = {
-    "claude_code": normalize_claude_code,
-    "codex_cli": normalize_codex_cli,
-    "claude_export": normalize_claude_export,
-    "omp": normalize_omp,
+PARSERS: dict[str, Callable[[DataFrame], Parsed]] = {
+    "claude_code": parse_claude_code,
+    "codex_cli": parse_codex_cli,
+    "claude_export": parse_claude_export,
+    "omp": parse_omp,
+    "opencode": parse_sessions,
+    "hermes_agent": parse_hermes,
 }
+#: Sources whose transcripts only ever grow; the others are logged as whole snapshots.
+APPEND_ONLY = frozenset({"claude_code", "codex_cli", "omp"})
+
+
+def normalize(source: str, handles: DataFrame) -> Archive:
+    return PARSERS[source](handles).archive()
+
+
+NORMALIZERS: dict[str, Callable[[DataFrame], Archive]] = {source: partial(normalize, source) for source in PARSERS}

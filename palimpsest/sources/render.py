@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .transcripts import session_documents_hermes, session_documents_v1, session_documents_v2
+
 EPOCH = "2024-01-01 00:00:00"
 MODEL = "model-a"
 
@@ -73,4 +75,45 @@ def claude_export(turns: DataFrame) -> DataFrame:
     return grouped.select(F.lit("claude_export").alias("source_id"), F.lit("").alias("scope"), F.col("conv").alias("locator"), F.lit("/x/conversations.json").alias("path"), F.lit(None).cast("string").alias("project_hint"), F.lit(None).cast("double").alias("mtime"), document.cast("binary").alias("content"))
 
 
-RENDERERS = {"claude_code": claude_code, "codex_cli": codex_cli, "omp": omp, "claude_export": claude_export}
+def millis(at: Column) -> Column:
+    return F.unix_timestamp(at) * 1000
+
+
+def sessions_of(t: DataFrame, *more: Column) -> DataFrame:
+    """A row per conversation with the columns that the relational layouts share."""
+    first = t.groupBy("conv").agg(F.min("at").alias("at"))
+    return first.select(F.col("conv").alias("id"), F.concat(F.lit("Session "), "conv").alias("title"), millis(F.col("at")).alias("time_created"), *more)
+
+
+def opencode(turns: DataFrame) -> DataFrame:
+    """The first relational layout: session, message and part tables."""
+    t = with_keys(turns)
+    time = F.struct(millis(F.col("at")).alias("created"))
+    data = F.to_json(F.struct("role", time.alias("time"), F.when(F.col("role") != "user", MODEL).alias("modelID")))
+    messages = t.select(F.col("native").alias("id"), F.col("conv").alias("session_id"), millis(F.col("at")).alias("time_created"), data.alias("data"))
+    part = F.to_json(F.struct(F.lit("text").alias("type"), "text"))
+    parts = t.select(F.concat("native", F.lit("-p")).alias("id"), F.col("native").alias("message_id"), F.col("conv").alias("session_id"), millis(F.col("at")).alias("time_created"), part.alias("data"))
+    return session_documents_v1(sessions_of(t, F.lit("/work").alias("directory")), messages, parts)
+
+
+def opencode_v2(turns: DataFrame) -> DataFrame:
+    """The second relational layout: session_v2 and session_message tables."""
+    t = with_keys(turns)
+    time = F.struct(millis(F.col("at")).alias("created")).alias("time")
+    content = F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")
+    model = F.struct(F.lit(MODEL).alias("id")).alias("model")
+    data = F.when(F.col("role") == "assistant", F.to_json(F.struct(time, content, model))).otherwise(F.to_json(F.struct(time, "text")))
+    messages = t.select(F.col("native").alias("id"), F.col("conv").alias("session_id"), F.col("role").alias("type"), F.col("turn").alias("seq"), millis(F.col("at")).alias("time_created"), data.alias("data"))
+    return session_documents_v2(sessions_of(t, F.lit("/work").alias("directory")), messages)
+
+
+def hermes_agent(turns: DataFrame) -> DataFrame:
+    """Another agent's sessions and messages tables."""
+    t = with_keys(turns)
+    none = F.lit(None).cast("double")
+    sessions = sessions_of(t, F.lit("/work").alias("cwd"), F.lit(MODEL).alias("model"), F.lit("cli").alias("source"), none.alias("started_at"), none.alias("ended_at"))
+    messages = t.select(F.col("native").alias("id"), F.col("conv").alias("session_id"), "role", F.col("text").alias("content"), F.unix_timestamp("at").cast("double").alias("timestamp"), F.lit(1).alias("active"), F.lit(0).alias("compacted"))
+    return session_documents_hermes(sessions, messages)
+
+
+RENDERERS = {"claude_code": claude_code, "codex_cli": codex_cli, "omp": omp, "claude_export": claude_export, "opencode": opencode, "opencode_v2": opencode_v2, "hermes_agent": hermes_agent}

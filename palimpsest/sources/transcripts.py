@@ -57,35 +57,44 @@ def scan_export_array(spark: SparkSession, path: str, source: str = "claude_expo
     )
 
 
-def documents_of(parent: DataFrame, children: DataFrame, key: str, order: list[str], children_name: str) -> DataFrame:
-    """(key, document): each parent row with its ordered children, as one JSON object."""
-    row = F.struct(*[c for c in children.columns if dict(children.dtypes)[c] != "binary"])
-    grouped = children.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct(*order, row.alias("row")))).alias("rows"))
-    grouped = grouped.select("__key", F.transform("rows", lambda r: r["row"]).alias(children_name))
-    own = F.struct(*[c for c in parent.columns if dict(parent.dtypes)[c] != "binary"])
-    return parent.join(grouped, parent["id"] == F.col("__key"), "left").select(F.col("id"), F.to_json(F.struct(own.alias("session"), F.coalesce(children_name, F.array().cast(f"array<{row_type(children)}>")).alias(children_name))).alias("document"))
+def rows_of(df: DataFrame) -> Column:
+    """A table's row as a struct, binary columns left out."""
+    return F.struct(*[c for c, type_ in df.dtypes if type_ != "binary"])
 
 
-def row_type(df: DataFrame) -> str:
-    return "struct<" + ", ".join(f"{n}: {t}" for n, t in df.dtypes if t != "binary") + ">"
+def grouped(children: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """(session key, name): the ordered rows of each session, as JSON text of an array."""
+    rows = children.groupBy(F.col(key).cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct(*order, rows_of(children).alias("row")))).alias("rows"))
+    return rows.select("key", F.to_json(F.transform("rows", lambda r: r["row"])).alias(name))
 
 
-def handles_of(documents: DataFrame, source: str, path: str, project: Column | None = None) -> DataFrame:
-    return documents.select(
-        F.lit(source).alias("source_id"), F.lit("").alias("scope"), F.col("id").cast("string").alias("locator"), F.lit(path).alias("path"), (project if project is not None else F.lit(None).cast("string")).alias("project_hint"), F.lit(None).cast("double").alias("mtime"), F.col("document").cast("binary").alias("content")
+def session_documents(source: str, path: str, session_name: str, sessions: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], profile: str | None = None) -> DataFrame:
+    """One handle per session: an object of the session's row and, by name, arrays of its children's rows in their order."""
+    own = sessions.select(F.col("id").cast("string").alias("key"), F.to_json(rows_of(sessions)).alias("session"))
+    for name, (rows, order) in children.items():
+        own = own.join(grouped(rows, "session_id", order, name), "key", "left")
+    members = {session_name: F.col("session")} | {name: F.coalesce(name, F.lit("[]")) for name in children}
+    locator = F.concat_ws("/", F.lit(profile), "key") if profile else F.col("key")
+    return own.select(
+        F.lit(source).alias("source_id"),
+        F.lit("").alias("scope"),
+        locator.alias("locator"),
+        F.lit(path).alias("path"),
+        F.lit(None).cast("string").alias("project_hint"),
+        F.lit(None).cast("double").alias("mtime"),
+        C.object_text(**members).cast("binary").alias("content"),
     )
 
 
-def session_documents_v1(sessions: DataFrame, messages: DataFrame, parts: DataFrame, path: str = "opencode") -> DataFrame:
-    """Sessions with messages and their parts, children in order of time_created, then id."""
-    part_rows = parts.groupBy("message_id").agg(F.array_sort(F.collect_list(F.struct("time_created", "id", "data"))).alias("parts"))
-    nested = messages.join(part_rows, messages["id"] == part_rows["message_id"], "left").select(messages["id"], "session_id", "time_created", "data", F.coalesce("parts", F.array().cast("array<struct<time_created: bigint, id: string, data: string>>")).alias("parts"))
-    return handles_of(documents_of(sessions, nested, "session_id", ["time_created", "id"], "messages"), "opencode", path)
+def session_documents_v1(sessions: DataFrame, messages: DataFrame, parts: DataFrame, path: str = "opencode.db") -> DataFrame:
+    """Sessions with messages and parts, both in order of time_created, then id."""
+    order = ["time_created", "id"]
+    return session_documents("opencode", path, "session", sessions, {"messages": (messages, order), "parts": (parts, order)})
 
 
-def session_documents_v2(sessions: DataFrame, messages: DataFrame, path: str = "opencode") -> DataFrame:
+def session_documents_v2(sessions: DataFrame, messages: DataFrame, path: str = "opencode.db") -> DataFrame:
     """Sessions of the second layout, messages in order of seq."""
-    return handles_of(documents_of(sessions, messages, "session_id", ["seq"], "messages"), "opencode_v2", path)
+    return session_documents("opencode", path, "session_v2", sessions, {"session_message": (messages, ["seq"])})
 
 
 def only_newer_layout(v1: DataFrame, v2: DataFrame) -> DataFrame:
@@ -93,20 +102,15 @@ def only_newer_layout(v1: DataFrame, v2: DataFrame) -> DataFrame:
     return v1.join(v2.select("locator"), "locator", "left_anti").select(v2.columns).unionByName(v2)
 
 
-def session_documents_hermes(sessions: DataFrame, messages: DataFrame, profile: str | None = None, path: str = "hermes") -> DataFrame:
+def session_documents_hermes(sessions: DataFrame, messages: DataFrame, profile: str | None = None, path: str = "state.db") -> DataFrame:
     """Sessions with messages in order of (timestamp, id); ids of a named profile are prefixed with it."""
-    documents = documents_of(sessions, messages, "session_id", ["timestamp", "id"], "messages")
-    if profile:
-        documents = documents.withColumn("id", F.concat_ws("/", F.lit(profile), "id"))
-    return handles_of(documents, "hermes_agent", path)
+    return session_documents("hermes_agent", path, "session", sessions, {"messages": (messages, ["timestamp", "id"])}, profile)
 
 
 def explode_jsonl(handles: DataFrame) -> DataFrame:
     """One row per JSON object of the content's lines: source_id, locator, path, project_hint, line, raw, v. Blank, malformed and
-    non-object lines are left out, and lines are numbered from 0 after that. Bytes that are no UTF-8 become U+FFFD."""
-    lines = handles.select("source_id", "locator", "path", "project_hint", F.posexplode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("at", "raw"))
-    lines = lines.withColumn("raw", F.trim(F.regexp_replace("raw", r"^[\s]+|[\s]+$", ""))).where("raw != ''")
-    lines = lines.withColumn("v", C.parsed(F.col("raw"))).where(C.kind(F.col("v")) == "OBJECT")
-    from pyspark.sql import Window
-
-    return lines.withColumn("line", F.row_number().over(Window.partitionBy("source_id", "locator").orderBy("at")) - 1).drop("at")
+    non-object lines are left out, and lines are numbered from 0 after that, inside the array and so without a shuffle. Bytes that are no UTF-8 become U+FFFD."""
+    lines = F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")
+    lines = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"^[\s]+|[\s]+$", "")), lambda x: x != "")
+    objects = F.filter(F.transform(lines, lambda x: F.struct(x.alias("raw"), C.parsed(x).alias("v"))), lambda x: C.kind(x["v"]) == "OBJECT")
+    return handles.select("source_id", "locator", "path", "project_hint", F.posexplode(objects).alias("line", "x")).select("source_id", "locator", "path", "project_hint", "line", "x.raw", "x.v")
