@@ -220,7 +220,8 @@ def conversation_locator() -> Column:
 def merge(source: str, versions: DataFrame, device: str) -> tuple[Parsed, DataFrame]:
     """The merged conversations of one source, and their divergences."""
     parsed = PARSERS[source](version_handles(versions, device))
-    own, messages, events = (split_locator(df) for df in (parsed.conversations, parsed.messages, parsed.events))
+    # Each of them is read several times below; transcripts are parsed once.
+    own, messages, events = (split_locator(scratch.save(df, "parsed")) for df in (parsed.conversations, parsed.messages, parsed.events))
     ranked = order_versions(versions, messages)
     ranks = ranked.select("scope", "locator", "version", "rank", F.count(F.lit(1)).over(Window.partitionBy("scope", "locator")).alias("versions"))
     on = ["scope", "locator", "version"]

@@ -133,11 +133,11 @@ def bounded(df: DataFrame, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> Dat
 def run(archive: Archive, statement: str, rows: int = MOST_ROWS, size: int = MOST_BYTES, seconds: float = SECONDS) -> Result:
     """query() within the limits of rows, bytes and time; the prefix of rows that fits is kept."""
     df = query(archive, statement)
-    spark, tag = df.sparkSession, f"read-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    context, tag = df.sparkSession.sparkContext, f"read-{uuid.uuid4().hex}"
+    timer = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
+    context.addJobTag(tag)
     timer.start()
     try:
-        spark.addTag(tag)
         found = bounded(df, rows, size).collect()
     except Exception as e:
         if not timer.is_alive():
@@ -145,6 +145,6 @@ def run(archive: Archive, statement: str, rows: int = MOST_ROWS, size: int = MOS
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        context.removeJobTag(tag)
     kept = [r["row"] for r in sorted(found, key=lambda r: r["place"]) if r["fits"]]
     return Result(df.columns, kept, len(kept) < len(found))

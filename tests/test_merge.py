@@ -21,6 +21,11 @@ def line(name, parent=None, at=None, text=None):
     return json.dumps({"type": "user", "uuid": name, "parentUuid": parent, "timestamp": None if at is None else f"{EPOCH}{at:02d}Z", "message": {"role": "user", "content": text or f"text of {name}"}}) + "\n"
 
 
+def compact(text):
+    """A line as another program would write it: equal by value."""
+    return json.dumps(json.loads(text), separators=(",", ":")) + "\n"
+
+
 def seen(device, seq, locator, content, kind="append", offset=0, legacy=False, segment=None, source="claude_code", scope=""):
     data = None if content is None else content.encode()
     sha = hashlib.sha256(data or b"").hexdigest()
@@ -48,7 +53,7 @@ def test_scenarios(spark):
         seen("d1", 5, "repeated", A + A + A),
         seen("d1", 6, "deleted", A), seen("d2", 6, "deleted", None, "tombstone"),
         seen("d1", 7, "gap", B, offset=len(A)),
-        seen("d1", 8, "imported", A + B), seen("d2", 7, "imported", A.replace(" ", "") + B + C, "snapshot", legacy=True), seen("d3", 7, "imported", A.replace(" ", "") + B + C, "snapshot", legacy=True),
+        seen("d1", 8, "imported", A + B), seen("d2", 7, "imported", compact(A) + B + C, "snapshot", legacy=True), seen("d3", 7, "imported", compact(A) + B + C, "snapshot", legacy=True),
         seen("d1", 9, "unknown", A, source="other"),
         seen("d1", 10, "scoped", A), seen("d1", 11, "scoped", B, scope="s"),
     ]

@@ -164,7 +164,7 @@ def test_export_with_attachments(spark):
     assert (one["title"], json.loads(one["metadata"])) == ("", {"message_count": 4})
 
 
-def test_relational_sessions_of_both_layouts(spark):
+def test_relational_sessions_of_both_layouts(spark, tmp_path):
     rows = lambda schema, *values: spark.createDataFrame(list(values), schema)
     tool = {"type": "tool", "callID": "k", "tool": "Bash", "state": {"status": "completed", "input": {"c": 1}, "metadata": {"output": "out"}}}
     open_tool = {"type": "tool", "callID": "l", "tool": "Bash", "state": {"status": "running"}}
@@ -178,18 +178,17 @@ def test_relational_sessions_of_both_layouts(spark):
     newer = rows("id string, title string, directory string, model string", ("n", "", "/v", json.dumps({"id": "sm", "providerID": "pp"})))
     turns = [("u", "n", "user", 1, 1700000000000, json.dumps({"text": "first\nline", "files": [{"name": "f.txt"}, 3]})), ("a", "n", "assistant", 2, 1700000001000, json.dumps({"content": content})), ("x", "n", "idle", 3, 1700000002000, "{}")]
     v2 = session_documents_v2(newer, rows("id string, session_id string, type string, seq long, time_created long, data string", *turns))
-    archive = NORMALIZERS["opencode"](only_newer_layout(v1, v2))
+    archive = NORMALIZERS["opencode"](only_newer_layout(v1, v2)).write(str(tmp_path), 2)
     got = {x["source_native_id"]: x for x in archive.conversations.collect()}
-    assert [(got[k]["title"], got[k]["project"], got[k]["message_count"]) for k in "sn"] == [("T", "/w", 6), ("first", "/v", 4)]
-    assert got["s"]["ended_at"].second - got["s"]["started_at"].second in (9, 20, -31) or got["s"]["started_at"].year == 1970
+    assert [(got[k]["title"], got[k]["project"], got[k]["message_count"]) for k in "sn"] == [("T", "/w", 6), ("first", "/v", 5)]
+    assert (got["s"]["started_at"].year, got["s"]["ended_at"].timestamp()) == (1970, 1700000009.0)
     assert got["n"]["metadata"] == '{"schema":"v2"}'
     m = archive.messages.join(archive.conversations.select(F.col("id").alias("conversation_id"), F.col("source_native_id").alias("own")), "conversation_id")
     listed = [(x["own"], x["source_native_id"], x["role"], x["model"]) for x in m.orderBy("own", "sequence_index").collect()]
     assert listed == [
         ("n", "u", "user", None), ("n", "a", "assistant", "sm"), ("n", "k", "assistant", "sm"), ("n", "k", "tool", None), ("n", "a", "assistant", "sm"),
         ("s", "m1", "user", None), ("s", "m2", "assistant", "m"), ("s", "k", "assistant", "m"), ("s", "k", "tool", None), ("s", "l", "assistant", "m"), ("s", "m2", "assistant", "m"),
-    ][:4] + [("n", "a", "assistant", "sm")] * (got["n"]["message_count"] == 5) + [
-        ("s", "m1", "user", None), ("s", "m2", "assistant", "m"), ("s", "k", "assistant", "m"), ("s", "k", "tool", None), ("s", "l", "assistant", "m"), ("s", "m2", "assistant", "m")]
+    ]
     by = {(x[3], x[4], x[5]): x[6] for x in payloads(archive)}
     assert by[None, "Bash", "k"] == {"input": {"c": 1}, "status": "completed"} and by["out", None, "k"] == {"status": "completed"}
     assert by[None, "Bash", "l"] == {"input": {}, "status": "running"} and by[None, "patch", None] == {"hash": "h", "files": []}
