@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
+
 SCHEMAS = {
     "sources": "id string, name string, adapter_version string, first_seen timestamp, last_ingested timestamp, config string",
     "conversations": "id string, source_id string, source_native_id string, title string, project string, started_at timestamp, ended_at timestamp, message_count int, content_hash string, raw_path string, metadata string, ingested_at timestamp, source_file_mtime double",
@@ -39,6 +41,10 @@ class Archive:
     def tables(self) -> dict[str, DataFrame]:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
+    def saved(self) -> Archive:
+        """The same tables, each computed once and written to the shared folder, for jobs that read them several times."""
+        return Archive(**{name: scratch.save(df, name) for name, df in self.tables().items()})
+
     def write(self, folder: str, buckets: int = 64) -> Archive:
         """Writes the tables as Parquet; those that belong to conversations are partitioned by a hash of the conversation's id, so that an
         upsert rewrites the partitions of changed conversations only. Returns a reader of what was written."""

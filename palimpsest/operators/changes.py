@@ -134,10 +134,11 @@ def delete_conversations(a: Archive, gone: DataFrame) -> Archive:
 
 
 def upsert_archive(stored: Archive, new: Archive, now: Column | None = None) -> Archive:
-    """stored with the conversations of new, whose content hashes are made here. Unchanged ones keep their rows and take the new path and mtime;
+    """stored with the conversations of new, whose content hashes are made here if one is missing. Unchanged ones keep their rows and take the new path and mtime;
     of changed ones, rows that are equal as a prefix keep their values, ingest times included."""
     now = F.current_timestamp() if now is None else now
-    new = with_content_hashes(new)
+    if not new.conversations.where("content_hash is null").isEmpty():
+        new = with_content_hashes(new)
     actions = classify_changes(new.conversations, stored.conversations)
     changed = actions.where("action != 'unchanged'").select("id")
     rest, fresh = delete_conversations(stored, changed), delete_conversations(new, actions.where("action = 'unchanged'"))
@@ -161,7 +162,8 @@ def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int =
 
     What is read is what is overwritten, so the new partitions are written aside first and then put in place.
     """
-    stored, new = read_archive(spark, folder), with_content_hashes(new)
+    stored, new = read_archive(spark, folder), new.saved()
+    new = replace(new, conversations=scratch.save(with_content_hashes(new).conversations, "conversations"))
     actions = scratch.save(classify_changes(new.conversations, stored.conversations), "actions")
     touched = actions.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
     merged = upsert_archive(stored, new, now).keyed(buckets)

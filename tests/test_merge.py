@@ -1,4 +1,4 @@
-"""The merge of observations against a plain version of its rules, in any order of arrival; the log, catch-up and upserts on written folders."""
+"""The merge of observations against a plain version of its rules, in any order of arrival; and the log."""
 
 import hashlib
 import itertools
@@ -8,11 +8,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.archive import HANDLES, OBSERVATIONS, read_archive
-from palimpsest.operators import changes, merge, observations
+from palimpsest.archive import OBSERVATIONS
+from palimpsest.operators import merge, observations
 from palimpsest.operators.merge import versions_of
-from palimpsest.sources.normalize import NORMALIZERS
-from palimpsest.streaming import catch_up
 
 EPOCH = "2024-01-01T00:00:"
 
@@ -158,41 +156,6 @@ def test_snapshots_of_other_sources_supersede(spark):
     assert found.divergences.count() == 0
 
 
-def test_log_catch_up_and_upserts(spark, tmp_path):
-    log, archive, checkpoint = (str(tmp_path / n) for n in ("log", "archive", "checkpoint"))
-    handles = lambda **texts: spark.createDataFrame([("claude_code", "", k, f"/x/{k}", None, 1.0, v.encode()) for k, v in texts.items()], HANDLES)
-    none = spark.createDataFrame([], observations.STATES)
-    observations.append_observations(spark, log, changes.collect_changes(handles(one=A + B, two=A), none), "d1")
-    first = catch_up.catch_up(spark, log, archive, spark.createDataFrame([], "segment string"), buckets=4)
-    assert {x["locator"]: x["outcome"] for x in first.collect()} == {"one": "stored", "two": "stored"}
-    before = {x["id"]: x for x in read_archive(spark, archive).conversations.collect()}
-    assert all(x["content_hash"] and x["ingested_at"] for x in before.values())
-    states = observations.collector_state(observations.read_observations(spark, log), "d1")
-    assert changes.pending_collection(handles(one=A + B + C, two=A), states).collect()[0][1:] == (2, 1)
-    seen_segments = observations.read_observations(spark, log).select("segment").distinct().collect()
-    observations.append_observations(spark, log, changes.collect_changes(handles(one=A + B + C, two=A), states), "d1")
-    rows = observations.read_observations(spark, log).orderBy("device_seq").collect()
-    assert [(x["device_seq"], x["locator"], x["kind"], x["byte_offset"]) for x in rows] == [(1, "one", "append", 0), (2, "two", "append", 0), (3, "one", "append", len(A + B))]
-    assert observations.audit_observations(observations.read_observations(spark, log)).count() == 0
-    again = catch_up.catch_up(spark, log, archive, spark.createDataFrame(seen_segments, "segment string"), buckets=4)
-    assert {x["locator"]: x["outcome"] for x in again.collect()} == {"one": "stored"}
-    assert ids(read_archive(spark, archive)) == {"one": list("abc"), "two": ["a"]}
-    stream = catch_up.stream_catch_up(spark, log, archive, checkpoint, buckets=4)
-    stream.awaitTermination(120)
-    after = read_archive(spark, archive)
-    assert ids(after) == {"one": list("abc"), "two": ["a"]}
-    same = {x["source_native_id"]: x for x in after.conversations.collect()}
-    assert same["two"]["ingested_at"] == next(x["ingested_at"] for x in before.values() if x["source_native_id"] == "two")  # not rewritten
-    gone = spark.createDataFrame([seen("d2", 1, "two", None, "tombstone")], OBSERVATIONS)
-    gone.write.mode("append").partitionBy("device_id").parquet(log)
-    stream = catch_up.stream_catch_up(spark, log, archive, checkpoint, buckets=4)
-    stream.awaitTermination(120)
-    assert ids(read_archive(spark, archive)) == {"one": list("abc")}
-    folder = catch_up.rebuild(spark, log, str(tmp_path / "archives"), buckets=4)
-    assert catch_up.current(spark, str(tmp_path / "archives")) == folder
-    assert ids(read_archive(spark, folder)) == {"one": list("abc")}
-
-
 def test_replicas_exchange_segments(spark, tmp_path):
     one, two = str(tmp_path / "one"), str(tmp_path / "two")
     frame(spark, [seen("d1", 1, "x", A), seen("d1", 2, "x", B, offset=len(A))]).write.partitionBy("device_id").parquet(one)
@@ -204,27 +167,3 @@ def test_replicas_exchange_segments(spark, tmp_path):
     spark.createDataFrame([(*bad[:8], "0" * 64, *bad[9:])], OBSERVATIONS).write.mode("append").partitionBy("device_id").parquet(two)
     with pytest.raises(ValueError, match="hash differ"):
         observations.replicate(spark, one, two, "d1")
-
-
-def test_upsert_actions_and_prefixes(spark):
-    archive = lambda *lines: NORMALIZERS["claude_code"](spark.createDataFrame([("claude_code", "", "c", "/x/c", "/p", 1.0, "".join(lines).encode())], HANDLES))
-    stored = changes.with_content_hashes(archive(A, B, C))
-    for lines, action, messages, events in ((("A", "B", "C"), "unchanged", 3, 3), (("A", "B", "C", "D"), "appended", 3, 3), (("A", "X", "C"), "appended", 1, 1), (("A",), "appended", 1, 1), (("B", "C"), "replaced", 0, 0)):
-        new = changes.with_content_hashes(archive(*(globals()[x] for x in lines)))
-        assert changes.classify_changes(new.conversations, stored.conversations).first()["action"] == action, lines
-        assert changes.kept_message_prefix(new, stored).first()["kept"] == messages, lines
-        assert changes.kept_event_prefix(new, stored).first()["kept"] == events, lines
-    times = changes.upsert_archive(stored, archive(A, B, C, D), F.to_timestamp(F.lit("2030-01-01")))
-    assert ids(times) == {"c": list("abcd")}
-    now = [x["ingested_at"] is not None for x in times.raw_events.orderBy("line_number").collect()]
-    assert all(now)
-    moved = changes.upsert_archive(stored, NORMALIZERS["claude_code"](spark.createDataFrame([("claude_code", "", "c", "/y/c", "/p", 7.0, (A + B + C).encode())], HANDLES)))
-    row = moved.conversations.first()
-    assert (row["raw_path"], row["source_file_mtime"], row["ingested_at"]) == ("/y/c", 7.0, None)
-
-
-def test_installed_sources_that_fail_stop_no_other(spark):
-    good = lambda: spark.createDataFrame([("claude_code", "", "c", "/x/c", "/p", 1.0, A.encode())], HANDLES)
-    found, failed = catch_up.collect_installed({"bad": lambda: spark.read.parquet("/nowhere/at/all"), "good": good})
-    assert found.count() == 1 and set(failed) == {"bad"}
-    assert catch_up.collect_installed({})[0] is None
