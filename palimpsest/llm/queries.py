@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..session import configure
-from . import class_lm, language_id, line_dedup, lz_fingerprint, packing, piece_bpe, secrets, warc
+from . import class_lm, language_id, line_dedup, lz_fingerprint, packing, pii, piece_bpe, secrets, warc
 from .common import fold_of, table
 from .exact_dedup import exact_duplicates
 from .simhash_dedup import fingerprint_text, near_duplicates
@@ -77,6 +77,13 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url", "payload")
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(configure(spark), sf_dir, "documents"))
+    counts = [pii.of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"), scores.alias("scores"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_lz_fingerprints,
         op10_warc_writer,
+        op13_pii,
     )
 }
 
