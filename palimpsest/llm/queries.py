@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..session import configure
-from . import class_lm, language_id, line_dedup, lz_fingerprint, packing, pii, piece_bpe, secrets, warc
+from . import class_lm, language_id, line_dedup, lz_fingerprint, merkle, packing, pii, piece_bpe, secrets, warc
 from .common import fold_of, table
 from .exact_dedup import exact_duplicates
 from .simhash_dedup import fingerprint_text, near_duplicates
@@ -77,6 +77,13 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url", "payload")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(configure(spark), sf_dir, "documents")
+    leaf = lambda n_chars: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.when(fold_of(F.col("doc_id"), 7) == 0, leaf(F.col("n_chars") + 1))
+    return merkle.manifest(docs, leaf(F.col("n_chars")), tampered).drop("siblings")
+
+
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(configure(spark), sf_dir, "documents"))
     counts = [pii.of_kind(F.col("base"), k).alias(f"n_{k}") for k in pii.BASE]
@@ -97,14 +104,49 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_lz_fingerprints,
         op10_warc_writer,
+        op12_merkle_manifest,
         op13_pii,
     )
 }
 
+#: Leaves, levels of the runs and of the roots, then each row's way up; crc32 is written out bit by bit.
+MERKLE_SQL = """
+    WITH RECURSIVE field AS (
+        SELECT doc_id, lang, n_chars,
+            coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+            coalesce(strlen(text) || ':' || text, '-') AS tail,
+            list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) AS crc
+        FROM documents),
+    leaves AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf, coalesce(xor(crc, 4294967295) % 7 = 0, false) AS tampered,
+            sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other
+        FROM field),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    tree(lang, level, i, h, n) AS (
+        SELECT lang, 0, place, leaf, n FROM placed
+        UNION ALL SELECT lang, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, level, i // 2, n),
+    subs AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+    tops(level, i, h, n) AS (
+        SELECT 0, i, h, n FROM subs
+        UNION ALL SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2, n),
+    low(lang, place, level, i, h, n, proof) AS (
+        SELECT lang, place, 0, place, CASE WHEN tampered THEN other ELSE leaf END, n, '' FROM placed
+        UNION ALL SELECT w.lang, place, w.level + 1, w.i // 2, sha256(CASE WHEN w.i % 2 = 0 THEN w.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || w.h END), (w.n + 1) // 2, proof || coalesce(s.h, '')
+        FROM low w LEFT JOIN tree s ON s.lang IS NOT DISTINCT FROM w.lang AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1),
+    high(lang, place, level, i, h, n, proof) AS (
+        SELECT low.lang, place, 0, subs.i, low.h, subs.n, proof FROM low JOIN subs ON low.lang IS NOT DISTINCT FROM subs.lang WHERE low.n = 1
+        UNION ALL SELECT w.lang, place, w.level + 1, w.i // 2, sha256(CASE WHEN w.i % 2 = 0 THEN w.h || coalesce(s.h, '') ELSE coalesce(s.h, '') || w.h END), (w.n + 1) // 2, proof || coalesce(s.h, '')
+        FROM high w LEFT JOIN tops s ON s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1)
+    SELECT p.doc_id, p.leaf, subs.h AS subroot, tops.h AS root, sha256(high.proof) AS proof_sha256, high.h AS folded_root, high.h = tops.h AS verified
+    FROM placed p JOIN subs ON p.lang IS NOT DISTINCT FROM subs.lang JOIN high ON p.lang IS NOT DISTINCT FROM high.lang AND p.place = high.place AND high.n = 1 JOIN tops ON tops.n = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
         WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
