@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..session import configure
-from . import class_lm, language_id, line_dedup, lz_fingerprint, merkle, packing, pii, piece_bpe, secrets, warc
+from . import class_lm, language_id, lexical, line_dedup, lz_fingerprint, merkle, packing, pii, piece_bpe, secrets, warc
 from .common import fold_of, table
 from .exact_dedup import exact_duplicates
 from .simhash_dedup import fingerprint_text, near_duplicates
@@ -77,6 +77,10 @@ def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("url", "payload")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(configure(spark), sf_dir, "documents"), table(spark, sf_dir, "benchmark"), most=20)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(configure(spark), sf_dir, "documents")
     leaf = lambda n_chars: merkle.leaf_hash(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
@@ -104,11 +108,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_lz_fingerprints,
         op10_warc_writer,
+        op11_lexical_search,
         op12_merkle_manifest,
         op13_pii,
     )
 }
 
+LEXICAL_SQL = r"""
+    WITH own AS (SELECT doc_id, row_number() OVER () AS r, text FROM documents),
+    terms AS (SELECT r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM own),
+    lengths AS (SELECT r, count(*) AS n FROM terms GROUP BY r),
+    total AS (SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+    tfs AS (SELECT r, term, count(*) AS tf FROM terms GROUP BY r, term),
+    dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+    asked AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    scored AS (
+        SELECT item_id, r, CAST(sum(CAST(floor(1000 * ln((2 * documents + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * documents) // total.terms))))) AS BIGINT) AS score
+        FROM asked JOIN tfs USING (term) JOIN dfs USING (term) JOIN lengths USING (r), total GROUP BY item_id, r)
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scored JOIN own USING (r) WHERE score > 0 QUALIFY rank <= 20
+"""
+
 #: Leaves, levels of the runs and of the roots, then each row's way up; crc32 is written out bit by bit.
 MERKLE_SQL = """
     WITH RECURSIVE field AS (
@@ -148,5 +168,6 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
         FROM n WINDOW w AS (PARTITION BY norm)
     """,
+    "op11_lexical_search": LEXICAL_SQL,
     "op12_merkle_manifest": MERKLE_SQL,
 }
