@@ -1,8 +1,10 @@
 """Read-only SQL over an archive, and results of a bounded size.
 
-A statement is parsed by Spark and then looked at as a plan: nothing that writes or runs a command passes, and only the archive's tables (and the
-statement's own names) can be read. It runs in a session of its own, in which files cannot be read as tables and functions that call into the
-JVM do not exist.
+A statement is parsed, and its plan is held to lists of what may be in it: kinds of nodes, functions that Spark itself defines, tables of the
+archive. Then Spark analyses it, which resolves every name, and the analysed plan is held to a list again: each leaf must be one of the
+archive's tables, which are temporary views of an isolated session, or rows that the statement states itself. What is on no list is refused, so new kinds of
+statements are refused until they are listed. Only then is a DataFrame made of it. DESCRIBE and SHOW are answered from the tables'
+schemas, without a command being run.
 """
 
 from __future__ import annotations
@@ -11,15 +13,27 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..archive import Archive
 
-FIRST_WORDS = ("SELECT", "WITH", "DESCRIBE", "DESC", "SHOW", "VALUES", "FROM", "(")
-#: Commands that only tell about tables; all other commands are refused.
-TELLING = ("DescribeRelation", "DescribeQueryCommand", "DescribeColumn", "ShowTables", "ShowColumns", "ShowViews", "ShowTablesCommand", "ShowColumnsCommand", "DescribeTableCommand")
-CALLING = ("reflect", "java_method", "try_reflect")
+#: Nodes that a parsed query may be made of.
+PARSED = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Tail", "Distinct", "Deduplicate", "Join", "LateralJoin", "Union", "Except", "Intersect", "SubqueryAlias", "UnresolvedRelation",
+    "UnresolvedWith", "UnresolvedSubqueryColumnAliases", "UnresolvedInlineTable", "UnresolvedHaving", "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "OneRowRelation", "OneRowRelation$", "LocalRelation", "Generate", "WithWindowDefinition", "Pivot", "UnresolvedPivot",
+    "PipeOperator", "Unpivot", "Sample", "Window", "Expand", "ResolvedInlineTable",
+}
+#: Nodes that an analysed query may have beside them, above the archive's tables.
+ANALYSED = PARSED | {"CTERelationDef", "CTERelationRef", "WithCTE", "Range", "UnionLoop", "Aggregate", "View"} - {"UnresolvedRelation"}
+#: Tables that a statement may make by a function.
+MAKERS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"}
+#: Functions of Spark that run other code or tell about the machine.
+CALLING = {"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "user", "session_user", "assert_true", "raise_error"}
+#: Expressions of an analysed query that run code which is not Spark's.
+FOREIGN = ("UDF", "UDAF", "UDTF", "Reflect", "ScalaAggregator", "SQLFunction", "Java", "FromAvro", "Python")
 MOST_ROWS, MOST_BYTES, SECONDS = 500, 512_000, 30
 
 
@@ -31,49 +45,81 @@ def _items(spark: SparkSession, seq) -> list:
     return list(spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(seq))
 
 
-def _plans(spark: SparkSession, plan) -> list:
-    """A parsed plan's nodes, those of subqueries and WITH included."""
-    found, todo = [], [plan]
-    while todo:
-        node = todo.pop()
-        found.append(node)
-        todo += _items(spark, node.children()) + [x for x in _items(spark, node.innerChildren()) if _is_plan(x)] + _items(spark, node.subqueries())
-        if node.getClass().getSimpleName() == "UnresolvedWith":
-            todo += [x._2() for x in _items(spark, node.cteRelations())]
+def _name(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _inner(spark: SparkSession, node) -> list:
+    """The plans right below a node: children, those of expressions, and the tables of WITH."""
+    found = _items(spark, node.children()) + _items(spark, node.subqueries())
+    if _name(node) == "UnresolvedWith":
+        found += [x._2() for x in _items(spark, node.cteRelations())]
     return found
 
 
-def _is_plan(x) -> bool:
-    return hasattr(x, "getClass") and "logical" in x.getClass().getName() or x.getClass().getSimpleName().endswith("Command")
+def _expressions(spark: SparkSession, node):
+    todo = _items(spark, node.expressions())
+    while todo:
+        found = todo.pop()
+        yield found
+        todo += _items(spark, found.children())
+
 
+def _own_view(spark: SparkSession, node, tables: set[str]) -> bool:
+    """Whether a node is one of the temporary views of the archive's tables."""
+    name = node.desc().identifier() if _name(node) == "View" else None
+    return name is not None and node.isTempView() and not name.database().isDefined() and name.table().lower() in tables
 
-def check(spark: SparkSession, statement: str, tables: set[str]) -> None:
-    """Raises NotAllowed unless the statement only reads the given tables."""
-    from pyspark.errors import ParseException
 
+def _parsed(session: SparkSession, statement: str):
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    except Exception as e:  # py4j hands Spark's parser errors over as they are or translated
-        if isinstance(e, ParseException) or "ParseException" in str(e):
-            raise NotAllowed(f"not one SQL statement: {str(e).splitlines()[0]}") from e
-        raise
-    nodes = _plans(spark, plan)
-    own = set()
-    for node in nodes:
-        if node.getClass().getSimpleName() == "UnresolvedWith":
-            own |= {x._1().lower() for x in _items(spark, node.cteRelations())}
-    command = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.Command")
-    statement_kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
-    for node in nodes:
-        name = node.getClass().getSimpleName()
-        if name in TELLING:
-            continue
-        if command.isInstance(node) or statement_kind.isInstance(node) or name.endswith("Command") or name.startswith(("Insert", "Create", "Drop", "Alter", "Set", "Cache", "Unsupported")):
-            raise NotAllowed(f"{name} is no read")
-        if name == "UnresolvedRelation":
-            parts = [x.lower() for x in _items(spark, node.multipartIdentifier())]
-            if len(parts) != 1 or parts[0] not in own | tables:
+        return session._jsparkSession.sessionState().sqlParser().parsePlan(statement)
+    except (PySparkException, Py4JJavaError) as e:
+        raise NotAllowed(f"not one SQL statement: {str(e).splitlines()[0] if str(e) else ''}") from e
+
+
+def check_parsed(session: SparkSession, plan) -> None:
+    """Raises NotAllowed unless a parsed plan is made of listed nodes, functions of Spark and tables without a place in their name."""
+    builtin = session._jvm.org.apache.spark.sql.catalyst.analysis.FunctionRegistry.builtin()
+    identifier = session._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if _name(node) not in PARSED:
+            raise NotAllowed(f"{_name(node)} is no part of a read")
+        if _name(node) == "UnresolvedRelation":
+            parts = _items(session, node.multipartIdentifier())
+            if len(parts) != 1 or node.isStreaming():
                 raise NotAllowed(f"{'.'.join(parts)} is no table of the archive")
+        if _name(node) == "UnresolvedTableValuedFunction":
+            name = ".".join(_items(session, node.name()))
+            if name.lower() not in MAKERS:
+                raise NotAllowed(f"{name} makes no table here")
+        for e in _expressions(session, node):
+            kind = _name(e)
+            if kind in ("UnresolvedFunction", "UnresolvedGenerator"):
+                parts = _items(session, e.nameParts()) if kind == "UnresolvedFunction" else [e.name().funcName()]
+                name = parts[-1].lower()
+                if len(parts) != 1 or name in CALLING or not builtin.functionExists(identifier(name)):
+                    raise NotAllowed(f"{'.'.join(parts)} is no function here")
+            elif kind.startswith("ExpressionWithUnresolvedIdentifier") or any(x in kind for x in FOREIGN):
+                raise NotAllowed(f"{kind} is no part of a read")
+        todo += _inner(session, node)
+
+
+def check_analysed(session: SparkSession, plan, tables: set[str]) -> None:
+    """Raises NotAllowed unless every leaf of an analysed plan is a table of the archive or stated in the query."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        if _own_view(session, node, tables):
+            continue  # what a table is made of is the caller's own
+        if _name(node) not in ANALYSED or _name(node) == "View":
+            raise NotAllowed("only tables of the archive can be read")
+        for e in _expressions(session, node):
+            if any(x in _name(e) for x in FOREIGN):
+                raise NotAllowed(f"{_name(e)} is no part of a read")
+        todo += _inner(session, node)
 
 
 def isolated(archive: Archive) -> SparkSession:
@@ -86,19 +132,61 @@ def isolated(archive: Archive) -> SparkSession:
     registry = session._jsparkSession.sessionState().functionRegistry()
     for name in CALLING:
         registry.dropFunction(spark._jvm.org.apache.spark.sql.catalyst.FunctionIdentifier(name))
-    views = archive.tables() | {"tool_calls": archive.tool_calls}
-    for name, df in views.items():
-        plan = df._jdf.logicalPlan()
-        DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session).createOrReplaceTempView(name)
+    for name, df in views(archive).items():
+        _rows(session, df._jdf.logicalPlan()).createOrReplaceTempView(name)
     return session
 
 
+def views(archive: Archive) -> dict[str, DataFrame]:
+    """What a statement can read."""
+    return archive.tables() | {"tool_calls": archive.tool_calls}
+
+
+def _rows(session: SparkSession, plan) -> DataFrame:
+    return DataFrame(session._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, plan), session)
+
+
+def _described(spark: SparkSession, schema) -> DataFrame:
+    rows = [(f.name, f.dataType.simpleString(), None) for f in schema]
+    return spark.createDataFrame(rows, "col_name string, data_type string, comment string")
+
+
+def _told(session: SparkSession, plan, archive: Archive) -> DataFrame | None:
+    """The answer to DESCRIBE or SHOW, from the tables' schemas; None for other plans."""
+    kind, tables = _name(plan), views(archive)
+    of = lambda name: next((df for k, df in tables.items() if k == name.lower()), None)
+    if kind == "ShowTables" and _name(plan.namespace()) in ("CurrentNamespace$", "CurrentNamespace"):
+        wanted = plan.pattern().get() if plan.pattern().isDefined() else "*"
+        rows = session.createDataFrame([(name,) for name in sorted(tables)], "tableName string")
+        pattern = "^(?i)" + wanted.replace("*", ".*") + "$"
+        return rows.where(F.col("tableName").rlike(pattern))
+    if kind in ("DescribeRelation", "ShowColumns"):
+        target = plan.relation() if kind == "DescribeRelation" else plan.child()
+        parts = _items(session, target.multipartIdentifier()) if _name(target) in ("UnresolvedTableOrView", "UnresolvedRelation") else []
+        found = of(parts[0]) if len(parts) == 1 else None
+        plain = kind == "DescribeRelation" and plan.partitionSpec().isEmpty() or kind == "ShowColumns" and not plan.namespace().isDefined()
+        if found is None or not plain:
+            raise NotAllowed(f"{'.'.join(parts) or kind} is no table of the archive")
+        described = _described(session, found.schema)
+        return described if kind == "DescribeRelation" else described.select("col_name")
+    if kind == "DescribeQueryCommand":
+        return _described(session, _checked(session, plan.plan(), set(tables)).schema)
+    return None
+
+
+def _checked(session: SparkSession, plan, tables: set[str]) -> DataFrame:
+    check_parsed(session, plan)
+    rows = _rows(session, plan)  # analyses; a query of listed nodes runs nothing
+    check_analysed(session, rows._jdf.queryExecution().analyzed(), tables)
+    return rows
+
+
 def query(archive: Archive, statement: str) -> DataFrame:
-    """The result of one SELECT, WITH, DESCRIBE or SHOW statement over the archive."""
+    """The result of one SELECT, WITH, VALUES, DESCRIBE or SHOW statement over the archive."""
     session = isolated(archive)
-    text = statement.strip()
-    check(session, text, set(archive.tables()) | {"tool_calls"})
-    return session.sql(text)
+    plan = _parsed(session, statement.strip())
+    told = _told(session, plan, archive)
+    return told if told is not None else _checked(session, plan, set(views(archive)))
 
 
 @dataclass(frozen=True)
@@ -131,15 +219,15 @@ def bounded(df: DataFrame, rows: int = MOST_ROWS, size: int = MOST_BYTES) -> Dat
 
 
 def run(archive: Archive, statement: str, rows: int = MOST_ROWS, size: int = MOST_BYTES, seconds: float = SECONDS) -> Result:
-    """query() within the limits of rows, bytes and time; the prefix of rows that fits is kept."""
-    df = query(archive, statement)
-    context, tag = df.sparkSession.sparkContext, f"read-{uuid.uuid4().hex}"
+    """query() within the limits of rows, bytes and time, its analysis included; the prefix of rows that fits is kept."""
+    context, tag = archive.conversations.sparkSession.sparkContext, f"read-{uuid.uuid4().hex}"
     timer = threading.Timer(seconds, lambda: context.cancelJobsWithTag(tag))
     context.addJobTag(tag)
     timer.start()
     try:
+        df = query(archive, statement)
         found = bounded(df, rows, size).collect()
-    except Exception as e:
+    except (PySparkException, Py4JJavaError) as e:
         if not timer.is_alive():
             raise TimeoutError(f"the statement took more than {seconds} seconds") from e
         raise
