@@ -17,10 +17,10 @@ KEY = ["source_id", "scope", "locator"]
 def complete_lines(content: Column) -> Column:
     """The bytes without a last line that is still being written: one without a line end that isn't a JSON value."""
     # ISO-8859-1 has one character per byte, so positions in it are byte positions.
-    tail = F.regexp_extract(F.decode(content, "ISO-8859-1"), r"([^\n]*)\z", 1)
+    tail = F.substring_index(F.decode(content, "ISO-8859-1"), "\n", -1)
     kept = F.substring(content, F.lit(1), F.octet_length(content) - F.length(tail))
     whole = (F.trim(F.regexp_replace(tail, r"\s", "")) == "") | C.parsed(F.try_validate_utf8(F.encode(tail, "ISO-8859-1").cast("string"))).isNotNull()
-    return F.when(whole, content).otherwise(kept)
+    return F.when(F.substring(content, -1, 1) == F.lit(b"\n"), content).when(whole, content).otherwise(kept)
 
 
 def tombstoned(observations: DataFrame) -> DataFrame:

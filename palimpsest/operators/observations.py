@@ -1,60 +1,111 @@
-"""The observation log: a Parquet dataset partitioned by device, to which every write adds a segment.
+"""The observation log: immutable segments, each of one device, and a commit per segment that gives its numbers.
 
-Segments are immutable; (device_id, device_seq) names an observation for good, so that delivering one twice changes nothing.
+A segment's rows are written first, with their place in it, under `segments/`; nothing reads them yet. Its commit is a small file under `commits/`, named by the
+device's next sequence number and made only if there is none of that name: of two collectors of one device, one gets the number and
+the other tries the next. device_seq is the commit's first number plus the place, so numbers have no gap and rows are never rewritten for them.
+A segment without a commit, of a job that died, is not read, and its next attempt replaces it; a committed one is left as it is.
+
+Segments are cut by a hash of the key, so that what is known of a few keys is read from their cuts alone.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import uuid
+from collections.abc import Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .. import scratch
+from .. import files, scratch
 from ..archive import OBSERVATIONS
+from ..numbering import in_order, parts_of
 from .changes import KEY
 
 COLUMNS = [c.split()[0] for c in OBSERVATIONS.split(", ")]
 STATES = "source_id string, scope string, locator string, length long, sha256 string, mtime double"
+COMMITS = "segment string, device_id string, first long, rows long"
+#: Cuts of a segment, fixed for all logs.
+CUTS = 16
+STORED = ", ".join(c for c in OBSERVATIONS.split(", ") if c.split()[0] not in ("device_id", "device_seq", "segment"))
 
 
-def read_observations(spark: SparkSession, folder: str, content: bool = True) -> DataFrame:
-    """The log's observations; without content a scan reads headers only."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        found = spark.createDataFrame([], OBSERVATIONS)
-    else:
-        found = spark.read.schema(OBSERVATIONS).parquet(folder).select(*COLUMNS)
-    return found if content else found.drop("content")
+def cut_of() -> Column:
+    """The cut of a segment that a key's observations are in."""
+    return F.pmod(F.xxhash64(*KEY), F.lit(CUTS)).cast("int")
 
 
-def numbered(new: DataFrame, device: str, last: Column | int, segment: str, order: list[str]) -> DataFrame:
-    """New observations with the device's next sequence numbers, without a gap, in the given order.
+def commits(spark: SparkSession, folder: str) -> DataFrame:
+    """COMMITS of the log: a row per segment."""
+    if not files.names(spark, f"{folder}/commits"):
+        return spark.createDataFrame([], COMMITS)
+    return spark.read.schema(COMMITS).option("recursiveFileLookup", True).json(f"{folder}/commits")
 
-    Rows are numbered inside ranges of the order, and each range's first number is the count of those before it, so no task gets all rows.
+
+def read_observations(spark: SparkSession, folder: str, content: bool = True, segments: list[str] | None = None, cuts: list[int] | None = None) -> DataFrame:
+    """The log's observations; without content a scan reads headers only. Only the files of the given segments and cuts are read."""
+    if not files.exists(spark, f"{folder}/segments"):
+        found = spark.createDataFrame([], OBSERVATIONS)
+        return found if content else found.drop("content")
+    rows = spark.read.schema(f"place long, {STORED}, segment string, cut int").parquet(f"{folder}/segments")
+    if segments is not None:
+        rows = rows.where(F.col("segment").isin(segments))
+    if cuts is not None:
+        rows = rows.where(F.col("cut").isin(cuts))
+    rows = rows.join(commits(spark, folder), "segment").withColumn("device_seq", F.col("first") + F.col("place") - 1)
+    return rows.select([c for c in COLUMNS if content or c != "content"])
+
+
+def _device_folder(folder: str, device: str) -> str:
+    return f"{folder}/commits/device-{quote(device, safe='')}"
+
+
+def commit(spark: SparkSession, folder: str, device: str, segment: str, rows: int) -> int:
+    """Gives a written segment the device's next numbers; returns the first one. Another writer's commit in between only moves it on."""
+    own = _device_folder(folder, device)
+    while True:
+        last = files.names(spark, own)[-1:]
+        first = 1
+        if last:
+            known = json.loads(files.read(spark, f"{own}/{last[0]}"))
+            first = known["first"] + known["rows"]
+        text = json.dumps({"segment": segment, "device_id": device, "first": first, "rows": rows})
+        if files.create(spark, f"{own}/{first:016d}.json", text):
+            return first
+
+
+def append_observations(spark: SparkSession, folder: str, new: DataFrame, device: str, observed_at: Column | None = None, legacy: bool = False, segment: str | None = None) -> str | None:
+    """Writes new observations (as collect_changes gives them) as one segment of this device; returns its name, or None if there are none.
+
+    Numbers follow the order of key, kind and offset. To try again after a failure, name the segment: what was committed stays as it is.
     """
-    ranged = new.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per partition
-    last = F.lit(last) if isinstance(last, int) else last
-    found = ranged.withColumn("_k", within).join(F.broadcast(before), "_part").withColumn("device_seq", (last + F.col("_before") + F.col("_k")).cast("long"))
-    added = {"device_id": F.lit(device), "segment": F.lit(segment), "content_sha256": F.sha2("content", 256), "length": F.octet_length("content").cast("long")}
-    return found.withColumns(added).drop("_part", "_k", "_before")
-
-
-def append_observations(spark: SparkSession, folder: str, new: DataFrame, device: str, observed_at: Column | None = None, legacy: bool = False) -> str:
-    """Writes new observations (as collect_changes gives them) as one segment of this device; returns the segment's name."""
-    log = read_observations(spark, folder, content=False)
-    last = log.where(F.col("device_id") == device).agg(F.coalesce(F.max("device_seq"), F.lit(0)).alias("n")).first()["n"]
-    segment = f"{device}-{last + 1:016d}-{uuid.uuid4().hex[:8]}"
-    new = scratch.save(new, "new-observations")  # numbers come from ranges of what is read several times
-    rows = numbered(new, device, last, segment, [*KEY, "kind", "byte_offset"])
-    rows = rows.withColumn("observed_at", F.current_timestamp() if observed_at is None else observed_at).withColumn("legacy", F.lit(legacy))
-    rows.select(*COLUMNS).write.mode("append").partitionBy("device_id").parquet(folder)
+    segment = uuid.uuid4().hex if segment is None else segment
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9.-]*", segment):
+        raise ValueError("a segment's name is made of letters, digits, dots and hyphens")
+    if not commits(spark, folder).where(F.col("segment") == segment).isEmpty():
+        return segment
+    rows = in_order(new, [*KEY, "kind", "byte_offset"])
+    parts = scratch.save(parts_of(rows), "parts")
+    total = parts.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first()["n"]
+    if not total:
+        return None
+    stated = {"content_sha256": F.sha2("content", 256), "length": F.octet_length("content").cast("long"), "legacy": F.lit(legacy)}
+    stated["observed_at"] = F.current_timestamp() if observed_at is None else observed_at
+    placed = rows.join(parts.select("part", "shift"), "part").withColumns(stated)
+    placed = placed.select((F.col("row") + F.col("shift") + 1).alias("place"), *(c.split()[0] for c in STORED.split(", ")), cut_of().alias("cut"))
+    _write(placed, folder, segment)
+    commit(spark, folder, device, segment, total)
     return segment
 
 
+def _write(rows: DataFrame, folder: str, segment: str) -> None:
+    rows.hint("rebalance", "cut").write.mode("overwrite").partitionBy("cut").parquet(f"{folder}/segments/segment={segment}")
+
+
 def new_segments(observations: DataFrame, indexed: DataFrame) -> DataFrame:
     """Segments of the log that have not been indexed yet."""
     return observations.select("segment").distinct().join(indexed.select("segment"), "segment", "left_anti")
@@ -66,48 +117,99 @@ def index_observations(index: DataFrame, arrived: DataFrame) -> tuple[DataFrame,
     return index.unionByName(fresh), fresh.select(*KEY).distinct()
 
 
-def collector_state(observations: DataFrame, device: str) -> DataFrame:
-    """STATES of what this device has logged, its observations replayed in order: a snapshot replaces the content, an append puts its bytes at its offset.
-
-    Where appends follow each other since the last snapshot, length and hash come from their bytes in order; other keys are replayed one by one.
+def _accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a key's observations in order, those that a replay takes: an append past the end of what is there is not."""
+    last, end = None, 0
+    for batch in batches:
+        rows = batch.to_pydict()
+        taken = []
+        for *key, kind, offset, size in zip(*(rows[c] for c in (*KEY, "kind", "byte_offset", "size")), strict=True):
+            if key != last:
+                last, end = key, 0
+            fits = kind == "snapshot" or offset <= end
+            end = (0 if kind == "snapshot" else offset) + size if fits else end
+            taken.append(fits)
+        yield batch.filter(pa.array(taken, pa.bool_()))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and SHA-256 of each key's pieces, which come in order, in batches that may end inside a key."""
+    names = [*KEY, "length", "sha256"]
+    types = [pa.string()] * 3 + [pa.int64(), pa.string()]
+    last, length, digest = None, 0, hashlib.sha256()
+    for batch in batches:
+        done = []
+        rows = batch.to_pydict()
+        for *key, piece in zip(*(rows[c] for c in (*KEY, "piece")), strict=True):
+            if key != last:
+                if last is not None:
+                    done.append((*last, length, digest.hexdigest()))
+                last, length, digest = key, 0, hashlib.sha256()
+            length += len(piece or b"")
+            digest.update(piece or b"")
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 5, types, strict=True)], names=names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((*last, length, digest.hexdigest()), types, strict=True)], names=names)
+
+
+def pieces(observations: DataFrame) -> DataFrame:
+    """(KEY, device_seq, at, size) of what a replay of one device's observations leaves: size bytes from the start of observation device_seq, at a place.
+
+    A snapshot replaces the content; an append ends it at its offset and puts its bytes there; one past the end is ignored. So an observation keeps what is
+    before the least offset of those that come later, and pieces follow each other. Contents are not read.
     """
-    own = observations.where((F.col("device_id") == device) & ~F.col("legacy") & (F.col("kind") != "tombstone"))
     key = Window.partitionBy(*KEY)
     start = F.max(F.when(F.col("kind") == "snapshot", F.col("device_seq"))).over(key)
-    own = own.withColumn("_from", F.coalesce(start, F.lit(0))).where("device_seq >= _from")
-    own = own.withColumn("byte_offset", F.when(F.col("kind") == "snapshot", 0).otherwise(F.col("byte_offset")).cast("long"))
-    ends = F.lag(F.col("byte_offset") + F.octet_length("content")).over(key.orderBy("device_seq"))
-    own = own.withColumn("_plain", F.col("byte_offset") == F.coalesce(ends, F.lit(0)))
-    grouped = own.groupBy(*KEY).agg(F.min("_plain").alias("_plain"), F.array_sort(F.collect_list(F.struct("device_seq", "byte_offset", "content"))).alias("own"))
-    joined = F.unhex(F.array_join(F.transform("own", lambda x: F.hex(x["content"])), ""))
-    zeros = lambda n: F.repeat(F.lit("00"), n)
+    rows = observations.select(*KEY, "device_seq", "kind", F.when(F.col("kind") == "snapshot", 0).otherwise(F.col("byte_offset")).cast("long").alias("byte_offset"), F.col("length").alias("size"), start.alias("start"))
+    rows = rows.where(F.col("device_seq") >= F.coalesce("start", F.lit(0))).drop("start")
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "device_seq")
+    taken = rows.mapInArrow(_accepted, rows.schema)
+    later = F.min("byte_offset").over(key.orderBy(F.desc("device_seq")).rowsBetween(Window.unboundedPreceding, -1))
+    size = F.least(F.col("size"), later - F.col("byte_offset"))
+    return taken.select(*KEY, "device_seq", F.col("byte_offset").alias("at"), size.alias("size")).where("size > 0")
 
-    def spliced(text: Column, x: Column) -> Column:
-        at = (2 * x["byte_offset"]).cast("int")
-        head = F.concat(F.substring(text, F.lit(1), at), zeros((F.greatest(F.lit(0), at - F.length(text)) / 2).cast("int")))
-        return F.concat(head, F.hex(x["content"]))
 
-    replayed = F.unhex(F.aggregate("own", F.lit(""), spliced))
-    found = grouped.withColumn("content", F.when(F.col("_plain"), joined).otherwise(replayed))
-    return found.select(*KEY, F.octet_length("content").cast("long").alias("length"), F.sha2("content", 256).alias("sha256"), F.lit(None).cast("double").alias("mtime"))
+def collector_state(observations: DataFrame, device: str) -> DataFrame:
+    """STATES of what this device has logged, its observations replayed in order, in time in proportion to their bytes; a key's bytes stream through one task, none is held."""
+    own = observations.where((F.col("device_id") == device) & ~F.col("legacy") & (F.col("kind") != "tombstone"))
+    left = pieces(own.drop("content"))
+    content = own.select(*KEY, "device_seq", "content")
+    rows = left.join(content, [*KEY, "device_seq"]).select(*KEY, "at", F.substring("content", F.lit(1), F.col("size").cast("int")).alias("piece"))
+    rows = rows.repartition(*KEY).sortWithinPartitions(*KEY, "at")
+    found = rows.mapInArrow(_hashed, "source_id string, scope string, locator string, length long, sha256 string")
+    states = own.select(*KEY).distinct().join(found, KEY, "left")
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return states.select(*KEY, F.coalesce("length", F.lit(0)).cast("long").alias("length"), F.coalesce("sha256", empty).alias("sha256"), F.lit(None).cast("double").alias("mtime"))
 
 
-def audit_observations(observations: DataFrame) -> DataFrame:
+def audit_observations(observations: DataFrame, commits: DataFrame | None = None) -> DataFrame:
     """(device_id, device_seq, segment, problem): what a log must not hold: numbers that do not grow in a segment, numbers used twice, a segment of two devices,
-    contents that are not what their hash or length says, kinds that do not exist."""
+    contents that are not what their hash or length says, kinds that do not exist; with commits, segments that begin at another number than committed or have not as many rows."""
     segment = Window.partitionBy("segment")
-    rows = observations.withColumns({"_before": F.lag("device_seq").over(segment.orderBy("device_seq")), "_first": F.min("device_id").over(segment), "_seen": F.count(F.lit(1)).over(Window.partitionBy("device_id", "device_seq"))})
-    problems = F.array_compact(
-        F.array(
-            F.when(F.col("_seen") > 1, "used twice"),
-            F.when(F.col("device_seq") <= F.col("_before"), "out of order"),
-            F.when(F.col("device_id") != F.col("_first"), "of another device"),
-            F.when(~F.col("kind").isin("append", "snapshot", "tombstone"), "unknown kind"),
-            F.when((F.col("kind") != "tombstone") & ~(F.sha2("content", 256) == F.col("content_sha256")), "content and hash differ"),
-            F.when((F.col("kind") != "tombstone") & ~(F.octet_length("content") == F.col("length")), "content and length differ"),
-        )
-    )
-    return rows.select("device_id", "device_seq", "segment", F.explode(problems).alias("problem"))
+    seen = {"_before": F.lag("device_seq").over(segment.orderBy("device_seq")), "_first": F.min("device_id").over(segment), "_seen": F.count(F.lit(1)).over(Window.partitionBy("device_id", "device_seq"))}
+    rows = observations.withColumns(seen)
+    problems = [
+        F.when(F.col("_seen") > 1, "used twice"),
+        F.when(F.col("device_seq") <= F.col("_before"), "out of order"),
+        F.when(F.col("device_id") != F.col("_first"), "of another device"),
+        F.when(~F.col("kind").isin("append", "snapshot", "tombstone"), "unknown kind"),
+        F.when((F.col("kind") != "tombstone") & ~(F.sha2("content", 256) == F.col("content_sha256")), "content and hash differ"),
+        F.when((F.col("kind") != "tombstone") & ~(F.octet_length("content") == F.col("length")), "content and length differ"),
+    ]
+    if commits is not None:
+        named = commits.groupBy("segment").agg(F.min("first").alias("_named"), F.min("rows").alias("_rows"))
+        rows = rows.withColumns({"_least": F.min("device_seq").over(segment), "_n": F.count(F.lit(1)).over(segment)}).join(named, "segment", "left")
+        at_first = F.col("device_seq") == F.col("_least")  # one row speaks for its segment
+        problems.append(F.when(at_first & ~F.col("_least").eqNullSafe(F.col("_named")), "begins at another number"))
+        problems.append(F.when(at_first & ~F.col("_n").eqNullSafe(F.col("_rows")), "not as many as committed"))
+    return rows.select("device_id", "device_seq", "segment", F.explode(F.array_compact(F.array(*problems))).alias("problem"))
+
+
+def space_of(spark: SparkSession, folder: str, space: str | None = None) -> str | None:
+    """The name of the space that a log belongs to, once it has one; it takes the given one if it has none."""
+    if space is not None:
+        files.create(spark, f"{folder}/space.txt", space)
+    return files.read(spark, f"{folder}/space.txt") if files.exists(spark, f"{folder}/space.txt") else None
 
 
 def missing_segments(own: DataFrame, other: DataFrame, device: str, reseed: bool = False) -> DataFrame:
@@ -120,16 +222,29 @@ def missing_segments(own: DataFrame, other: DataFrame, device: str, reseed: bool
 
 
 def replicate(spark: SparkSession, own_folder: str, other_folder: str, device: str, reseed: bool = False) -> None:
-    """Copies the segments that each of two logs lacks into the other one; those of other devices must pass the audit."""
+    """Copies the segments that each of two logs lacks into the other one; those of other devices must pass the audit, and both logs be of one space."""
+    spaces = space_of(spark, own_folder), space_of(spark, other_folder)
+    if None not in spaces and spaces[0] != spaces[1]:
+        raise ValueError(f"the logs are of two spaces, {spaces[0]} and {spaces[1]}")
     own, other = read_observations(spark, own_folder), read_observations(spark, other_folder)
     lacking = missing_segments(own.drop("content"), other.drop("content"), device, reseed)
     pulled = other.join(lacking.where("direction = 'pull'").select("segment"), "segment", "left_semi")
-    bad = audit_observations(pulled).limit(1).collect()
+    bad = audit_observations(pulled, commits(spark, other_folder)).limit(1).collect()
     if bad:
         raise ValueError(f"segment {bad[0]['segment']} cannot be taken: {bad[0]['problem']}")
     pushed = own.join(lacking.where("direction = 'push'").select("segment"), "segment", "left_semi")
     for rows, folder in ((pulled, own_folder), (pushed, other_folder)):
-        scratch.save(rows.select(*COLUMNS), "segments").write.mode("append").partitionBy("device_id").parquet(folder)
+        _copy(spark, scratch.save(rows, "segments"), folder)
+
+
+def _copy(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    """Writes segments of another log, with the numbers that they have, one by one; a commit whose number is taken by another segment is an error."""
+    heads = rows.groupBy("segment", "device_id").agg(F.min("device_seq").alias("first"), F.count(F.lit(1)).alias("rows"))
+    for head in sorted(heads.collect(), key=lambda r: (r["device_id"], r["first"])):  # a row per segment that one replica lacks
+        own = rows.where(F.col("segment") == head["segment"]).withColumn("place", F.col("device_seq") - head["first"] + 1)
+        _write(own.select("place", *(c.split()[0] for c in STORED.split(", ")), cut_of().alias("cut")), folder, head["segment"])
+        if not files.create(spark, f"{_device_folder(folder, head['device_id'])}/{head['first']:016d}.json", json.dumps(head.asDict())):
+            raise ValueError(f"two segments of {head['device_id']} begin at {head['first']}")
 
 
 def device_summary(own: DataFrame, other: DataFrame) -> DataFrame:

@@ -127,18 +127,41 @@ def reconstructed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "collector_state",
-    f"{TURNS}, n AS (SELECT conv, conv_id, count(*) AS n FROM t GROUP BY ALL) SELECT conv AS locator, CASE WHEN conv_id % 6 = 1 THEN least(n, 4) WHEN conv_id % 6 = 5 THEN least(n, 3) ELSE n END AS lines FROM n WHERE conv_id % 6 != 3",
+    """WITH RECURSIVE log AS (
+        SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 11 = 0 AS whole, CASE WHEN event_id % 11 = 0 THEN 0 ELSE event_id * 7 % 40 END AS place, event_type || ':' || event_id AS data FROM events WHERE event_id % 10 != 9 AND event_id % 50 != 0),
+    state(user_id, k, content) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, '' FROM log
+        UNION ALL SELECT s.user_id, log.k, CASE WHEN whole THEN data WHEN place <= length(content) THEN substr(content, 1, place) || data ELSE content END FROM state s JOIN log ON log.user_id = s.user_id AND log.k = s.k + 1)
+    SELECT CAST(user_id AS VARCHAR) AS locator, length(content) AS length, sha256(content) AS sha256 FROM state QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1""",
 )
 def collector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many lines of a transcript this device has logged: the states' hashes looked up among those of all prefixes."""
-    found = observations.collector_state(observed(spark, sf_dir), "a")
-    t = table(spark, sf_dir, "conversations")
-    hashes = None
-    for n in range(1, 9):
-        one = _bytes(t.where(F.col("turn") < n)).select("locator", F.sha2("content", 256).alias("sha256"), F.lit(n).cast("long").alias("lines"))
-        hashes = one if hashes is None else hashes.unionByName(one)
-    least = hashes.groupBy("locator", "sha256").agg(F.min("lines").alias("lines"))
-    return found.join(least, ["locator", "sha256"]).select("locator", "lines")
+    """Each event as an observation of its user's file: some replace it, others are put at a place inside, at the end or past it."""
+    e = table(spark, sf_dir, "events")
+    whole, data = F.col("event_id") % 11 == 0, F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")).cast("binary")
+    log = e.select(
+        F.when(F.col("event_id") % 10 == 9, "b").otherwise("a").alias("device_id"), F.col("event_id").alias("device_seq"), F.lit("claude_code").alias("source_id"), F.lit("").alias("scope"), F.col("user_id").cast("string").alias("locator"),
+        F.when(whole, "snapshot").otherwise("append").alias("kind"), F.when(whole, 0).otherwise(F.col("event_id") * 7 % 40).cast("long").alias("byte_offset"), F.octet_length(data).cast("long").alias("length"), data.alias("content"), (F.col("event_id") % 50 == 0).alias("legacy"),
+    )
+    return observations.collector_state(log, "a").select("locator", "length", "sha256")
+
+
+@register(
+    "append_observations",
+    """WITH c AS (SELECT DISTINCT conv_id, 'conv-' || conv_id AS locator FROM conversations)
+    SELECT locator, row_number() OVER (PARTITION BY conv_id % 3 = 0 ORDER BY locator) + CASE WHEN conv_id % 3 != 0 THEN (SELECT count(*) FROM c WHERE conv_id % 3 = 0) ELSE 0 END AS device_seq, true AS intact FROM c""",
+)
+def append_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All transcripts, logged by one device in two segments; the second is sent twice."""
+    handles = RENDERERS["claude_code"](table(spark, sf_dir, "conversations"))
+    new = scratch.save(handles.select("source_id", "scope", "locator", F.lit("append").alias("kind"), F.lit(0).cast("long").alias("byte_offset"), "path", "project_hint", "content"), "new")
+    folder = scratch.new_path(spark, "log")
+    third = F.regexp_extract("locator", r"(\d+)", 1).cast("long") % 3 == 0
+    observations.append_observations(spark, folder, new.where(third), "a")
+    for _ in range(2):
+        observations.append_observations(spark, folder, new.where(~third), "a", segment="rest")
+    logged = observations.read_observations(spark, folder)
+    sent = new.select("locator", F.sha2("content", 256).alias("sent"))
+    return logged.join(sent, "locator").select("locator", "device_seq", ((F.sha2("content", 256) == F.col("sent")) & (F.col("content_sha256") == F.col("sent"))).alias("intact"))
 
 
 @register("missing_segments", "SELECT 'a-' || k AS segment, 'a' AS device_id, 'push' AS direction FROM (SELECT unnest([6, 7, 8]) AS k) WHERE (SELECT count(*) FROM conversations) > 0 UNION ALL SELECT 'b-' || k, 'b', 'pull' FROM (SELECT unnest([3, 4]) AS k) WHERE (SELECT count(*) FROM conversations) > 0")

@@ -154,16 +154,3 @@ def test_snapshots_of_other_sources_supersede(spark):
     found = merge.project(frame(spark, rows))
     assert ids(found.archive) == {"s": ["a"]}
     assert found.divergences.count() == 0
-
-
-def test_replicas_exchange_segments(spark, tmp_path):
-    one, two = str(tmp_path / "one"), str(tmp_path / "two")
-    frame(spark, [seen("d1", 1, "x", A), seen("d1", 2, "x", B, offset=len(A))]).write.partitionBy("device_id").parquet(one)
-    frame(spark, [seen("d2", 1, "y", A), seen("d1", 1, "x", A)]).write.partitionBy("device_id").parquet(two)
-    observations.replicate(spark, one, two, "d1")
-    names = lambda folder: sorted(x["segment"] for x in observations.read_observations(spark, folder).collect())
-    assert names(one) == names(two) == ["d1-1", "d1-2", "d2-1"]
-    bad = seen("d3", 1, "z", A)
-    spark.createDataFrame([(*bad[:8], "0" * 64, *bad[9:])], OBSERVATIONS).write.mode("append").partitionBy("device_id").parquet(two)
-    with pytest.raises(ValueError, match="hash differ"):
-        observations.replicate(spark, one, two, "d1")
