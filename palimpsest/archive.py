@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+import json
+import math
+import uuid
+from dataclasses import asdict, dataclass, field, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import files, scratch
 
 SCHEMAS = {
     "sources": "id string, name string, adapter_version string, first_seen timestamp, last_ingested timestamp, config string",
@@ -16,6 +19,10 @@ SCHEMAS = {
     "content_blocks": "id string, message_id string, block_index int, type string, text string, tool_name string, tool_use_id string, payload string",
     "raw_events": "id string, source_id string, source_native_conversation_id string, raw_path string, line_number int, payload string, ingested_at timestamp",
 }
+DIVERGENCES = "conversation_id string, fork_after string, branch_message string, devices array<string>"
+#: Tables of a written archive.
+KEYED = SCHEMAS | {"divergences": DIVERGENCES}
+BUCKET_BYTES = 256 << 20
 OBSERVATIONS = "device_id string, device_seq long, source_id string, scope string, locator string, kind string, byte_offset long, length long, content_sha256 string, observed_at timestamp, path string, project_hint string, legacy boolean, segment string, content binary"
 HANDLES = "source_id string, scope string, locator string, path string, project_hint string, mtime double, content binary"
 BLOCK = "struct<type: string, text: string, tool_name: string, tool_use_id: string, payload: string>"
@@ -45,23 +52,28 @@ class Archive:
         """The same tables, each computed once and written to the shared folder, for jobs that read them several times."""
         return Archive(**{name: scratch.save(df, name) for name, df in self.tables().items()})
 
-    def write(self, folder: str, buckets: int = 64) -> Archive:
-        """Writes the tables as Parquet; those that belong to conversations are partitioned by a hash of the conversation's id, so that an
-        upsert rewrites the partitions of changed conversations only. Returns a reader of what was written."""
-        for name, df in self.keyed(buckets).items():
-            df.write.mode("overwrite").partitionBy(*(["bucket"] if "bucket" in df.columns else [])).parquet(f"{folder}/{name}")
-        return read_archive(self.conversations.sparkSession, folder)
+    def write(self, folder: str, buckets: int | None = None) -> Archive:
+        """Writes the tables as a new version of the archive in a folder, in place of all that it held. Returns a reader of what was written.
+
+        Tables that belong to conversations are cut into buckets by a hash of the conversation's id, so that an upsert rewrites the buckets of changed
+        conversations only. Without a number of buckets, the tables' size decides, so that a bucket has about BUCKET_BYTES.
+        """
+        spark, own = self.conversations.sparkSession, self.saved()
+        buckets = buckets or buckets_for(own)
+        version = uuid.uuid4().hex
+        number = (read_manifest(spark, folder) or Manifest(0, buckets)).number + 1
+        manifest = Manifest(number, buckets, write_version(spark, folder, version, own.keyed(buckets) | {"divergences": _empty(spark, "divergences")}, buckets), version)
+        commit_manifest(spark, folder, manifest)
+        return read_archive(spark, folder, manifest)
 
     def keyed(self, buckets: int) -> dict[str, DataFrame]:
-        """The tables, with the bucket of the conversation that a row belongs to; rows of a bucket stand together."""
-        of = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int").alias("bucket")
-        conversations = self.conversations.select("*", of("id"))
-        messages = self.messages.select("*", of("conversation_id"))
-        blocks = self.content_blocks.join(self.messages.select(F.col("id").alias("message_id"), of("conversation_id")), "message_id").select(*self.content_blocks.columns, "bucket")
-        natives = self.conversations.select("source_id", F.col("source_native_id").alias("source_native_conversation_id"), of("id"))
+        """The tables, with the bucket of the conversation that a row belongs to."""
+        conversations = self.conversations.select("*", bucket_of("id", buckets))
+        messages = self.messages.select("*", bucket_of("conversation_id", buckets))
+        blocks = self.content_blocks.join(self.messages.select(F.col("id").alias("message_id"), bucket_of("conversation_id", buckets)), "message_id").select(*self.content_blocks.columns, "bucket")
+        natives = self.conversations.select("source_id", F.col("source_native_id").alias("source_native_conversation_id"), bucket_of("id", buckets))
         raw = self.raw_events.join(natives, ["source_id", "source_native_conversation_id"]).select(*self.raw_events.columns, "bucket")
-        found = {"conversations": conversations, "messages": messages, "content_blocks": blocks, "raw_events": raw}
-        return {"sources": self.sources} | {k: v.repartition("bucket") for k, v in found.items()}
+        return {"sources": self.sources, "conversations": conversations, "messages": messages, "content_blocks": blocks, "raw_events": raw}
 
     def register(self, spark: SparkSession) -> None:
         """Temporary views by the tables' names."""
@@ -70,16 +82,111 @@ class Archive:
         self.tool_calls.createOrReplaceTempView("tool_calls")
 
 
-def read_archive(spark: SparkSession, folder: str) -> Archive:
-    """The tables that Archive.write() wrote; a table that isn't there is empty."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    there = lambda name: system.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"))
-    tables = {}
-    for name, schema in SCHEMAS.items():
-        empty = spark.createDataFrame([], schema)
-        tables[name] = spark.read.schema(f"{schema}, bucket int" if name != "sources" else schema).parquet(f"{folder}/{name}").select(*empty.columns) if there(name) else empty
-    return Archive(**tables)
+class Conflict(RuntimeError):
+    """Another writer has committed a version of the archive in the meantime."""
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """What an archive consists of at one version: where each bucket of each table is, the sources, and which segments of a log went into it.
+
+    A version is one small file, made only if there is none of its number; all tables change with it at once, and what it names is never changed, so
+    readers keep theirs. files has, by table and bucket, the write that it is of; segments names the writes that list segments.
+    """
+
+    number: int
+    buckets: int
+    files: dict[str, dict[str, str]] = field(default_factory=dict)
+    sources: str | None = None
+    segments: tuple[str, ...] = ()
+
+
+def bucket_of(column: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def buckets_for(saved: Archive) -> int:
+    """A power of two that gives buckets of about BUCKET_BYTES; saved are tables that were written."""
+    spark = saved.conversations.sparkSession
+    # Each input file's folder is asked for its size once.
+    folders = {path.rsplit("/", 1)[0] for df in saved.tables().values() for path in df.inputFiles()[:1]}
+    total = sum(files.size(spark, x) for x in folders)
+    return 1 << max(4, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
+
+
+def read_manifest(spark: SparkSession, folder: str) -> Manifest | None:
+    """The newest version's manifest."""
+    last = files.names(spark, f"{folder}/manifests")[-1:]
+    if not last:
+        return None
+    found = json.loads(files.read(spark, f"{folder}/manifests/{last[0]}"))
+    return Manifest(**(found | {"segments": tuple(found["segments"])}))
+
+
+def commit_manifest(spark: SparkSession, folder: str, manifest: Manifest) -> None:
+    """Makes a version the newest one; Conflict if its number is taken."""
+    if not files.create(spark, f"{folder}/manifests/{manifest.number:010d}.json", json.dumps(asdict(manifest))):
+        raise Conflict(f"version {manifest.number} of {folder} is another writer's")
+
+
+def write_version(spark: SparkSession, folder: str, version: str, tables: dict[str, DataFrame], buckets: int) -> dict[str, dict[str, str]]:
+    """Writes tables, keyed by bucket, under the name of a write; returns which buckets each has, as Manifest.files."""
+    made: dict[str, dict[str, str]] = {}
+    for name, df in tables.items():
+        path = f"{folder}/writes/{version}/{name}"
+        if name == "sources":
+            df.write.parquet(path)
+            continue
+        df.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        made[name] = {x.removeprefix("bucket="): version for x in files.names(spark, path)}
+    return made
+
+
+def _empty(spark: SparkSession, name: str) -> DataFrame:
+    return spark.createDataFrame([], f"{KEYED[name]}, bucket int")
+
+
+def read_table(spark: SparkSession, folder: str, manifest: Manifest | None, name: str, buckets: set[int] | None = None) -> DataFrame:
+    """A table of an archive at a version; with buckets, those alone."""
+    schema = KEYED[name]
+    paths = []
+    if manifest and name == "sources":
+        paths = [f"{folder}/writes/{manifest.sources}/sources"] if manifest.sources else []
+    elif manifest:
+        own = manifest.files.get(name, {})
+        paths = [f"{folder}/writes/{version}/{name}/bucket={b}" for b, version in own.items() if buckets is None or int(b) in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def read_archive(spark: SparkSession, folder: str, manifest: Manifest | None = None, buckets: set[int] | None = None) -> Archive:
+    """The archive in a folder at a version, the newest one unless stated; later versions do not change it. A table that isn't there is empty."""
+    manifest = manifest or read_manifest(spark, folder)
+    return Archive(**{name: read_table(spark, folder, manifest, name, buckets) for name in SCHEMAS})
+
+
+def read_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """(segment): segments of a log that an archive's newest version is made of."""
+    manifest = read_manifest(spark, folder)
+    paths = [f"{folder}/writes/{version}/segments" for version in (manifest.segments if manifest else ())]
+    return spark.read.schema("segment string").parquet(*paths) if paths else spark.createDataFrame([], "segment string")
+
+
+def vacuum(spark: SparkSession, folder: str, keep: int = 2) -> int:
+    """Deletes what only versions before the last `keep` are made of; returns how many writes went. A write that is no version's yet stays if it is under way."""
+    numbers = files.names(spark, f"{folder}/manifests")
+    gone, kept = numbers[:-keep], numbers[-keep:]
+    named = lambda name: _writes(json.loads(files.read(spark, f"{folder}/manifests/{name}")))
+    still = set().union(*map(named, kept)) if kept else set()
+    old = set().union(*map(named, gone)) - still if gone else set()
+    for version in old:
+        files.delete(spark, f"{folder}/writes/{version}")
+    for name in gone:
+        files.delete(spark, f"{folder}/manifests/{name}")
+    return len(old)
+
+
+def _writes(manifest: dict) -> set[str]:
+    return {v for own in manifest["files"].values() for v in own.values()} | {manifest["sources"], *manifest["segments"]} - {None}
 
 
 def union(parts: list[Archive]) -> Archive:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from ..archive import Archive, read_archive
+from ..archive import DIVERGENCES, Archive, Conflict, Manifest, bucket_of, buckets_for, commit_manifest, read_archive, read_manifest, read_table, write_version
 from ..functions import columns as C
 
 KEY = ["source_id", "scope", "locator"]
@@ -157,20 +158,54 @@ def upsert_archive(stored: Archive, new: Archive, now: Column | None = None) ->
     )
 
 
-def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int = 64, now: Column | None = None) -> DataFrame:
-    """upsert_archive on a written archive: only the partitions that hold changed conversations are rewritten. Returns (id, action).
+def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int | None = None, now: Column | None = None, gone: DataFrame | None = None, diverged: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+    """upsert_archive on a written archive, as one new version of it. Returns (id, action), also removed of those of gone(id) that were there.
 
-    What is read is what is overwritten, so the new partitions are written aside first and then put in place.
+    Only buckets that hold conversations which change are read and written; where nothing changes, no table is. diverged are new conversations' divergences,
+    segments those of a log that the version then is made of. If another writer commits first, its version is taken as what is stored and all is done again.
     """
-    stored, new = read_archive(spark, folder), new.saved()
+    new = new.saved()
     new = replace(new, conversations=scratch.save(with_content_hashes(new).conversations, "conversations"))
-    actions = scratch.save(classify_changes(new.conversations, stored.conversations), "actions")
-    touched = actions.select(F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
-    merged = upsert_archive(stored, new, now).keyed(buckets)
-    for name, df in merged.items():
-        part = df.join(F.broadcast(touched), "bucket", "left_semi").select(*df.columns) if name != "sources" else df
-        merged[name] = scratch.save(part, name)
-    for name, df in merged.items():
-        writer = df.repartition("bucket").write.partitionBy("bucket").option("partitionOverwriteMode", "dynamic") if name != "sources" else df.write
-        writer.mode("overwrite").parquet(f"{folder}/{name}")
+    diverged = spark.createDataFrame([], DIVERGENCES) if diverged is None else scratch.save(diverged, "divergences")
+    gone = spark.createDataFrame([], "id string") if gone is None else scratch.save(gone.select("id").distinct(), "gone")
+    while True:
+        base = read_manifest(spark, folder) or Manifest(0, buckets or buckets_for(new))
+        try:
+            return _upserted(spark, folder, base, new, now, gone, diverged, segments)
+        except Conflict:
+            continue
+
+
+def _upserted(spark: SparkSession, folder: str, base: Manifest, new: Archive, now: Column | None, gone: DataFrame, diverged: DataFrame, segments: DataFrame | None) -> DataFrame:
+    numbers = lambda df, column: {r["bucket"] for r in df.select(bucket_of(column, base.buckets)).distinct().collect()}  # noqa: E731  at most base.buckets
+    seen = numbers(new.conversations, "id") | numbers(gone, "id")
+    stored = read_archive(spark, folder, base, seen)
+    actions = classify_changes(new.conversations, stored.conversations)
+    removed = stored.conversations.join(gone, "id", "left_semi").select("id", F.lit("removed").alias("action"))
+    actions = scratch.save(actions.join(gone, "id", "left_anti").unionByName(removed), "actions")
+    # An unchanged conversation is written again only if its path or time is another one.
+    old = stored.conversations.select("id", F.col("raw_path").alias("_path"), F.col("source_file_mtime").alias("_mtime"))
+    moved = new.conversations.select("id", "raw_path", "source_file_mtime").join(old, "id").where(~(F.col("raw_path").eqNullSafe(F.col("_path")) & F.col("source_file_mtime").eqNullSafe(F.col("_mtime")))).select("id")
+    touched = numbers(actions.where("action != 'unchanged'").select("id").unionByName(moved), "id")
+    version, made, sources = uuid.uuid4().hex, {}, base.sources
+    if touched:
+        of = lambda df, column: df.where(bucket_of(column, base.buckets).isin(sorted(touched)))
+        kept = of(new.conversations, "id").join(gone, "id", "left_anti")
+        own = replace(new, conversations=kept)
+        own = replace(own, messages=new.messages.join(kept.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(new.messages.columns))
+        own = replace(own, content_blocks=new.content_blocks.join(own.messages.select(F.col("id").alias("message_id")), "message_id", "left_semi").select(new.content_blocks.columns))
+        own = replace(own, raw_events=new.raw_events.join(kept.select("source_id", F.col("source_native_id").alias("source_native_conversation_id")), ["source_id", "source_native_conversation_id"], "left_semi").select(new.raw_events.columns))
+        before = read_archive(spark, folder, base, touched)
+        tables = upsert_archive(delete_conversations(before, gone), own, now).keyed(base.buckets)
+        divs = read_table(spark, folder, base, "divergences", touched).join(new.conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_anti")
+        divs = divs.select(diverged.columns).unionByName(of(diverged, "conversation_id")).join(gone.select(F.col("id").alias("conversation_id")), "conversation_id", "left_anti").select(diverged.columns)
+        made = write_version(spark, folder, version, tables | {"divergences": divs.select("*", bucket_of("conversation_id", base.buckets))}, base.buckets)
+        sources = version
+    current = {name: {b: v for b, v in own.items() if int(b) not in touched} | made.get(name, {}) for name, own in (dict.fromkeys(made, {}) | base.files).items()}
+    listed = base.segments
+    if segments is not None:
+        segments.select("segment").distinct().write.parquet(f"{folder}/writes/{version}/segments")
+        listed = (*listed, version)
+    if touched or segments is not None:
+        commit_manifest(spark, folder, Manifest(base.number + 1, base.buckets, current, sources, listed))
     return actions

@@ -1,88 +1,79 @@
 """Catch-up: newly arrived segments of the log are applied to a written archive, once or as a stream.
 
 What is known of a conversation is always made from all its observations, so a batch that runs again, late or out of order changes nothing.
+A batch reads the headers of its own segments, then the cuts of the log and the buckets of the archive that hold the keys which these touch. What changes, and
+that these segments were applied, is one version of the archive.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import scratch
-from ..archive import OBSERVATIONS, read_archive
-from ..operators.changes import KEY, delete_conversations, upsert_folder
-from ..operators.merge import Projection, affected, conversation_locator, project
-from ..operators.observations import read_observations
+from ..archive import Archive, Manifest, buckets_for, commit_manifest, read_manifest, read_segments, read_table, write_version
 from ..functions import columns as C
+from ..operators.changes import KEY, upsert_folder, with_content_hashes
+from ..operators.merge import conversation_locator, project
+from ..operators.observations import COMMITS, commits, cut_of, read_observations
 
+OUTCOMES = "source_id string, scope string, locator string, outcome string"
 
-def removed_ids(outcomes: DataFrame) -> DataFrame:
-    gone = outcomes.where("outcome = 'removed'")
-    return gone.select(C.conversation_id(F.col("source_id"), conversation_locator()).alias("id"))
 
+def conversation_ids() -> Column:
+    return C.conversation_id(F.col("source_id"), conversation_locator())
 
-def apply(spark: SparkSession, log: str, archive: str, new_segments: DataFrame, device: str = "", buckets: int = 64) -> DataFrame:
-    """Projects the conversations that new segments touch and upserts them; (source_id, scope, locator, outcome) of each key.
+
+def apply(spark: SparkSession, log: str, archive: str, segments: list[str], device: str = "", buckets: int | None = None) -> DataFrame:
+    """Projects the conversations that segments touch and upserts them; OUTCOMES of each key.
 
     outcome is unchanged where what was projected is what was stored. A conversation with a tombstone is deleted from the archive.
     """
-    observations = read_observations(spark, log)
-    touched = scratch.save(affected(observations, new_segments), "touched")
-    found: Projection = project(touched, device)
-    actions = upsert_folder(spark, archive, found.archive, buckets)
-    remove(spark, archive, removed_ids(found.outcomes), buckets)
-    path = f"{archive}/divergences"
-    known = divergences(spark, archive)
-    keys = touched.select(C.conversation_id(F.col("source_id"), conversation_locator()).alias("conversation_id")).distinct()
-    scratch.save(known.join(keys, "conversation_id", "left_anti").unionByName(found.divergences), "divergences").write.mode("overwrite").parquet(path)
-    ids = found.outcomes.withColumn("id", C.conversation_id(F.col("source_id"), conversation_locator())).join(actions, "id", "left")
+    names = spark.createDataFrame([(s,) for s in segments], "segment string")
+    keys = scratch.save(read_observations(spark, log, content=False, segments=segments).select(*KEY).distinct(), "keys")
+    cuts = [r["cut"] for r in keys.select(cut_of().alias("cut")).distinct().collect()]  # at most CUTS
+    touched = scratch.save(read_observations(spark, log, cuts=cuts).join(keys, KEY, "left_semi"), "touched")
+    found = project(touched, device)
+    outcomes = scratch.save(found.outcomes.select("*", conversation_ids().alias("id")), "outcomes")
+    gone = outcomes.where("outcome = 'removed'").select("id")
+    actions = upsert_folder(spark, archive, found.archive, buckets, gone=gone, diverged=found.divergences, segments=names)
     outcome = F.when((F.col("outcome") == "stored") & (F.col("action") == "unchanged"), "unchanged").otherwise(F.col("outcome"))
-    return ids.select(*KEY, outcome.alias("outcome"))
+    return outcomes.join(actions, "id", "left").select(*KEY, outcome.alias("outcome"))
 
 
 def divergences(spark: SparkSession, archive: str) -> DataFrame:
-    schema = "conversation_id string, fork_after string, branch_message string, devices array<string>"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{archive}/divergences")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{archive}/divergences")
-
-
-def remove(spark: SparkSession, archive: str, gone: DataFrame, buckets: int) -> None:
-    """Rewrites the partitions that hold conversations of gone(id) without them; a partition that becomes empty is written empty."""
+    """What the versions of the archive's conversations disagree about."""
+    return read_table(spark, archive, read_manifest(spark, archive), "divergences")
 
 
-    stored = read_archive(spark, archive)
-    there = scratch.save(stored.conversations.select("id").join(gone, "id", "left_semi"), "removed")
-    if there.isEmpty():
-        return
-    left = delete_conversations(stored, there).keyed(buckets)
-    saved = {name: scratch.save(df, name) for name, df in left.items() if name != "sources"}
-    for name, df in saved.items():
-        df.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{archive}/{name}")
+def catch_up(spark: SparkSession, log: str, archive: str, device: str = "", buckets: int | None = None, together: int = 1000) -> DataFrame:
+    """apply() for the segments of the log that are not in the archive, up to `together` at a time; OUTCOMES of the last time a key was touched."""
+    arrived = commits(spark, log).join(read_segments(spark, archive), "segment", "left_anti")
+    names = [r["segment"] for r in scratch.save(arrived.orderBy("device_id", "first").select("segment"), "arrived").toLocalIterator()]
+    outcomes = spark.createDataFrame([], OUTCOMES)
+    for at in range(0, len(names), together):
+        more = scratch.save(apply(spark, log, archive, names[at : at + together], device, buckets), "outcomes")
+        outcomes = outcomes.join(more, KEY, "left_anti").select(*KEY, "outcome").unionByName(more)
+    return outcomes
 
 
-def catch_up(spark: SparkSession, log: str, archive: str, indexed: DataFrame, device: str = "", buckets: int = 64) -> DataFrame:
-    """apply() for the segments of the log that are not in indexed(segment)."""
-    new = read_observations(spark, log, content=False).select("segment").distinct().join(indexed.select("segment"), "segment", "left_anti")
-    return apply(spark, log, archive, scratch.save(new, "segments"), device, buckets)
+def stream_catch_up(spark: SparkSession, log: str, archive: str, checkpoint: str, device: str = "", buckets: int | None = None, every: str | None = None, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+    """Follows the log's commits: the segments of each batch that the archive lacks are applied. every is a processing time such as '5 minutes'; without it what is there is applied, and the stream ends.
 
-
-def stream_catch_up(spark: SparkSession, log: str, archive: str, checkpoint: str, device: str = "", buckets: int = 64, every: str | None = None, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
-    """Follows the log: each batch of new files is applied. every is a processing time such as '5 minutes'; without it what is there is applied, and the stream ends.
-
-    after gets the outcomes of a batch, to refresh an index for example.
+    after gets the outcomes of a batch, to refresh an index for example. A batch that is run again finds its segments in the archive.
     """
-    arrivals = spark.readStream.schema(OBSERVATIONS).parquet(log).select("segment")
+    arrivals = spark.readStream.schema(COMMITS).option("recursiveFileLookup", True).json(f"{log}/commits")
 
     def batch(rows: DataFrame, _: int) -> None:
-        segments = scratch.save(rows.select("segment").distinct(), "segments")
-        if not segments.isEmpty():
-            outcomes = apply(rows.sparkSession, log, archive, segments, device, buckets)
+        session = rows.sparkSession
+        new = [r["segment"] for r in rows.join(read_segments(session, archive), "segment", "left_anti").select("segment").distinct().collect()]  # a batch's files
+        if new:
+            outcomes = apply(session, log, archive, new, device, buckets)
             if after:
                 after(outcomes)
 
@@ -90,31 +81,36 @@ def stream_catch_up(spark: SparkSession, log: str, archive: str, checkpoint: str
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
-def rebuild(spark: SparkSession, log: str, archives: str, device: str = "", buckets: int = 64) -> str:
-    """The whole archive from all observations, in a folder of its own, which is named by the pointer file only once all of it is written."""
-
-
-    name = f"archive-{uuid.uuid4().hex}"
-    found = project(read_observations(spark, log), device)
-    found.archive.write(f"{archives}/{name}", buckets)
-    found.divergences.write.parquet(f"{archives}/{name}/divergences")
-    spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").text(f"{archives}/current")
-    return f"{archives}/{name}"
-
-
-def current(spark: SparkSession, archives: str) -> str:
-    """The folder of the archive that was completed last."""
-    return f"{archives}/{spark.read.text(f'{archives}/current').first()['value']}"
-
-
-def collect_installed(sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame | None, dict[str, str]]:
-    """Handles of every source that can be read, and the errors of those that cannot; one that fails stops no other."""
-    found, failed = None, {}
-    for name, scan in sources.items():
+def rebuild(spark: SparkSession, log: str, archive: str, device: str = "", buckets: int | None = None) -> Manifest:
+    """The whole archive from all observations, as a new version in place of all before it; readers keep theirs until it is committed."""
+    known = commits(spark, log)
+    listed = scratch.save(known.select("segment"), "segments")
+    found = project(read_observations(spark, log).join(listed, "segment", "left_semi"), device)
+    own = found.archive.saved()
+    own = Archive(**(own.tables() | {"conversations": scratch.save(with_content_hashes(own).conversations, "conversations")}))
+    base = read_manifest(spark, archive)
+    buckets = buckets or (base.buckets if base else buckets_for(own))
+    version = uuid.uuid4().hex
+    divs = found.divergences.withColumn("bucket", F.pmod(F.xxhash64("conversation_id"), F.lit(buckets)).cast("int"))
+    made = write_version(spark, archive, version, own.keyed(buckets) | {"divergences": divs}, buckets)
+    listed.write.parquet(f"{archive}/writes/{version}/segments")
+    manifest = Manifest((base.number if base else 0) + 1, buckets, made, version, (version,))
+    commit_manifest(spark, archive, manifest)
+    return manifest
+
+
+def collect_installed(sources: dict[str, Callable[[], DataFrame]], at_once: int = 4) -> tuple[DataFrame | None, dict[str, str]]:
+    """Handles of every source that can be read, and the errors of those that cannot; sources are scanned side by side, and one that fails stops no other."""
+
+    def scan(name: str) -> DataFrame | str:
         try:
-            handles = scratch.save(scan(), "handles")
+            return scratch.save(sources[name](), "handles")
         except Exception as e:  # any source's error is reported, not raised
-            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
-            continue
+            return f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"
+
+    with ThreadPoolExecutor(at_once) as pool:
+        scanned = dict(zip(sources, pool.map(scan, sources), strict=True))
+    found, failed = None, {k: v for k, v in scanned.items() if isinstance(v, str)}
+    for handles in (v for v in scanned.values() if not isinstance(v, str)):
         found = handles if found is None else found.unionByName(handles)
     return found, failed

@@ -5,11 +5,10 @@ import itertools
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.archive import OBSERVATIONS
-from palimpsest.operators import merge, observations
+from palimpsest.operators import merge
 from palimpsest.operators.merge import versions_of
 
 EPOCH = "2024-01-01T00:00:"
