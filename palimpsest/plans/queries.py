@@ -241,4 +241,4 @@ def message_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of_turns(spark, sf_dir).messages.select("source_native_id", "parent_message_id")
 
 
-from . import merging, upkeep  # noqa: E402, F401  (their queries register here)
+from . import merging, upkeep, written  # noqa: E402, F401  (their queries register here)
