@@ -3,17 +3,18 @@
 An observation is an append (bytes at an offset), a snapshot (the whole file) or a tombstone, keyed by (source_id, scope, locator). Nothing here
 reads a clock or the order of arrival: the same set of observations gives the same conversation, whatever order or how often it came in.
 
-Most keys take a path of columns only: those whose live fragments follow each other without overlap are one version, their bytes in order. Only the
-keys whose fragments overlap, contradict or leave gaps are given to a function per key, whose memory is that of one transcript's observations.
+Most keys take a path of columns only: those whose live fragments follow each other without overlap are one version, their bytes in order. The
+keys whose fragments overlap, contradict or leave gaps are cut into atoms, and a function per key puts versions together from the atoms' hashes.
 Versions are parsed by the source's normaliser, all at once, and merged by windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,19 +62,20 @@ def legacy_versions(observations: DataFrame) -> DataFrame:
 class Version:
     """One consistent version of a file, while it is put together."""
 
-    def __init__(self, content: bytes) -> None:
-        self.content = bytearray(content)
+    def __init__(self, content: Sequence) -> None:
+        self.content = list(content)
 
-    def agrees(self, offset: int, data: bytes) -> bool:
+    def agrees(self, offset: int, data: Sequence) -> bool:
         shared = self.content[offset : offset + len(data)]
-        return offset <= len(self.content) and shared == data[: len(shared)]
+        return offset <= len(self.content) and shared == list(data[: len(shared)])
 
 
-def versions_of(fragments: list[tuple[int, bytes, str, int]]) -> list[tuple[bytes, list[int]]]:
+def versions_of(fragments: list[tuple[int, Sequence, str, int]]) -> list[tuple[Sequence, list[int]]]:
     """Versions that (offset, data, device, seq) fragments describe, and the positions of those that agree with each.
 
     Fragments that agree extend a version. One that contradicts all of them begins another: at offset 0 a new file, else a fork of the first version
-    that reaches so far. What lies past a gap waits for it to be filled. A version that begins another one is left out.
+    that reaches so far. What lies past a gap waits for it to be filled. A version that begins another one is left out. Data are bytes, or tuples of
+    whatever stands for them, with offsets in the same measure.
     """
     order = sorted(range(len(fragments)), key=lambda k: (fragments[k][0], -len(fragments[k][1]), *fragments[k][2:]))
     found: list[Version] = []
@@ -84,35 +86,87 @@ def versions_of(fragments: list[tuple[int, bytes, str, int]]) -> list[tuple[byte
             offset, data = fragments[k][:2]
             fitting = [v for v in found if v.agrees(offset, data)]
             for v in fitting:
-                v.content += data[len(v.content) - offset :] if offset + len(data) > len(v.content) else b""
+                v.content += data[len(v.content) - offset :] if offset + len(data) > len(v.content) else data[:0]
             if not fitting:
                 base = next((v for v in found if len(v.content) >= offset), None)
                 if offset and base is None:
                     left.append(k)
                     continue
-                found.append(Version(bytes(base.content[:offset]) + data if offset else data))
+                found.append(Version([*base.content[:offset], *data] if offset else data))
             placed.add(k)
         if len(left) == len(waiting):
             break
         waiting = left
-    contents = [bytes(v.content) for v in found]
+    contents = [v.content for v in found]
     out = []
     for i, content in enumerate(contents):
-        if any(j != i and other.startswith(content) and (len(other) > len(content) or j < i) for j, other in enumerate(contents)):
+        if any(j != i and other[: len(content)] == content and (len(other) > len(content) or j < i) for j, other in enumerate(contents)):
             continue
-        agreeing = [k for k in order if k in placed and fragments[k][0] + len(fragments[k][1]) <= len(content) and content[fragments[k][0] :].startswith(fragments[k][1])]
-        out.append((content, agreeing))
+        here = lambda k, content=content: content[fragments[k][0] : fragments[k][0] + len(fragments[k][1])]
+        agreeing = [k for k in order if k in placed and fragments[k][0] <= len(content) and here(k) == list(fragments[k][1])]
+        out.append((type(fragments[0][1])(content), agreeing))
     return out
 
 
 def _reconstructed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The versions of one key."""
-    fragments = list(zip(pdf["byte_offset"], pdf["content"], pdf["device_id"], pdf["device_seq"], strict=True))
+    """The versions of one key, from its fragments' places and the hashes of their atoms."""
+    fragments = [(int(o), tuple(a), d, int(s)) for o, a, d, s in zip(pdf["first"], pdf["atoms"], pdf["device_id"], pdf["device_seq"], strict=True)]
     rows = []
-    for n, (content, own) in enumerate(versions_of([(int(o), bytes(c), d, int(s)) for o, c, d, s in fragments])):
+    for n, (content, own) in enumerate(versions_of(fragments)):
         who = [{"device": pdf["device_id"].iloc[k], "seq": int(pdf["device_seq"].iloc[k]), "path": pdf["path"].iloc[k], "project_hint": pdf["project_hint"].iloc[k]} for k in own]
-        rows.append((*pdf[KEY].iloc[0], n, False, content, who))
-    return pd.DataFrame(rows, columns=[*KEY, "version", "legacy", "content", "contributors"])
+        rows.append((*pdf[KEY].iloc[0], n, list(content), who))
+    return pd.DataFrame(rows, columns=[*KEY, "version", "atoms", "contributors"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of versions, whose pieces come in order."""
+    last, held = None, []
+
+    def row(key: tuple, held: list[bytes]) -> pa.RecordBatch:
+        types = [pa.string()] * 3 + [pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, b"".join(held)), types, strict=True)], names=[*KEY, "version", "content"])
+
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in (*KEY, "version", "piece")]
+        for *key, piece in zip(*columns, strict=True):
+            if key != last:
+                if last is not None:
+                    yield row(last, held)
+                last, held = key, []
+            held.append(piece)
+    if last is not None:
+        yield row(last, held)
+
+
+def contested_versions(fragments: DataFrame) -> DataFrame:
+    """VERSIONS of keys whose fragments (KEY, byte_offset, content, device_id, device_seq, path, project_hint) overlap, contradict or leave gaps.
+
+    All fragments of a key are cut where one of them begins or ends, so that each is a run of whole atoms, and atoms are equal if their SHA-256 are. The function that puts
+    a key's versions together sees hashes only; a version's bytes are then put together from one fragment's piece for each of its atoms.
+    """
+    size = F.octet_length("content").cast("long")
+    edges = fragments.select(*KEY, F.explode(F.array(F.lit(0).cast("long"), F.col("byte_offset"), F.col("byte_offset") + size)).alias("edge")).groupBy(*KEY)
+    edges = edges.agg(F.array_sort(F.collect_set("edge")).alias("edges"))  # two numbers a fragment at most
+    whole = fragments.join(edges, KEY).withColumn("first", F.array_position("edges", F.col("byte_offset")) - 1)
+    count = F.array_position("edges", F.col("byte_offset") + size) - 1 - F.col("first")
+    inner = F.slice("edges", (F.col("first") + 1).cast("int"), (count + 1).cast("int"))
+    cut = whole.withColumn("count", count).withColumn("inner", inner)
+    steps = F.when(F.col("count") > 0, F.sequence(F.lit(0), (F.col("count") - 1).cast("int")))
+    cut = cut.select(*KEY, "device_id", "device_seq", "byte_offset", "first", "content", "inner", F.explode(steps).alias("k"))
+    at, to = F.get("inner", F.col("k")), F.get("inner", F.col("k") + 1)
+    cut = cut.select(*KEY, "device_id", "device_seq", (F.col("first") + F.col("k")).alias("atom"), F.substring("content", (at - F.col("byte_offset") + 1).cast("int"), (to - at).cast("int")).alias("piece"))
+    pieces = scratch.save(cut.withColumn("hash", F.unhex(F.sha2("piece", 256))), "pieces")
+    atoms = pieces.groupBy(*KEY, "device_id", "device_seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("atom", "hash"))), lambda x: x["hash"]).alias("atoms"))
+    heads = whole.select(*KEY, "device_id", "device_seq", "path", "project_hint", "first").join(atoms, [*KEY, "device_id", "device_seq"], "left")
+    heads = heads.withColumn("atoms", F.coalesce("atoms", F.array().cast("array<binary>")))
+    schema = f"source_id string, scope string, locator string, version int, atoms array<binary>, contributors array<{CONTRIBUTOR}>"
+    versions = scratch.save(heads.groupBy(*KEY).applyInPandas(_reconstructed, schema), "contested")
+    wanted = versions.select(*KEY, "version", F.posexplode("atoms").alias("atom", "hash"))
+    once = pieces.groupBy(*KEY, F.col("atom").cast("int").alias("atom"), "hash").agg(F.min("piece").alias("piece"))  # all of them are equal
+    rows = wanted.join(once, [*KEY, "atom", "hash"]).select(*KEY, "version", "atom", "piece")
+    contents = rows.repartition(*KEY, "version").sortWithinPartitions(*KEY, "version", "atom").mapInArrow(_joined, "source_id string, scope string, locator string, version int, content binary")
+    found = versions.select(*KEY, "version", "contributors").join(contents, [*KEY, "version"], "left")
+    return found.select(*KEY, "version", F.lit(False).alias("legacy"), F.coalesce("content", F.lit(b"")).alias("content"), "contributors")
 
 
 def reconstruct_versions(observations: DataFrame) -> DataFrame:
@@ -124,8 +178,8 @@ def reconstruct_versions(observations: DataFrame) -> DataFrame:
     own = F.struct("byte_offset", F.col("content").alias("content"), contributor().alias("by"))
     plain = marked.where("_simple").groupBy(*KEY).agg(F.array_sort(F.collect_list(own)).alias("own"))
     plain = plain.select(*KEY, F.lit(0).alias("version"), F.lit(False).alias("legacy"), F.unhex(F.array_join(F.transform("own", lambda x: F.hex(x["content"])), "")).alias("content"), F.transform("own", lambda x: x["by"]).alias("contributors"))
-    rest = marked.where("not _simple").select(*KEY, "byte_offset", "content", "device_id", "device_seq", "path", "project_hint")
-    return plain.unionByName(rest.groupBy(*KEY).applyInPandas(_reconstructed, VERSIONS))
+    rest = marked.where("not _simple").select(*KEY, "byte_offset", "content", "device_id", "device_seq", "path", "project_hint").dropDuplicates([*KEY, "device_id", "device_seq"])
+    return plain.unionByName(contested_versions(rest))
 
 
 def devices(contributors: Column) -> Column:

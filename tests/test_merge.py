@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from palimpsest.archive import OBSERVATIONS
-from palimpsest.operators import merge
+from palimpsest.operators import merge, observations
 from palimpsest.operators.merge import versions_of
 
 EPOCH = "2024-01-01T00:00:"
@@ -153,3 +153,20 @@ def test_snapshots_of_other_sources_supersede(spark):
     found = merge.project(frame(spark, rows))
     assert ids(found.archive) == {"s": ["a"]}
     assert found.divergences.count() == 0
+
+
+def test_contested_keys_equal_versions_of_bytes(spark):
+    r = random.Random(4)
+    rows, wants = [], {}
+    for k in range(60):
+        texts = ["".join(r.choices("ab", k=14)) for _ in range(2)]
+        own = []
+        for seq in range(r.randint(1, 8)):
+            text, start = r.choice([texts[0], texts[0], texts[1]]), r.choice([0, 0, *range(9)])
+            own.append((start, text[start : start + r.randint(0, 9)], r.choice("xyz"), seq))
+        rows += [seen(d, s, f"c{k}", t, offset=o) for o, t, d, s in own]
+        found = versions_of([(o, t.encode(), d, s) for o, t, d, s in own])
+        wants |= {(f"c{k}", n): (content, sorted(own[i][2:] for i in by)) for n, (content, by) in enumerate(found)}
+    fragments = frame(spark, rows).select(*merge.KEY, "byte_offset", "content", "device_id", "device_seq", "path", "project_hint").repartition(5)
+    got = merge.contested_versions(fragments).collect()
+    assert {(x["locator"], x["version"]): (bytes(x["content"]), sorted((c["device"], c["seq"]) for c in x["contributors"])) for x in got} == wants
