@@ -9,7 +9,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -30,23 +30,21 @@ def tokens(text: Column) -> Column:
 
 @dataclass
 class TextIndex:
-    """postings(term, block_id, tf), docs(block_id, len), dictionary(term, df), and how words became terms."""
+    """postings(term, block_id, tf, len), len being the block's length in terms, docs(block_id, len), and how words became terms.
+
+    size is (blocks, terms of all blocks) where that is known without a look at docs.
+    """
 
     postings: DataFrame
     docs: DataFrame
-    dictionary: DataFrame
     stop_words: Sequence[str] = ()
     stems: bool = True
+    size: tuple[int, int] | None = None
 
-    def write(self, folder: str) -> None:
-        """Postings are range-sorted by term, so that a query reads few row groups."""
-        self.postings.repartitionByRange("term", "block_id").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
-        self.docs.write.mode("overwrite").parquet(f"{folder}/docs")
-        self.dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/dictionary")
-
-
-def read_text_index(spark: SparkSession, folder: str, stop_words: Sequence[str] = (), stems: bool = True) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{folder}/{part}") for part in ("postings", "docs", "dictionary")), stop_words, stems)
+    @property
+    def dictionary(self) -> DataFrame:
+        """(term, df): in how many blocks each term is."""
+        return self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 @F.pandas_udf(StringType())
@@ -66,25 +64,31 @@ def _terms(words: DataFrame, stop_words: Sequence[str], stems: bool) -> DataFram
 
 def build_text_index(blocks: DataFrame, stop_words: Sequence[str] = (), stems: bool = True) -> TextIndex:
     """The index of content blocks; blocks without text count as documents of length 0."""
-    words = blocks.where("text is not null").select(F.col("id").alias("block_id"), F.explode(tokens(F.col("text"))).alias("word"))
-    counted = words.groupBy("block_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    postings = _terms(counted, stop_words, stems).groupBy("term", "block_id").agg(F.sum("n").alias("tf"))
-    lengths = postings.groupBy("block_id").agg(F.sum("tf").alias("len"))
-    docs = blocks.select(F.col("id").alias("block_id")).join(lengths, "block_id", "left").select("block_id", F.coalesce("len", F.lit(0)).alias("len"))
-    return TextIndex(postings, docs, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), tuple(stop_words), stems)
+    words = F.coalesce(tokens(F.col("text")), F.array().cast("array<string>"))
+    if stop_words:
+        words = F.filter(words, lambda w: ~w.isin(*stop_words))
+    rows = blocks.select(F.col("id").alias("block_id"), words.alias("words"))
+    counted = rows.select("block_id", F.size("words").cast("long").alias("len"), F.explode("words").alias("word")).groupBy("block_id", "len", "word").agg(F.count(F.lit(1)).alias("tf"))
+    postings = counted.withColumnRenamed("word", "term")
+    if stems:
+        postings = _terms(counted, (), True).groupBy("term", "block_id", "len").agg(F.sum("tf").alias("tf"))
+    return TextIndex(postings.select("term", "block_id", "tf", "len"), rows.select("block_id", F.size("words").cast("long").alias("len")), tuple(stop_words), stems)
 
 
-def match_bm25(index: TextIndex, query: str) -> DataFrame:
-    """(block_id, score) of blocks in which a word of the query occurs."""
+def asked_terms(index: TextIndex, query: str) -> list[str]:
+    """The terms of a query's words, each once."""
     spark = index.docs.sparkSession
-    asked = spark.createDataFrame([(query,)], "query string").select(F.explode(F.array_distinct(tokens(F.col("query")))).alias("word"))
-    asked = F.broadcast(_terms(asked, index.stop_words, index.stems).select("term").distinct())
-    n, mean = index.docs.agg(F.count(F.lit(1)), F.avg("len")).first()
-    found = index.dictionary.join(asked, "term")
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    hits = index.postings.join(F.broadcast(found), "term").join(index.docs, "block_id")
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0)))
-    return hits.groupBy("block_id").agg(F.sum(score).alias("score"))
+    words = spark.createDataFrame([(query,)], "query string").select(tokens(F.col("query"))).first()[0]
+    return sorted({stem(w) if index.stems else w for w in words if w not in index.stop_words})
+
+
+def match_bm25(index: TextIndex, query: str) -> DataFrame:
+    """(block_id, score) of blocks in which a word of the query occurs. Only the query's terms are read of the postings; their own rows tell how rare they are."""
+    hits = index.postings.where(F.col("term").isin(asked_terms(index, query)))
+    n, total = index.size or index.docs.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
+    rarity = hits.groupBy("term").agg(F.log(1 + (n - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))  # a row per word of the query
+    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(total / n if total else 1.0)))
+    return hits.join(F.broadcast(rarity), "term").groupBy("block_id").agg(F.sum(score).alias("score"))
 
 
 def located(a: Archive, source: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:

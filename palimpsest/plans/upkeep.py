@@ -8,8 +8,9 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..archive import Archive
-from ..operators import changes, health, search
+from ..operators import changes, health, search, text_index
 from ..sources.normalize import NORMALIZERS
 from ..sources.render import RENDERERS
 from .archives import of_events, of_turns, table
@@ -75,6 +76,22 @@ def search_blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(a, index, "rest", limit=20).select("block_id", F.round("score", 6).alias("score"), "rank")
 
 
+@register(
+    "search_written_index",
+    f"{bm25_sql('conv_id % 10 != 3', ('the', 'rest', 'und'))} SELECT {BLOCK} AS block_id, round(score, 6) AS score FROM t JOIN hit USING (native)",
+)
+def search_written_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 over an index that grew by parts, lost a tenth of the conversations and was merged in between."""
+    a, folder = of_turns(spark, sf_dir), scratch.new_path(spark, "index")
+    number = F.regexp_extract("source_native_id", r"^c(\d+)", 1).cast("long") % 10
+    blocks = scratch.save(a.content_blocks.join(a.messages.select(F.col("id").alias("message_id"), number.alias("number")), "message_id").select("id", "text", "number"), "blocks")
+    text_index.create_index(spark, folder, stems=False)
+    text_index.add_blocks(spark, folder, blocks.where("number < 8"))
+    text_index.delete_blocks(spark, folder, blocks.where("number in (3, 9)"))
+    text_index.add_blocks(spark, folder, blocks.where("number != 3"))
+    return search.match_bm25(text_index.open_index(spark, folder), "the rest und").select("block_id", F.round("score", 6).alias("score"))
+
+
 @register(
     "index_coverage",
     f"{TURNS}, n AS (SELECT count(*) FILTER (WHERE conv_id % 10 != 0) AS indexed, count(*) FILTER (WHERE conv_id % 10 = 0) AS pending FROM t) SELECT indexed, pending, pending >= greatest(2000, floor(indexed * 0.05)) AS needs_rebuild FROM n",

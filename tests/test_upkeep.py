@@ -1,13 +1,14 @@
 """Search, stems and change detection on small rows that the tables don't hold."""
 
 import hashlib
+import random
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.archive import HANDLES, SCHEMAS, Archive
-from palimpsest.operators import changes, search
+from palimpsest.operators import changes, search, text_index
 from palimpsest.operators.stemmer import stem
 from palimpsest.sources.transcripts import explode_jsonl
 
@@ -69,3 +70,37 @@ def test_collected_appends_hold_the_new_bytes(spark):
 def test_broken_utf8_is_replaced(spark):
     handles = spark.createDataFrame([("s", "", "x", "/x", None, 1.0, b'{"a":"\xff"}\n\n{"b":1}\n')], HANDLES)
     assert [(r["line"], r["raw"]) for r in explode_jsonl(handles).orderBy("line").collect()] == [(0, '{"a":"\ufffd"}'), (1, '{"b":1}')]
+
+
+def test_a_written_index_ranks_as_a_new_one(spark, tmp_path):
+    """Additions, repeats, deletions, a block that comes back, and merges."""
+    r, folder = random.Random(1), str(tmp_path)
+    texts = {f"b{i}": None if i % 17 == 0 else " ".join(r.choices(["run", "runs", "walk", "the", "é", "sat"], k=r.randrange(9))) for i in range(60)}
+    frame = lambda names: spark.createDataFrame([(n, texts[n]) for n in names], "id string, text string")
+    names, there = list(texts), set()
+    text_index.create_index(spark, folder, stop_words=["the"])
+    ranked = lambda index: {x["block_id"]: round(x["score"], 9) for x in search.match_bm25(index, "running é The").collect()}
+
+    def holds():
+        new = search.build_text_index(frame(sorted(there)), stop_words=["the"])
+        own = text_index.open_index(spark, folder)
+        assert own.size == (len(there), new.docs.agg(F.sum("len")).first()[0])
+        assert ranked(own) == ranked(new) and {x["block_id"] for x in own.docs.collect()} == there
+
+    for step in range(4):
+        more = names[step * 12 : step * 12 + 15]
+        text_index.add_blocks(spark, folder, frame(more))
+        there |= set(more)
+        if step == 1:
+            text_index.delete_blocks(spark, folder, frame(names[5:9] + names[50:]))
+            there -= set(names[5:9])
+            holds()
+    assert len(text_index.state_of(spark, folder).parts) < 4  # merged on the way
+    before = text_index.state_of(spark, folder)
+    text_index.add_blocks(spark, folder, frame(names[5:7]))
+    there |= set(names[5:7])
+    holds()
+    assert text_index.add_blocks(spark, folder, frame(names[:9][:3])).number == text_index.state_of(spark, folder).number
+    assert len(text_index.merge_parts(spark, folder, all_parts=True).parts) == 1
+    holds()
+    assert text_index.open_index(spark, folder, before).docs.count() == len(there) - 2  # a reader keeps its version
