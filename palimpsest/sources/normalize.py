@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..archive import Archive
 from ..functions import columns as C
 from .assemble import Parsed, block, joined, no_blocks, or_default, parsed, span
 from .sessions import parse_hermes, parse_sessions
-from .transcripts import explode_jsonl
+from .transcripts import explode_jsonl, scan_lines
 
 
 def event_counts(events: DataFrame) -> DataFrame:
@@ -34,10 +34,10 @@ def content_block(x: Column) -> Column:
     )
 
 
-def parse_claude_code(handles: DataFrame) -> Parsed:
+def parse_claude_code(handles: DataFrame, events: DataFrame | None = None) -> Parsed:
     """JSONL events of type user, assistant, system or summary."""
     v = F.col("v")
-    events = explode_jsonl(handles)
+    events = explode_jsonl(handles) if events is None else events
     type_ = C.get_string(v, "type")
     message = C.as_object(C.get(v, "message"))
     content = C.get(message, "content")
@@ -62,10 +62,10 @@ def parse_claude_code(handles: DataFrame) -> Parsed:
     return parsed("claude_code", "1", handles, conversations, messages, events)
 
 
-def parse_codex_cli(handles: DataFrame) -> Parsed:
+def parse_codex_cli(handles: DataFrame, events: DataFrame | None = None) -> Parsed:
     """JSONL events {timestamp, type, payload}; the model is the first that a turn_context names, from there on."""
     v = F.col("v")
-    events = explode_jsonl(handles)
+    events = explode_jsonl(handles) if events is None else events
     stamp = C.get(v, "timestamp")
     number = F.when(C.kind(stamp).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT"), F.try_variant_get(stamp, "$", "double"))
     events = events.withColumn("time", F.when(number.isNotNull(), C.unix_time(number)).otherwise(C.iso_time(C.get_string(v, "timestamp"))))
@@ -155,10 +155,10 @@ def parse_claude_export(handles: DataFrame) -> Parsed:
     return parsed("claude_export", "1", handles, conversations, messages, events)
 
 
-def parse_omp(handles: DataFrame) -> Parsed:
+def parse_omp(handles: DataFrame, events: DataFrame | None = None) -> Parsed:
     """JSONL with a title slot, a session header, messages and custom messages."""
     v = F.col("v")
-    events = explode_jsonl(handles).withColumn("type", C.get_string(v, "type")).withColumn("time", C.iso_time(C.get_string(v, "timestamp")))
+    events = (explode_jsonl(handles) if events is None else events).withColumn("type", C.get_string(v, "type")).withColumn("time", C.iso_time(C.get_string(v, "timestamp")))
     m = C.as_object(C.get(v, "message"))
     speaker = C.get_string(m, "role")
 
@@ -242,6 +242,12 @@ PARSERS: dict[str, Callable[[DataFrame], Parsed]] = {
 APPEND_ONLY = frozenset({"claude_code", "codex_cli", "omp"})
 
 
+def read_transcripts(spark: SparkSession, root: str, source: str) -> Archive:
+    """The archive of all transcript files of an append-only source under root, read in splits whatever their size."""
+    handles, events = scan_lines(spark, root, source)
+    return PARSERS[source](handles, events).archive()
+
+
 def normalize(source: str, handles: DataFrame) -> Archive:
     return PARSERS[source](handles).archive()
 

@@ -5,7 +5,7 @@ A handle is one conversation's bytes: source_id, scope, locator (the native id),
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -46,6 +46,28 @@ def scan_transcripts(spark: SparkSession, root: str, source: str) -> DataFrame:
     ).where("locator != ''")
 
 
+def scan_lines(spark: SparkSession, root: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """The handles of transcript files under root, without their content, and the JSON objects in their lines, as explode_jsonl() gives them.
+
+    Files are read in splits, so a long transcript is read by many tasks and is never one value. A line is in the split where it begins; its number is its place
+    among its split's objects and the count of those in the splits before. Splits are named by where they begin, which is the same in both reads.
+    """
+    names, nested, _ = LAYOUTS[source]
+    handles = scan_transcripts(spark, root, source).drop("content")
+    reader = spark.read.option("lineSep", "\n").option("pathGlobFilter", names).option("recursiveFileLookup", str(nested).lower())
+    read = reader.text(root if nested else f"{root}/*/").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("order"))
+    text = F.regexp_replace(F.make_valid_utf8("value"), r"^[\s]+|[\s]+$", "")
+    objects = read.withColumn("raw", text).where("raw != ''").withColumn("v", C.parsed(F.col("raw"))).where(C.kind(F.col("v")) == "OBJECT")
+    sizes = objects.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("file", "start", (F.sum("n").over(Window.partitionBy("file").orderBy("start")) - F.col("n")).alias("before"))  # a row per split
+    within = F.row_number().over(Window.partitionBy("file", "start").orderBy("order")) - 1
+    numbered = objects.withColumn("within", within).join(before, ["file", "start"])
+    path = F.regexp_replace(F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B"))), r"^file:/+", "/")
+    placed = numbered.select(path.alias("path"), (F.col("within") + F.col("before")).cast("int").alias("line"), "raw", "v")
+    events = placed.join(handles.select("path", "source_id", "locator", "project_hint"), "path")
+    return handles, events.select("source_id", "locator", "path", "project_hint", "line", "raw", "v")
+
+
 def scan_export_array(spark: SparkSession, path: str, source: str = "claude_export") -> DataFrame:
     """One handle per object with a non-empty string `uuid` of a JSON array; a file that holds no array is an error."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.archive import HANDLES
 from palimpsest.functions import columns as C
-from palimpsest.sources.normalize import NORMALIZERS
+from palimpsest.sources.normalize import NORMALIZERS, read_transcripts
 from palimpsest.sources.transcripts import only_newer_layout, scan_export_array, scan_transcripts, session_documents_hermes, session_documents_v1, session_documents_v2
 
 normalize_claude_code, normalize_codex_cli = NORMALIZERS["claude_code"], NORMALIZERS["codex_cli"]
@@ -247,3 +247,24 @@ def test_scans_of_files(spark, tmp_path):
     (tmp_path / "bad.json").write_text("{}")
     with pytest.raises(Exception, match="not a JSON array"):
         scan_export_array(spark, str(tmp_path / "bad.json")).collect()
+
+
+@pytest.mark.parametrize("size", ["97b", "128m"])
+def test_files_read_in_splits_give_the_rows_of_whole_files(spark, tmp_path, size):
+    """Splits that end inside lines, blank and broken lines, broken UTF-8, spaces and signs in paths, one locator in two folders."""
+    line = lambda n, text: json.dumps({"type": "user" if n % 2 else "assistant", "uuid": f"u{n}", "timestamp": f"2024-01-01T00:00:{n % 60:02d}Z", "message": {"role": "user", "content": text}}, ensure_ascii=False)
+    for folder, name, n in (("-work-a b+c%20", "one", 40), ("-work-d", "two", 1), ("-work-d", "none", 0), ("-work-e", "two", 3)):
+        (tmp_path / folder).mkdir(exist_ok=True)
+        rows = [x for k in range(n) for x in (line(k, "é\u2028" * k), *[["", "{half", "[1]", "  \r"], []][k % 2])]
+        (tmp_path / folder / f"{name}.jsonl").write_bytes("\n".join(rows).encode() + (b'\n{"type":"system","x":"\xff"}' if n > 1 else b""))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        whole, split = normalize_claude_code(scan_transcripts(spark, str(tmp_path), "claude_code")), read_transcripts(spark, str(tmp_path), "claude_code")
+        for name, table in whole.tables().items():
+            if name in ("messages", "content_blocks", "raw_events"):
+                assert sorted(map(repr, split.tables()[name].collect())) == sorted(map(repr, table.collect())), name
+        assert split.raw_events.count() == 46
+        if size == "97b":
+            assert spark.read.text(f"{tmp_path}/*/").rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
