@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..archive import SCHEMAS
 from ..operators import analytics as A
 from ..sources.render import RENDERERS
 from .archives import of_events, of_turns
@@ -191,7 +192,21 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.fingerprint(of_events(spark, sf_dir))
 
 
-@register("describe_archive")
+def described_sql() -> str:
+    """The columns of the archive that of_events() makes: those of SCHEMAS, times without a zone as in the events."""
+    stated = {"sources": "id name adapter_version config", "conversations": "source_id message_count raw_path metadata", "messages": "role metadata", "content_blocks": "block_index type", "raw_events": "source_id raw_path", "tool_calls": "source_id"}
+    calls = "call_id string, tool_use_id string, tool_name string, input string, message_id string, conversation_id string, created_at timestamp, project string, source_id string"
+    times = ("started_at", "ended_at", "created_at")
+    rows = [
+        f"('{table}', {k}, '{name}', '{'timestamp_ntz' if name in times else type_}', {str(name not in stated[table].split()).lower()})"
+        for table, schema in (SCHEMAS | {"tool_calls": calls}).items()
+        for k, (name, type_) in enumerate(c.split() for c in schema.split(", "))
+    ]
+    counts = "SELECT 'sources' AS table_name, count(*) AS table_rows FROM sources UNION ALL SELECT 'conversations', count(*) FROM conversations UNION ALL SELECT unnest(['messages', 'content_blocks', 'raw_events']), count(*) FROM events UNION ALL SELECT 'tool_calls', count(*) FROM tool_calls"
+    return f"{EVENTS}, n AS ({counts}) SELECT d.*, table_rows FROM (VALUES {', '.join(rows)}) d(table_name, position, column_name, data_type, nullable) JOIN n USING (table_name)"
+
+
+@register("describe_archive", described_sql())
 def describe_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.describe_archive(of_events(spark, sf_dir))
 

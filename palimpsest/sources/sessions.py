@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..archive import BLOCK
 from ..functions import columns as C
 from .assemble import Parsed, block, no_blocks, or_default, parsed
@@ -95,20 +96,18 @@ def tool_messages(x: Column, call: Column, name: Column, model: Column, text_of:
 
 
 def split_turn(parts: Column, native: Column, role: Column, model: Column, metadata: Column) -> Column:
-    """The messages of a turn from its parts, structs of tool (bool), blocks and messages (of a tool): blocks between tools are one message."""
+    """The messages of a turn from its parts, structs of tool (bool), blocks and messages (of a tool): blocks between tools are one message. One pass over the parts."""
+    state = f"struct<made: array<{MESSAGE}>, said: array<{BLOCK}>>"
+    none = F.array().cast(f"array<{MESSAGE}>")
 
-    def numbered(parts: Column) -> Column:
-        return F.transform(parts, lambda p, i: F.struct(F.size(F.filter(F.slice(parts, 1, i), lambda q: q["tool"])).alias("island"), p["tool"].alias("tool"), p["blocks"].alias("blocks")))
+    def told(s: Column) -> Column:
+        return F.concat(s["made"], F.when(F.size(s["said"]) > 0, F.array(message(native, role, model, metadata, s["said"]))).otherwise(none))
 
-    def islands(before: Column, tools: Column) -> Column:
-        def island(k: Column) -> Column:
-            own = F.flatten(F.transform(F.filter(before, lambda p: (p["island"] == k) & ~p["tool"]), lambda p: p["blocks"]))
-            said = F.transform(F.filter(F.array(own), lambda b: F.size(b) > 0), lambda b: message(native, role, model, metadata, b))
-            return F.concat(said, F.coalesce(F.get(tools, k)["messages"], F.array().cast(f"array<{MESSAGE}>")))
+    def step(s: Column, p: Column) -> Column:
+        after_tool = F.struct(F.concat(told(s), F.coalesce(p["messages"], none)).alias("made"), no_blocks().alias("said"))
+        return F.when(p["tool"], after_tool.cast(state)).otherwise(F.struct(s["made"].alias("made"), F.concat(s["said"], p["blocks"]).alias("said")).cast(state))
 
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(tools)), island))
-
-    return C.let(parts, lambda own: C.let(numbered(own), lambda before: C.let(F.filter(own, lambda p: p["tool"]), lambda tools: islands(before, tools))))
+    return F.aggregate(parts, F.struct(none.alias("made"), no_blocks().alias("said")).cast(state), step, told)
 
 
 def documents(handles: DataFrame) -> DataFrame:
@@ -219,7 +218,8 @@ def parse_sessions(handles: DataFrame) -> Parsed:
     docs = documents(handles)
     newer = F.coalesce(C.kind(C.get(F.col("top"), "session_v2")) != "VOID", F.lit(False))
     one, two = first_layout(docs.where(~newer)), second_layout(docs.where(newer))
-    conversations, turns = (a.unionByName(b) for a, b in zip(one, two, strict=True))
+    # Documents are parsed once: all tables that are made of the turns read what is written here, and their plans stay small.
+    conversations, turns = (scratch.save(a.unionByName(b), name) for a, b, name in zip(one, two, ("sessions", "turns"), strict=True))
     found = conversations.join(turn_span(turns), "locator", "left").withColumnRenamed("path", "raw_path")
     first = F.when(F.col("second"), 1).otherwise(0)  # the session's row is the first event of the second layout
     lines = turns.join(conversations.select("locator", "path", "second"), "locator")
