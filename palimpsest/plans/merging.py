@@ -164,10 +164,18 @@ def append_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logged.join(sent, "locator").select("locator", "device_seq", ((F.sha2("content", 256) == F.col("sent")) & (F.col("content_sha256") == F.col("sent"))).alias("intact"))
 
 
-@register("missing_segments", "SELECT 'a-' || k AS segment, 'a' AS device_id, 'push' AS direction FROM (SELECT unnest([6, 7, 8]) AS k) WHERE (SELECT count(*) FROM conversations) > 0 UNION ALL SELECT 'b-' || k, 'b', 'pull' FROM (SELECT unnest([3, 4]) AS k) WHERE (SELECT count(*) FROM conversations) > 0")
+@register(
+    "missing_segments",
+    """WITH s AS (SELECT DISTINCT event_type AS device_id, event_id // 250 AS k FROM events)
+    SELECT device_id || '-' || k AS segment, device_id, CASE WHEN device_id = 'click' THEN 'push' ELSE 'pull' END AS direction FROM s WHERE (device_id = 'click' AND k % 4 = 1) OR (device_id != 'click' AND k % 3 = 0)""",
+)
 def missing_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = observed(spark, sf_dir).drop("content")
-    return observations.missing_segments(log.where("segment not in ('b-3', 'b-4')"), log.where("segment not in ('a-6', 'a-7', 'a-8', 'b-8')"), "a")
+    """Two replicas of a log of all events: one lacks a third of the other devices' segments, the other a quarter of this device's."""
+    log, number = _event_log(spark, sf_dir).drop("content"), F.floor(F.col("device_seq") / 250)
+    log = log.withColumn("segment", F.concat_ws("-", "device_id", number.cast("string")))
+    own = log.where((F.col("device_id") == "click") | (number % 3 != 0))
+    other = log.where((F.col("device_id") != "click") | (number % 4 != 1))
+    return observations.missing_segments(own, other, "click")
 
 
 @register(
