@@ -34,7 +34,7 @@ def collect_changes(handles: DataFrame, states: DataFrame, tombstones: DataFrame
 
     states: KEY, length, sha256, mtime of what was logged last, a row per key. An append-only source's new bytes, or all bytes of
     a new handle, are an append; other changes are snapshots. Unchanged, empty and deleted handles give no row. incremental
-    trusts an unchanged mtime and doesn't read such contents.
+    trusts an unchanged mtime; handles from scan_changed() leave such files unread.
     """
     if tombstones is not None:
         handles = handles.join(tombstones, KEY, "left_anti")

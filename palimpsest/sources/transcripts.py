@@ -5,6 +5,8 @@ A handle is one conversation's bytes: source_id, scope, locator (the native id),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,12 +32,32 @@ def project_of_folder(source: str, folder: Column) -> Column:
 
 def scan_transcripts(spark: SparkSession, root: str, source: str) -> DataFrame:
     """One handle per transcript file under root."""
+    _, nested, _ = LAYOUTS[source]
+    return _handles(spark, [root if nested else f"{root}/*/"], source).drop("file")
+
+
+def scan_changed(spark: SparkSession, root: str, source: str, states: DataFrame) -> DataFrame:
+    """Handles of the files whose time isn't the one that states (source_id, scope, locator, mtime) have of them. Only these files are opened; the others are listed.
+
+    Their paths come to the driver, which has listed all files at this point.
+    """
+    _, nested, _ = LAYOUTS[source]
+    listed = _handles(spark, [root if nested else f"{root}/*/"], source).drop("content")
+    key = ["source_id", "scope", "locator"]
+    known = states.select(*key, F.col("mtime").alias("known"))
+    changed = listed.join(known, key, "left").where(~F.col("mtime").eqNullSafe(F.col("known"))).select("file")
+    paths = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["file"]) for r in changed.collect()]
+    if not paths:
+        return _handles(spark, [root if nested else f"{root}/*/"], source).drop("file").limit(0)
+    return _handles(spark, paths, source).drop("file")
+
+
+def _handles(spark: SparkSession, paths: list[str], source: str) -> DataFrame:
     names, nested, native = LAYOUTS[source]
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", str(nested).lower())
-    files = reader.load(root if nested else f"{root}/*/")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", str(nested).lower()).load(paths)
     path = F.regexp_replace("path", r"^file:/+", "/")
     folder = F.regexp_extract(path, r"([^/]*)/[^/]*$", 1)
-    return files.select(
+    return found.select(
         F.lit(source).alias("source_id"),
         F.lit("").alias("scope"),
         F.regexp_extract(path, native, 1).alias("locator"),
@@ -43,6 +65,7 @@ def scan_transcripts(spark: SparkSession, root: str, source: str) -> DataFrame:
         project_of_folder(source, folder).alias("project_hint"),
         F.col("modificationTime").cast("double").alias("mtime"),
         "content",
+        F.col("path").alias("file"),
     ).where("locator != ''")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.archive import HANDLES, SCHEMAS, Archive
 from palimpsest.operators import changes, search, text_index
 from palimpsest.operators.stemmer import stem
-from palimpsest.sources.transcripts import explode_jsonl
+from palimpsest.sources.transcripts import explode_jsonl, scan_changed, scan_transcripts
 
 
 @pytest.mark.parametrize(
@@ -104,3 +104,16 @@ def test_a_written_index_ranks_as_a_new_one(spark, tmp_path):
     assert len(text_index.merge_parts(spark, folder, all_parts=True).parts) == 1
     holds()
     assert text_index.open_index(spark, folder, before).docs.count() == len(there) - 2  # a reader keeps its version
+
+
+def test_files_of_a_known_time_are_not_opened(spark, tmp_path):
+    (tmp_path / "-p [x] {y}").mkdir()
+    for n in range(4):
+        (tmp_path / "-p [x] {y}" / f"k{n}*.jsonl").write_text(f'{{"n":{n}}}\n')
+    seen = scan_transcripts(spark, str(tmp_path), "claude_code")
+    times = {r["locator"]: r["mtime"] for r in seen.collect()}
+    states = lambda **own: spark.createDataFrame([("claude_code", "", f"{k}*", t) for k, t in own.items()], "source_id string, scope string, locator string, mtime double")
+    own = scan_changed(spark, str(tmp_path), "claude_code", states(k0=times["k0*"], k1=1.0, k2=times["k2*"]))
+    assert sorted((r["locator"], bytes(r["content"])) for r in own.collect()) == [("k1*", b'{"n":1}\n'), ("k3*", b'{"n":3}\n')]
+    assert len(own.inputFiles()) == 2 and own.columns == seen.columns
+    assert scan_changed(spark, str(tmp_path), "claude_code", states(**{k[:-1]: t for k, t in times.items()})).count() == 0
