@@ -16,7 +16,7 @@ a text's words is joined with the vocabulary by Spark, so a vocabulary of any si
 Smoothing: a class emits w with (c(w) + d) / (N(class) + d * (V(class) + 1)), d = 0.1, one place being for all unseen words;
 transitions are interpolated with the class unigram, weighted by `prior`.
 Defined cases: null counts as empty, i.e. an end alone; without training rows all counts are zero and every word is unseen; rows
-that repeat an id each get a row; an empty table gives an empty result; other columns are ignored.
+that repeat an id, a null one included, each get a row (a fold made of a null id is null: such rows are scored and never trained on); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,8 +9,8 @@ and of these as many as fit into a share of `sample_size` characters for all lan
 values of the label column; more than `most_languages` is an error.
 
 The score is 1 - cost(best) / cost(second), in [0, 1]; with one language only it is 1. Ties go to the language first by name.
-Defined cases: null texts and texts without a letter are `und`, score 0, as is everything if no row has a label; a null id takes no part in the order of the sample (it
-hashes like the text "null"); rows that repeat an id each get a row; an empty table gives an empty result; extra columns are kept as they are.
+Defined cases: null texts and texts without a letter are `und`, score 0, as is everything if no row has a label; rows
+without an id are all in fit()'s sample, as a null hashes low, so callers leave them out before, and identify() predicts theirs; rows that repeat an id each get a row; an empty table gives an empty result; extra columns are kept as they are.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ whenever that makes the sum of squared fills grow, until sequences run empty, no
 Sequences with room are then dealt to new shards of the same bounded size and packed again; a shard keeps what it had unless the new sequences are fewer or their
 squared fill is larger. That is done until one shard is left, or until it leaves (nearly) as many open sequences as before.
 
-Defined cases: null and empty texts are the end id alone; rows that repeat a doc_id are packed as often as they appear;
+Defined cases: null and empty texts are the end id alone; rows that repeat a doc_id, a null one included, are packed as often as they appear;
 an empty table gives an empty result; other columns are ignored.
 """
 

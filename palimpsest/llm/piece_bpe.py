@@ -9,7 +9,7 @@ A text is cut where no piece of the vocabulary reaches across, and a worker keep
 these decode to, in a bounded memory.
 
 Defined cases: null counts as empty and gives the end id alone; a text with U+2581 decodes to one with a space there, as in
-the library; rows that repeat an id each get a row; an empty table gives an empty result; other columns are ignored.
+the library; rows that repeat an id, a null one included, each get a row; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -14,8 +14,8 @@ ordered; only counts of p-values on a fixed grid leave the tasks. Tokens at or b
 text; what remains is random, a span of the kind `random`, unless it overlaps a pattern's span. Tokens that carry under
 `least_bits` bits are too short to tell and are left out.
 
-Positions are code points, the end exclusive. Defined cases: null counts as empty and has no spans; rows that repeat an id
-each get a row; an empty table gives an empty result; other columns are kept by redact() and ignored by find().
+Positions are code points, the end exclusive. Defined cases: null counts as empty and has no spans; rows that repeat an id,
+a null one included, each get a row; an empty table gives an empty result; other columns are kept by redact() and ignored by find().
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ so no link is lost); inside a block, bit planes are compared with carry-save cou
 Equal fingerprints are one node from the start, so copies are never compared or paired.
 
 Defined cases: null and empty texts have fingerprint zero and link like any others; rows that repeat a doc_id
-each get their row back, with that id's component; an empty table gives an empty result; other columns are ignored.
+each get their row back, with that id's component; a row without an id links by its text, and gets the smallest id that its
+component has, null if it has none; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
