@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_made: dict[str, list[str]] = {}
 
 
 def root(spark: SparkSession) -> str:
@@ -28,7 +29,9 @@ def root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +54,11 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> int:
+    """Deletes all tables that this application has written here and still has; returns how many. For when no result is to be read any more."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        drop(spark, path)
+    return len(paths)

@@ -7,6 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import files, scratch
 from palimpsest.archive import HANDLES, SCHEMAS, Archive
 from palimpsest.operators import changes, search, text_index
 from palimpsest.operators.stemmer import stem
@@ -117,3 +118,13 @@ def test_files_of_a_known_time_are_not_opened(spark, tmp_path):
     assert sorted((r["locator"], bytes(r["content"])) for r in own.collect()) == [("k1*", b'{"n":1}\n'), ("k3*", b'{"n":3}\n')]
     assert len(own.inputFiles()) == 2 and own.columns == seen.columns
     assert scan_changed(spark, str(tmp_path), "claude_code", states(**{k[:-1]: t for k, t in times.items()})).count() == 0
+
+
+def test_intermediate_tables_can_be_deleted(spark):
+    saved = scratch.save(spark.range(5), "numbers")
+    (path,) = {f.rsplit("/", 1)[0] for f in saved.inputFiles()}
+    assert saved.count() == 5 and files.exists(spark, path)
+    scratch.drop(spark, scratch.write(spark.range(1), "gone"))  # one that is gone already is no error
+    made = dict(scratch._made)
+    scratch._made[spark.sparkContext.applicationId] = made[spark.sparkContext.applicationId][-2:]  # other tests' tables stay
+    assert scratch.clear(spark) == 2 and not files.exists(spark, path)
