@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,17 +19,25 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def create(spark: SparkSession, path: str, text: str) -> bool:
-    """Makes a file that holds text; False, with nothing changed, if there is one of this name already."""
+    """Makes a file that holds text; False, with nothing changed, if there is one of this name already. Whoever sees the file sees all of it.
+
+    The text is written under a hidden name, which then becomes the file's: on local disks by a link, which is refused if there is a file, elsewhere by a
+    rename, which HDFS refuses likewise. Neither is lost or seen half done if the writer dies.
+    """
     system, where = _at(spark, path)
-    try:
-        out = system.create(where, False)
-    except Exception as e:
-        if system.exists(where):
-            return False
-        raise e
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(where.getParent(), f".{where.getName()}-{uuid.uuid4().hex}")
+    out = system.create(hidden, False)
     out.write(bytearray(text.encode()))
     out.close()
-    return True
+    try:
+        if system.getUri().getScheme() == "file":
+            os.link(hidden.toUri().getPath(), where.toUri().getPath())
+            return True
+        return not system.exists(where) and system.rename(hidden, where)
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(hidden, False)
 
 
 def read(spark: SparkSession, path: str) -> str:

@@ -8,6 +8,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from palimpsest import files
 from palimpsest.operators import changes, observations
 
 NEW = "source_id string, scope string, locator string, kind string, byte_offset long, path string, project_hint string, content binary"
@@ -54,6 +55,26 @@ def test_collectors_of_one_device_share_its_numbers(spark, tmp_path):
     assert {s: len({n - k for k, n in enumerate(sorted(n for n, _, x in found if x == s))}) for s in made} == dict.fromkeys(made, 1)  # each segment's run has no hole
 
 
+def test_one_of_many_makes_a_file_and_all_see_it_whole(spark, tmp_path):
+    text, won, seen = "x" * 100_000, [], []
+
+    def writer(k):
+        for n in range(20):
+            if files.create(spark, f"{tmp_path}/made/{n:02d}", f"{k}{text}"):
+                won.append((n, k))
+            seen.append((n, files.read(spark, f"{tmp_path}/made/{n:02d}")))
+
+    threads = [threading.Thread(target=writer, args=(k,)) for k in range(6)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(won) == 20 and len(seen) == 120
+    assert {(n, f"{k}{text}") for n, k in won} == set(seen)
+    assert files.names(spark, f"{tmp_path}/made") == [f"{n:02d}" for n in range(20)]
+    assert len(list((tmp_path / "made").iterdir())) == 20  # nothing hidden is left
+
+
 def test_a_failed_write_is_not_seen_and_can_be_repeated(spark, tmp_path, monkeypatch):
     folder = str(tmp_path)
     first = observations.append_observations(spark, folder, rows(spark, ["a", "b"]), "d")
