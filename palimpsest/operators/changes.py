@@ -158,13 +158,13 @@ def upsert_archive(stored: Archive, new: Archive, now: Column | None = None) ->
     )
 
 
-def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int | None = None, now: Column | None = None, gone: DataFrame | None = None, diverged: DataFrame | None = None, segments: DataFrame | None = None) -> DataFrame:
+def upsert_folder(spark: SparkSession, folder: str, new: Archive, buckets: int | None = None, now: Column | None = None, gone: DataFrame | None = None, diverged: DataFrame | None = None, segments: DataFrame | None = None, saved: bool = False) -> DataFrame:
     """upsert_archive on a written archive, as one new version of it. Returns (id, action), also removed of those of gone(id) that were there.
 
     Only buckets that hold conversations which change are read and written; where nothing changes, no table is. diverged are new conversations' divergences,
-    segments those of a log that the version then is made of. If another writer commits first, its version is taken as what is stored and all is done again.
+    segments those of a log that the version then is made of. If another writer commits first, its version is taken as what is stored and all is done again. saved says that new's tables are written already.
     """
-    new = new.saved()
+    new = new if saved else new.saved()
     new = replace(new, conversations=scratch.save(with_content_hashes(new).conversations, "conversations"))
     diverged = spark.createDataFrame([], DIVERGENCES) if diverged is None else scratch.save(diverged, "divergences")
     gone = spark.createDataFrame([], "id string") if gone is None else scratch.save(gone.select("id").distinct(), "gone")

@@ -65,6 +65,24 @@ def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(spark, archive).messages.select("conversation_id", "source_native_id", "sequence_index")
 
 
+@register(
+    "rebuild",
+    f"""{MERGED} SELECT {CONVERSATION} AS conversation_id, native AS source_native_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS INTEGER) AS sequence_index, 'stored' AS outcome FROM m""",
+)
+def rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive made anew from a log of two devices, in parts; its messages with what became of their conversation."""
+    seen = observed(spark, sf_dir)
+    log, archive = (scratch.new_path(spark, x) for x in ("log", "archive"))
+    new = [c for c in observations.COLUMNS if c not in ("device_id", "device_seq", "segment", "legacy", "observed_at")]
+    for device, legacy in (("a", False), ("b", False), ("b", True)):
+        rows = seen.where((F.col("device_id") == device) & (F.col("legacy") == legacy)).select(new)
+        observations.append_observations(spark, log, rows, device, legacy=legacy)
+    size = seen.select(F.sum("length")).first()[0] or 0
+    made = streams.rebuild(spark, log, archive, part_bytes=size // 2 + 1)
+    outcomes = made.outcomes.select(streams.conversation_ids().alias("conversation_id"), "outcome")
+    return read_archive(spark, archive).messages.select("conversation_id", "source_native_id", "sequence_index").join(outcomes, "conversation_id")
+
+
 @register("kept_event_prefix", f"{TURNS} SELECT {CONVERSATION} AS conversation_id, kept, stored FROM (SELECT conv, coalesce(min(seq) FILTER (WHERE turn = conv_id % 8), count(*)) AS kept, count(*) AS stored FROM t GROUP BY conv)")
 def kept_event_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")

@@ -1,5 +1,6 @@
 """Written archives: versions that change as one; catch-up with the log, once, as a stream, late and again; rebuild."""
 
+import json
 import threading
 
 import pytest
@@ -9,7 +10,7 @@ from palimpsest import archive as archives
 from palimpsest.archive import read_archive, read_manifest, read_segments, vacuum
 from palimpsest.operators import changes, merge, observations
 from palimpsest.sources.normalize import NORMALIZERS
-from palimpsest.streaming import catch_up
+from palimpsest.streaming import catch_up, projections
 
 from .test_merge import A, B, C, X, ids
 
@@ -137,6 +138,83 @@ def test_kept_events_end_at_a_gap(spark):
     assert found == {of["a"]: (1, 3), of["b"]: (2, 2)}
 
 
+def poisoned(monkeypatch, *names):
+    """The parser fails on these conversations; how often it has been asked is counted."""
+    plain, asked = merge.PARSERS["claude_code"], []
+
+    def parse(handles):
+        asked.append(1)
+        bad = F.split("locator", merge.JOINT)[1].isin(*names)
+        return plain(handles.withColumn("content", F.when(bad, F.raise_error(F.lit("poison")).cast("binary")).otherwise(F.col("content"))))
+
+    monkeypatch.setitem(merge.PARSERS, "claude_code", parse)
+    return asked
+
+
+def test_a_conversation_that_fails_stops_no_other(spark, tmp_path, monkeypatch):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "archive")
+    names = ["k0", "k1", "k2"]
+    send(spark, log, "d1", *((n, A, 0, "append") for n in names))
+    catch_up.catch_up(spark, log, folder, buckets=2)
+    send(spark, log, "d1", *((n, B, len(A), "append") for n in names))
+    with monkeypatch.context() as m:
+        poisoned(m, "k1")
+        found = catch_up.catch_up(spark, log, folder).collect()
+        assert {r["locator"]: r["outcome"] for r in found} == {"k0": "stored", "k1": "failed", "k2": "stored"}
+        assert all(("poison" in r["error"]) if r["outcome"] == "failed" else r["error"] is None for r in found)
+        assert ids(read_archive(spark, folder)) == {"k0": list("ab"), "k1": ["a"], "k2": list("ab")}  # what was stored stays
+    again = [r["segment"] for r in read_segments(spark, folder).collect()]
+    assert outcomes(catch_up.apply(spark, log, folder, again)) == {"k0": "unchanged", "k1": "stored", "k2": "unchanged"}
+
+
+def test_a_rebuild_leaves_out_what_fails(spark, tmp_path, monkeypatch):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "archive")
+    send(spark, log, "d1", ("k0", A + B, 0, "append"), ("k1", A, 0, "append"))
+    with monkeypatch.context() as m:
+        poisoned(m, "k1")
+        rebuilt = catch_up.rebuild(spark, log, folder, "d1", buckets=2)
+    assert outcomes(rebuilt.outcomes) == {"k0": "stored", "k1": "failed"}
+    assert ids(read_archive(spark, folder)) == {"k0": list("ab")}
+    assert {r["locator"]: r["length"] for r in rebuilt.states.collect()} == {"k0": len(A + B), "k1": len(A)}
+    assert outcomes(catch_up.catch_up(spark, log, folder)) == {}  # its segment went in
+
+
+def test_a_rebuild_goes_on_where_it_died(spark, tmp_path, monkeypatch):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "archive")
+    names = ["k0", "k3"]
+    send(spark, log, "d1", *((n, A, 0, "append") for n in names))
+    rebuild = lambda: catch_up.rebuild(spark, log, folder, buckets=2, at_once=1, most_failed=0, part_bytes=1)
+    with monkeypatch.context() as m:
+        poisoned(m, "k3")
+        with pytest.raises(projections.TooManyFailures, match="poison"):
+            rebuild()
+    assert read_manifest(spark, folder) is None
+    (begun,) = (tmp_path / "archive" / "rebuilds").iterdir()
+    done = {x.name for x in (begun / "done").glob("[!.]*.json")} if (begun / "done").exists() else set()
+    parts = len(json.loads((begun / "begun.json").read_text())["parts"])
+    assert len(done) < parts
+    send(spark, log, "d1", ("late", A, 0, "append"))
+    asked = poisoned(monkeypatch)
+    rebuild()
+    assert len(asked) == parts - len(done)  # only what was not done yet
+    assert ids(read_archive(spark, folder)) == dict.fromkeys(names, ["a"])
+    assert not any((tmp_path / "archive" / "rebuilds").iterdir())
+    assert outcomes(catch_up.catch_up(spark, log, folder)) == {"late": "stored"}
+
+
+def test_a_rebuild_that_died_after_its_commit_is_not_resumed(spark, tmp_path, monkeypatch):
+    log, folder = str(tmp_path / "log"), str(tmp_path / "archive")
+    catch_up.rebuild(spark, log, folder)  # of nothing
+    assert ids(read_archive(spark, folder)) == {}
+    send(spark, log, "d1", ("x", A, 0, "append"))
+    with monkeypatch.context() as m:
+        m.setattr(catch_up.files, "delete", lambda *_: None)
+        catch_up.rebuild(spark, log, folder)
+    send(spark, log, "d1", ("y", B, 0, "append"))
+    catch_up.rebuild(spark, log, folder)
+    assert ids(read_archive(spark, folder)) == {"x": ["a"], "y": ["b"]}
+
+
 def test_a_source_that_fails_stops_no_other(spark):
     def broken():
         raise FileNotFoundError("no such folder\nreally")
