@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import string
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +48,8 @@ CHUNK = 1 << 19
 MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)))
 
 
-#: Pairs of words beyond which words are not aligned before the distance is taken.
-MOST_WORDS = 250_000
+#: Words of either line that a difference may span before the next two that agree, the fewest first.
+STEPS = sorted(((s, t) for s in range(6) for t in range(6) if s or t), key=lambda x: (sum(x), abs(x[0] - x[1])))
 
 
 def normal(line: bytes) -> bytes:
@@ -75,7 +74,11 @@ def prints_of(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
-    """Levenshtein distance, a whole column of the table at a time in the bits of an integer; ends early once it must exceed `most`."""
+    """Levenshtein distance; some number above `most` if it exceeds that.
+
+    Columns of the table are bits of integers, and a column holds the diagonals alone on which a path of `most` edits can run, as these
+    are far fewer than the rows. It ends early once no path of so few is left.
+    """
     if len(a) < len(b):
         a, b = b, a
     head = 0
@@ -87,29 +90,70 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     a, b = a[head : len(a) - tail], b[head : len(b) - tail]
     if not b:
         return len(a)
-    places: dict[str, int] = {}
-    for k, c in enumerate(b):
-        places[c] = places.get(c, 0) | 1 << k
-    full, top = (1 << len(b)) - 1, 1 << (len(b) - 1)
-    plus, minus, distance = full, 0, len(b)
-    left = len(a)
-    for c in a:
-        match = places.get(c, 0)
-        diagonal = (((match & plus) + plus) ^ plus) | match | minus
-        up = minus | (full & ~(diagonal | plus))
-        down = plus & diagonal
-        if up & top:
-            distance += 1
-        elif down & top:
-            distance -= 1
-        left -= 1
-        if most is not None and distance - left > most:
-            return distance - left
-        up = (up << 1) | 1
-        down <<= 1
-        plus = (down | ~(diagonal | up)) & full
-        minus = up & diagonal & full
-    return distance
+    n, m = len(a), len(b)
+    spare = ((n if most is None else min(most, n)) - (n - m)) // 2
+    if spare < 0:
+        return n - m
+    above, width = n - m + spare, n - m + 2 * spare + 1  # diagonals before the first one, and all
+    # Of each character the column in which its bits were last set, and these: the diagonals in whose row of that column it stands.
+    none, places = (0, 0), {}
+    for k, c in enumerate(b[:spare], above):
+        places[c] = 0, places.get(c, none)[1] | 1 << k
+    full, lowest = (1 << width) - 1, 1 << (width - 1)
+    plus, minus, top = full >> above << above, 0, 0
+    check = n if most is None else spare
+    for k, c in enumerate(a):
+        if k > check:
+            least = nearest(plus, minus, top, above - (n - m), width)
+            if least > most:
+                return least
+            check = k + max((most - least) // 2, 48)  # a column more adds two at most
+        if k + spare < m:
+            at, match = places.get(b[k + spare], none)
+            places[b[k + spare]] = k, match >> k - at | lowest
+        at, match = places.get(c, none)
+        match >>= k - at
+        diagonal = ((((match & plus) + plus) ^ plus) | match | minus) & full
+        up, down = minus | (full ^ (diagonal | plus)), plus & diagonal
+        if not diagonal & 1:
+            top += 1
+        diagonal >>= 1  # the next column begins a row lower
+        plus = down | (full ^ (diagonal | up))
+        minus = diagonal & up
+    last = (1 << spare) - 1
+    return top + (plus & last).bit_count() - (minus & last).bit_count()
+
+
+def nearest(plus: int, minus: int, top: int, last: int, width: int) -> int:
+    """What paths through a column cost at least, by the column's first value and the steps down its diagonals; they end on diagonal `last`."""
+    size = (width + 7) // 8
+    up, down = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=width - 1, bitorder="little").astype(np.int64) for x in (plus, minus))
+    values = np.concatenate(([0], np.cumsum(up - down)))
+    return top + int((values + np.abs(np.arange(width) - last)).min())
+
+
+def replaced(x: list[str], y: list[str], most: float) -> int:
+    """Characters that turn the words x into y when the two are walked side by side, and after a difference go on at the nearest words that agree again.
+
+    The edit distance is no more than that. Ends once it exceeds `most`.
+    """
+    i = j = bound = 0
+    n, m = len(x), len(y)
+    while bound <= most:
+        while i < n and j < m and x[i] == y[j]:
+            i += 1
+            j += 1
+        if i == n or j == m:
+            return bound + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j)
+        for s, t in STEPS:
+            if i + s < n and j + t < m and x[i + s] == y[j + t] and x[i + s + 1 : i + s + 2] == y[j + t + 1 : j + t + 2]:
+                break
+        else:
+            s = t = 1
+        bound += max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)
+        i += s
+        j += t
+    return bound
 
 
 def similar(a: str, b: str, least: float) -> bool:
@@ -120,14 +164,9 @@ def similar(a: str, b: str, least: float) -> bool:
     if min(len(a), len(b)) < least * longer:
         return False
     x, y = a.split(" "), b.split(" ")
-    if len(x) == len(y):
-        bound = sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q])
-    elif len(x) * len(y) < MOST_WORDS:
-        steps = SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-        bound = sum([max(sum(map(len, x[i:j])) + j - i, sum(map(len, y[k:m])) + m - k) for step, i, j, k, m in steps if step != "equal"])
-    else:
-        bound = longer
-    if 1 - bound / longer >= least:
+    if len(x) == len(y) and 1 - sum([max(len(p), len(q)) for p, q in zip(x, y, strict=True) if p != q]) / longer >= least:
+        return True
+    if 1 - replaced(x, y, (1 - least) * longer + 1) / longer >= least:
         return True
     return 1 - edit_distance(a, b, int((1 - least) * longer) + 1) / longer >= least
 

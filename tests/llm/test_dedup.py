@@ -230,6 +230,30 @@ def test_quick_bound_agrees_with_the_distance():
         assert line_dedup.similar(a, b, 0.8) == (1 - distance(a, b) / max(len(a), len(b)) >= 0.8)
 
 
+def test_long_lines_with_a_word_more_need_no_distance(monkeypatch):
+    def refused(*_):
+        raise AssertionError("a distance was taken")
+
+    monkeypatch.setattr(line_dedup, "edit_distance", refused)
+    words = [f"w{k}" for k in range(600)]
+    assert line_dedup.similar(" ".join(words), " ".join([*words[:40], "more", *words[40:300], *words[302:]]), 0.8)
+
+
+def test_bounded_edit_distance():
+    r = random.Random(7)
+    for _ in range(600):
+        a = "".join(r.choices("abcé ", k=r.randint(0, 120)))
+        b = list(a)
+        for _ in range(r.randint(0, 40)):
+            k = r.randint(0, len(b))
+            b[k : k + r.randint(0, 1)] = r.choice(["", "x", "a"])
+        b = "".join(b) if r.random() < 0.8 else "".join(r.choices("abcé ", k=r.randint(0, 120)))
+        true = distance(a, b)
+        for most in {0, 1, max(true - 1, 0), true, true + 1, len(a) // 5}:
+            got = line_dedup.edit_distance(a, b, most)
+            assert got == true if true <= most else got > most
+
+
 def print_of(form, second):
     """A SimHash of runs of six bytes, bit by bit."""
     padded, hs = b" " * 5 + form + b" " * 5, []
