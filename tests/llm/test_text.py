@@ -255,6 +255,21 @@ def test_pieces_of_random_texts():
         assert decoded == own.decode([*ids, 2]) == model.decode([*ids, 2]), text
 
 
+def test_texts_of_a_batch_together(monkeypatch):
+    monkeypatch.setattr(piece_bpe, "CACHE_SIZE", 40)
+    model, own = library(), piece_bpe.PieceModel(Q.tokenizer_file("piece_bpe_32k.model"))
+    r = random.Random(3)
+    looked_up, entry = [], own.entry
+    monkeypatch.setattr(own, "entry", lambda part: looked_up.append(part) or entry(part))
+    for size in (0, 1, 2, 300):
+        texts = ["".join(r.choices("ab theTHE  \n\t.,'é漢🙂▁ing\x00　", k=r.choice([0, 1, 2, 30, 200]))) for _ in range(size)]
+        looked_up.clear()
+        found = [(bytes(ids), str(decoded, "utf-8"), n) for ids, decoded, n in own.encode_all([t.encode() for t in texts])]
+        expected = [model.encode(t) for t in texts]
+        assert found == [("".join(f"{i} " for i in ids).encode(), model.decode(ids), len(ids)) for ids in expected]
+        assert len(looked_up) == len({*looked_up})
+
+
 def test_prefix_table_equals_merging():
     own = piece_bpe.PieceModel(Q.tokenizer_file("piece_bpe_32k.model"))
     r = random.Random(2)
