@@ -157,10 +157,10 @@ def tiled(rows: DataFrame, key: str, spread: Column, tile: int, few_keys: bool =
     Keys with a single row are left out, as they have no partner. A key with more than `tile` rows is cut into
     tiles by `spread`; each tile meets each other tile under a pair of its own, so that a hot key becomes
     many tasks of bounded size and no row is left out. few_keys says that the key has a bounded number of values, so that
-    their sizes can be sent to all tasks.
+    their sizes can be sent to all tasks. Else the join is a merge: of rows that were exploded Spark knows the size before that, and would send them all through the driver.
     """
     sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    sizes = F.broadcast(sizes) if few_keys else sizes
+    sizes = F.broadcast(sizes) if few_keys else sizes.hint("merge")
     tiles = F.ceil(F.col("rows") / tile).cast("long")
     own = F.pmod(spread, tiles)
     met = F.transform(F.sequence(F.lit(0).cast("long"), tiles - 1), lambda t: F.least(t, own) * (1 << 31) + F.greatest(t, own))

@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     The links are written before the first round. Rounds end when they no longer change; each one is written to the shared folder, so that lost
     executors cost a round at most. The minimum of a node's neighbours is combined before it is shuffled,
-    and the joins are plain ones that adaptive execution can split, so a star's hot centre is no one task's.
+    and the joins are plain ones that adaptive execution can split, so a star's hot centre is no one task's. Written links are far smaller than in memory, so
+    their join is a merge, whatever Spark makes of their size.
     """
     spark = edges.sparkSession
     links = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -22,7 +23,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = before.select("u", "v").unionByName(before.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

@@ -154,6 +154,7 @@ def confirmed_duplicates(
     with a Jaccard similarity of 0.8, a share of 1 - (1 - 0.8 ** band_rows) ** bands has such a band.
     Texts with the same words are one node. component_id is the smallest doc_id that links reach; kept is true for that document, of several with that id
     for the one with the smallest text_key, so that rows with one id and other texts have their own fate. Families of linked texts get their texts back and are confirmed in tiles of bounded size.
+    Joins with a row per document are merges: Spark takes the written nodes for a fraction of their size, and would send them through the driver.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key")).where("doc_id is not null")
     prints = scratch.save(fingerprints(rows, words, keyed=True), "simhash")
@@ -166,14 +167,14 @@ def confirmed_duplicates(
             keys = [band_keys(h, bands, band_rows) if len(h) else [] for h in hashes]
             yield pa.RecordBatch.from_arrays([batch.column("fp"), batch.column("node"), pa.array(keys, pa.list_(pa.int64()))], names=["fp", "node", "keys"])
 
-    first = rows.join(nodes.select("first.*", "node", "fp"), ["doc_id", "text_key"]).select("fp", "node", "text")
+    first = rows.join(nodes.select("first.*", "node", "fp").hint("merge"), ["doc_id", "text_key"]).select("fp", "node", "text")
     banded_rows = first.mapInArrow(banded, "fp long, node long, keys array<long>").dropDuplicates(["node"])
     keyed = scratch.save(banded_rows.select("fp", "node", F.explode("keys").alias("key")), "bands")
     distinct = nodes.groupBy("fp").agg(F.min("node").alias("least"))
-    same = nodes.join(distinct, "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    same = nodes.join(distinct.hint("merge"), "fp").select(F.col("node").alias("a"), F.col("least").alias("b"))
     edges = links(distinct.select("fp", F.col("least").alias("node")), radius, blocks, shared).unionByName(same).unionByName(linked(keyed, wide))
     family = components(edges).withColumnRenamed("root", "family")
-    family = nodes.join(family, "node").select("family", "fp", "node", "first.*")
+    family = nodes.join(family.hint("merge"), "node").select("family", "fp", "node", "first.*")
     texts = family.join(rows, ["doc_id", "text_key"]).select("family", "fp", "node", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,11 +201,11 @@ def confirmed_duplicates(
             yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     roots = components(dealt.select("family", "pair", "fp", "node", "shingles").mapInArrow(confirm, "a long, b long"))
-    own = nodes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
+    own = nodes.join(roots.hint("merge"), "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     least = own.groupBy("root").agg(F.min("first").alias("least"))
-    found = own.join(least, "root").select("key", "least")
+    found = own.join(least.hint("merge"), "root").select("key", "least")
     kept = F.struct("doc_id", "text_key") == F.col("least")
-    return prints.join(found, "key").select("doc_id", "text_key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
+    return prints.join(found.hint("merge"), "key").select("doc_id", "text_key", F.col("least.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def fingerprint_text(fp: F.Column) -> F.Column:

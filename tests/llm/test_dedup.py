@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from palimpsest import scratch
 from palimpsest.llm import bitslice, line_dedup
 from palimpsest.llm.components import components
 from palimpsest.llm.exact_dedup import exact_duplicates
@@ -134,6 +135,28 @@ def test_confirmed_duplicates(spark):
     assert confirmed_duplicates(docs(spark, [])).count() == 0
 
 
+def test_rows_of_near_duplicates_are_not_broadcast(spark, monkeypatch):
+    """The size that Spark takes written or exploded rows for is far below theirs, and the driver's memory holds what is broadcast."""
+    r = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(200)]
+    texts = [" ".join(r.choices(vocabulary, k=30)) for _ in range(40)]
+    rows = docs(spark, [*enumerate(texts), *((40 + k, f"{t} more") for k, t in enumerate(texts))])
+    plans, write = [], scratch.write
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(scratch, "write", lambda df, name: seen(df) or write(df, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "64k")  # so that only what is taken for small is small here
+    try:
+        found = confirmed_duplicates(rows)
+        seen(found)
+        assert {x["component_id"] for x in found.collect()} == {*range(40)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    whole = [p for p in plans if "MapInArrow" in p or p is plans[-1]]  # the rounds of components() read links alone, here some hundred bytes
+    assert len(whole) >= 4
+    assert not [p for p in whole if "BroadcastExchange" in p]
+
+
 def edited(r, words, vocabulary, kind, share):
     """words with an edit that leaves about `share` of their 5-word shingles, by Jaccard similarity."""
     n, own = len(words), list(words)
