@@ -89,12 +89,13 @@ def _message_hashes(a: Archive) -> DataFrame:
     fields = ("block_index", "id", "type", "text", "tool_name", "tool_use_id", "payload")
     blocks = a.content_blocks.groupBy(F.col("message_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*fields)))).alias("blocks"))
     own = F.struct("id", "source_native_id", "parent_message_id", "role", "model", "created_at", "metadata", "blocks")
-    return a.messages.join(blocks, "id", "left").select("conversation_id", "sequence_index", F.sha2(F.to_json(own), 256).alias("h"))
+    return a.messages.join(blocks.hint("merge"), "id", "left").select("conversation_id", "sequence_index", F.sha2(F.to_json(own), 256).alias("h"))
 
 
 def kept_message_prefix(new: Archive, stored: Archive) -> DataFrame:
     """(conversation_id, kept, stored) of stored conversations: how many leading messages need no rewrite; a gap ends them."""
-    old = _message_hashes(stored).withColumnRenamed("h", "__h").join(new.conversations.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi")
+    known = new.conversations.select(F.col("id").alias("conversation_id")).hint("merge")  # else broadcast, whatever their number: Spark takes them for too little
+    old = _message_hashes(stored).withColumnRenamed("h", "__h").join(known, "conversation_id", "left_semi")
     both = old.join(_message_hashes(new), ["conversation_id", "sequence_index"], "full")
     differs = ~F.col("h").eqNullSafe(F.col("__h"))
     out = both.groupBy("conversation_id").agg(F.min(F.when(differs, F.col("sequence_index"))).alias("__first"), F.count("__h").alias("stored"))

@@ -52,7 +52,7 @@ class Parsed:
         kept = C.with_parents(kept) if self.source in PARENTED else kept.withColumn("parent_message_id", F.lit(None).cast("string"))
         blocks = kept.select(F.col("id").alias("message_id"), F.posexplode("blocks").alias("block_index", "b")).select("message_id", "block_index", "b.*")
         sizes = self.messages.groupBy("locator").agg(F.count(F.lit(1)).cast("int").alias("message_count"))
-        conversations = self.conversations.join(sizes, "locator", "left").select(
+        conversations = self.conversations.join(sizes.hint("merge"), "locator", "left").select(
             C.conversation_id(source_id, F.col("locator")).alias("id"),
             source_id.alias("source_id"),
             F.col("locator").alias("source_native_id"),
@@ -95,16 +95,17 @@ def parsed(source: str, version: str, handles: DataFrame, conversations: DataFra
     """Numbers messages by `at` (any order within the conversation) and leaves out those without blocks.
 
     Conversations that are untitled (without more said: those whose title is null) take the first user line, if there is one.
+    All that is joined by locator is grouped by it, so merges need no shuffle of their own; Spark would take these tables for less than they are.
     """
     kept = messages.where(F.size("blocks") > 0)
     kept = kept.withColumn("sequence_index", F.row_number().over(Window.partitionBy("locator").orderBy("at")) - 1).drop("at")
     blocks = kept.where("role = 'user'").select(F.col("locator").alias("conversation_key"), "role", "sequence_index", F.posexplode("blocks").alias("block_index", "b"))
     lines = C.first_user_line(blocks.select("conversation_key", "role", "sequence_index", "block_index", "b.type", "b.text")).withColumnRenamed("conversation_key", "locator")
     untitled = F.col("title").isNull() if untitled is None else untitled
-    conversations = conversations.join(lines, "locator", "left").withColumn("title", F.when(untitled, F.coalesce("line", "title")).otherwise(F.col("title")))
+    conversations = conversations.join(lines.hint("merge"), "locator", "left").withColumn("title", F.when(untitled, F.coalesce("line", "title")).otherwise(F.col("title")))
     mtimes = handles.groupBy("locator").agg(F.max("mtime").alias("source_file_mtime"))
     columns = ("locator", "title", "project", "started_at", "ended_at", "metadata", "raw_path", "source_file_mtime")
-    return Parsed(source, version, conversations.join(mtimes, "locator", "left").select(*columns), kept, events)
+    return Parsed(source, version, conversations.join(mtimes.hint("merge"), "locator", "left").select(*columns), kept, events)
 
 
 def or_default(v: Column, key: str, default: str) -> Column:

@@ -56,7 +56,7 @@ def parse_claude_code(handles: DataFrame, events: DataFrame | None = None) -> Pa
     summary = F.when((type_ == "summary") & C.get_string(v, "summary").isNotNull(), C.strip(C.get_string(v, "summary")))
     found = events.select("locator", "line", summary.alias("summary"), C.non_empty(v, "cwd").alias("cwd")).groupBy("locator")
     found = found.agg(F.min_by("summary", F.when(F.col("summary").isNotNull(), F.col("line"))).alias("title"), F.min_by("cwd", F.when(F.col("cwd").isNotNull(), F.col("line"))).alias("cwd"))
-    conversations = event_counts(events).join(found, "locator").join(span(messages), "locator", "left").select(
+    conversations = event_counts(events).join(found.hint("merge"), "locator").join(span(messages).hint("merge"), "locator", "left").select(
         "locator", "title", F.coalesce("cwd", "project_hint").alias("project"), "started_at", "ended_at", C.object_text(event_count=F.col("n").cast("string")).alias("metadata"), "raw_path"
     )
     return parsed("claude_code", "1", handles, conversations, messages, events)

@@ -11,6 +11,7 @@ from palimpsest import files, scratch
 from palimpsest.archive import HANDLES, SCHEMAS, Archive
 from palimpsest.operators import changes, search, text_index
 from palimpsest.operators.stemmer import stem
+from palimpsest.plans.queries import QUERIES
 from palimpsest.sources.transcripts import explode_jsonl, scan_changed, scan_transcripts
 
 
@@ -107,6 +108,13 @@ def test_a_written_index_ranks_as_a_new_one(spark, tmp_path):
     assert text_index.open_index(spark, folder, before).docs.count() == len(there) - 2  # a reader keeps its version
 
 
+def test_rows_of_transcripts_are_not_broadcast(spark, sf):
+    """Spark takes what comes of a variant for a fraction of its size; the driver's memory holds what is broadcast."""
+    plan = QUERIES["kept_message_prefix"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "BroadcastExchange" not in plan
+
+
 def test_files_of_a_known_time_are_not_opened(spark, tmp_path):
     (tmp_path / "-p [x] {y}").mkdir()
     for n in range(4):
